@@ -196,7 +196,7 @@ TEMPLATES = [
     one("pinned manifest", "packages/q_{id}/package.json", '﻿{"name": "q{id}", "description": "{pad}", "dependencies": {"alpha": "1.0.0"}}\n'),
     one("broken manifest", "packages/b_{id}/package.json", '{"name": "b{id}", "description": "{pad}", \n', gate=[("WARNING", None, "Could not parse package.json: invalid JSON")]),
     one("table without rls", "supabase/migrations/{id}_a.sql", _js("create table widgets_{id} (id int, note text default 'a;b');", "alter table only public.other enable row level security;"),
-        Expect("missing-rls", "high", 1), gate=[("HARD_BLOCK", None, MISSING.replace("{t}", "widgets_{id}"))]),
+        Expect("missing-rls", "high", 1, shifted=False), gate=[("HARD_BLOCK", None, MISSING.replace("{t}", "widgets_{id}"))]),
     one("table with rls", "supabase/migrations/{id}_ok.sql", _js('create table if not exists "public"."safe_{id}" (id int);', "ALTER TABLE public.safe_{id} ENABLE ROW LEVEL SECURITY;")),
     Template("rls in another file", (
         File("supabase/migrations/{id}_t.sql", _js("select 1;", "create table gadgets_{id} (id int);"), (Expect("missing-rls", "high", 2, note="per-file"),),

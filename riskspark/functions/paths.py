@@ -78,7 +78,7 @@ def matches_ignore(path: Column, pattern: Column) -> Column:
     return F.coalesce(
         F.when(x == "", F.lit(False))
         .when(x.endswith("/"), p.startswith(x))
-        .when(x.contains("*"), p.rlike(ignore_pattern_regex(x)))
+        .when(x.contains("*"), F.rlike(p, ignore_pattern_regex(x)))
         .otherwise(plain),
         F.lit(False),
     )
@@ -96,7 +96,7 @@ def matches_target(path: Column, pattern: Column) -> Column:
     p, x = norm_path(path), norm_path(pattern)
     return F.coalesce(
         F.when(x == "", F.lit(False))
-        .when(x.contains("*"), p.rlike(glob_regex(x)))
+        .when(x.contains("*"), F.rlike(p, glob_regex(x)))
         .otherwise((p == x) | p.startswith(F.concat(x, F.lit("/")))),
         F.lit(False),
     )

@@ -80,7 +80,7 @@ def custom_rule_findings(files: DataFrame, rules: DataFrame) -> DataFrame:
     calls = call_sites(files)
     obj, method = F.col("pattern.object"), F.col("pattern.method")
     tail = F.element_at(F.split("callee", r"\."), -1)
-    owned = F.col("callee").rlike(F.concat(F.lit(r"(?:^|[^\w])"), F.concat(F.lit(r"\Q"), obj, F.lit(r"\E")), F.lit(r"\."), F.concat(F.lit(r"\Q"), method, F.lit(r"\E")), F.lit(r"\z")))
+    owned = F.rlike("callee", F.concat(F.lit(r"(?:^|[^\w])\Q"), obj, F.lit(r"\E\.\Q"), method, F.lit(r"\E\z")))
     call = (
         targets.where(kind == "forbidden_method_call").withColumn("tail", F.element_at(F.split(method, r"\."), -1))
         .join(calls.withColumn("tail", tail), ["repo_id", "path", "tail"])

@@ -122,7 +122,9 @@ def anchored_windows(events: DataFrame, keys: list[str], ts: str, width_seconds:
         for i in range(len(t) - 1, -1, -1):
             if nxt[i] < len(t):
                 last[i] = last[nxt[i]]
-        entry = np.flatnonzero((t < int(pdf["slice"].iloc[0]) * span + width) | (np.arange(len(t)) == 0))
+        # a slice is entered at one of the events of its first width, or at the first one after that
+        early = int(np.searchsorted(t, int(pdf["slice"].iloc[0]) * span + width))
+        entry = np.arange(min(early + 1, len(t)))
         # runs of entries with one exit are kept as their latest entry
         keep = entry[np.append(last[entry][1:] != last[entry][:-1], True)]
         return pdf.iloc[[0]][keys + ["slice"]].assign(entry=[t[keep].tolist()], exit=[last[keep].tolist()])

@@ -64,9 +64,12 @@ def sql_statements(files: DataFrame) -> DataFrame:
 
 
 def created_tables(files: DataFrame) -> DataFrame:
-    """Full scan: (repo_id, path, table, line) of CREATE TABLE statements."""
+    """Full scan: (repo_id, path, table, line) of CREATE TABLE statements.
+
+    The line is that of the statement's first character, which may be a comment.
+    """
     create = java(fv.CREATE_TABLE)
-    body = F.trim(strip_sql_comments(F.col("sql")))
+    body = F.regexp_replace(strip_sql_comments(F.col("sql")), java(r"^\s+"), "")
     name = F.regexp_extract(body, r"\A" + create.replace("(?:(?<=\\w)(?!\\w)|(?<!\\w)(?=\\w))create", "create", 1), 1)
     return (
         sql_statements(files.where(F.col("content").rlike(r"(?i)create")))
