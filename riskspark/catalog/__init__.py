@@ -5,6 +5,6 @@ from riskspark.catalog.common import ORACLES, QUERIES
 
 def load():
     """Import all query modules; they register themselves."""
-    from riskspark.catalog import governance, scan  # noqa: F401
+    from riskspark.catalog import governance, graph, scan, streams, text  # noqa: F401
 
     return QUERIES, ORACLES

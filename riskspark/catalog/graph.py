@@ -1,0 +1,177 @@
+"""Queries over graphs, diffs, tokens and scoped constants."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskspark.catalog.common import events, files, query, table
+from riskspark import corpus
+from riskspark.functions import text as tx
+from riskspark.operators import dataflow, diffs, lexical, modules, remediate
+from riskspark.plans import jobs
+
+# --- reachability on id graphs ---------------------------------------------------------------------------
+
+_REACH = """
+WITH RECURSIVE e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0 UNION SELECT doc_id, doc_id // 3 FROM documents WHERE doc_id > 0),
+r AS (SELECT doc_id AS node FROM documents WHERE source = 'src0' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)
+"""
+
+
+@query("module_taint_fixpoint", _REACH + "SELECT 'm' || node AS path FROM r")
+def module_taint_fixpoint(spark, sf):
+    """Secrets seeded in one source's modules flow along importer = id div 2 and id div 3."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    name = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    edges = d.where("doc_id > 0").select(
+        F.lit("r").alias("repo_id"), F.explode(F.array(F.expr("doc_id div 2"), F.expr("doc_id div 3"))).alias("to"), F.col("doc_id").alias("from")
+    ).select("repo_id", name(F.col("to")).alias("importer"), F.lit("k").alias("imported"), F.lit("k").alias("local"), name(F.col("from")).alias("source_path"), F.lit("import").alias("kind"))
+    seeds = d.where(F.col("source") == "src0").select(F.lit("r").alias("repo_id"), name(F.col("doc_id")).alias("path"), F.lit("k").alias("name"))
+    return modules.module_taint_fixpoint(edges, seeds).select("path")
+
+
+@query("trace_to_sink", """
+WITH RECURSIVE e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0 UNION SELECT doc_id, doc_id // 3 FROM documents WHERE doc_id > 0),
+k AS (SELECT doc_id AS node FROM documents WHERE doc_id % 10 = 3),
+r AS (SELECT doc_id AS source, doc_id AS node, 0 AS depth FROM documents WHERE lang = 'en' OR doc_id % 10 = 3
+  UNION SELECT r.source, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE NOT (r.depth > 0 AND r.node IN (SELECT node FROM k)))
+SELECT source, min(depth) AS depth FROM r WHERE depth > 0 AND node IN (SELECT node FROM k) AND node <> source GROUP BY source""")
+def trace_to_sink(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang").withColumn("g", F.lit(1))
+    edges = d.where("doc_id > 0").select("g", F.col("doc_id").alias("src"), F.posexplode(F.array(F.expr("doc_id div 2"), F.expr("doc_id div 3"))).alias("seq", "dst"))
+    sinks = d.where("doc_id % 10 = 3").select("g", F.col("doc_id").alias("node"))
+    sources = d.where("lang = 'en' or doc_id % 10 = 3").select("g", F.col("doc_id").alias("node"))
+    return dataflow.trace_to_sink(edges, sources, sinks, ["g"]).select("source", F.col("depth").cast("int").alias("depth"))
+
+
+_PING, _READ = corpus.index_of("command built"), corpus.index_of("file read")
+
+
+@query("dataflow_edges", f"SELECT d.source AS repo_id, replace(t.path, '{{id}}', d.doc_id::VARCHAR) AS path, t.src_text, t.dst_text, t.label FROM documents d JOIN (VALUES ({_PING}, 'src/ping_{{id}}.ts', 'req.query.host', 'host', 'defines'), ({_PING}, 'src/ping_{{id}}.ts', '\"ping -c 1 \" + host', 'cmd', 'defines'), ({_PING}, 'src/ping_{{id}}.ts', 'host', 'cmd', 'flows-to:cmd'), ({_PING}, 'src/ping_{{id}}.ts', 'host', 'host', 'flows-to:host'), ({_PING}, 'src/ping_{{id}}.ts', 'cmd', 'exec(cmd)', 'argument'), ({_READ}, 'src/read_{{id}}.ts', 'req.params.file', 'name', 'defines'), ({_READ}, 'src/read_{{id}}.ts', 'name', 'fs.readFileSync(name)', 'argument'), ({_READ}, 'src/read_{{id}}.ts', 'name', 'return fs.readFileSync(name)', 'return')) AS t(k, path, src_text, dst_text, label) ON d.doc_id % {corpus.COUNT} = t.k")
+def dataflow_edges(spark, sf):
+    f = files(spark, sf).where(F.col("path").startswith("src/ping_") | F.col("path").startswith("src/read_"))
+    stmts = dataflow.statements(f)
+    n = dataflow.cpg_nodes(stmts).select("repo_id", "path", "node_id", "text")
+    e = dataflow.cpg_edges(stmts)
+    keys = ["repo_id", "path"]
+    return (
+        e.join(n.withColumnsRenamed({"node_id": "src", "text": "src_text"}), keys + ["src"]).join(n.withColumnsRenamed({"node_id": "dst", "text": "dst_text"}), keys + ["dst"])
+        .select("repo_id", "path", "src_text", "dst_text", "label")
+    )
+
+
+# --- tokens, blocks, constants --------------------------------------------------------------------------------
+
+@query("token_counts", f"SELECT d.source AS repo_id, 'src/ping_' || d.doc_id || '.ts' AS path, 36::BIGINT AS tokens, 1::BIGINT AS deepest FROM documents d WHERE d.doc_id % {corpus.COUNT} = {_PING}")
+def token_counts(spark, sf):
+    """Comments and blanks do not count, so neither does the padding."""
+    t = lexical.brace_depth(lexical.tokens(files(spark, sf)))
+    return t.where(F.col("path").startswith("src/ping_")).groupBy("repo_id", "path").agg(F.count("*").alias("tokens"), F.max("depth").alias("deepest"))
+
+
+@query("enclosing_blocks", f"SELECT d.source AS repo_id, replace(t.path, '{{id}}', d.doc_id::VARCHAR) AS path, CAST(t.a + d.doc_id % 5 AS INTEGER) AS open_line, CAST(t.b + d.doc_id % 5 AS INTEGER) AS close_line FROM documents d JOIN (VALUES ({corpus.index_of('account change')}, 'src/bill_{{id}}.ts', 1, 4), ({corpus.index_of('account change guarded')}, 'src/guard_{{id}}.ts', 1, 5)) AS t(k, path, a, b) ON d.doc_id % {corpus.COUNT} = t.k")
+def enclosing_blocks(spark, sf):
+    f = files(spark, sf).where(F.col("path").rlike("^src/(?:bill|guard)_"))
+    hits = lexical.matches(f, r"updateBillingPlan").select("repo_id", "path", "offset")
+    spans = lexical.enclosing_block(hits, lexical.blocks(f))
+    return spans.join(f.select("repo_id", "path", "content"), ["repo_id", "path"]).select(
+        "repo_id", "path", tx.line_at(F.col("content"), F.col("open_at")).alias("open_line"), tx.line_at(F.col("content"), F.col("close_at")).alias("close_line")
+    )
+
+
+@query("const_bindings", f"SELECT d.source AS repo_id, replace(t.path, '{{id}}', d.doc_id::VARCHAR) AS path, t.name, replace(t.value, '{{id}}', d.doc_id::VARCHAR) AS value FROM documents d JOIN (VALUES ({corpus.index_of('named secret')}, 'src/named_{{id}}.ts', 'sessionToken', 'plain-{{id}}-value'), ({corpus.index_of('named secret')}, 'src/named_{{id}}.ts', 'title', 'Hello'), ({corpus.index_of('joined array secret')}, 'src/join_{{id}}.ts', 'head', 'sk_live_'), ({corpus.index_of('template secret')}, 'src/tpl_{{id}}.ts', 'tail', 'abcdefgh12345678')) AS t(k, path, name, value) ON d.doc_id % {corpus.COUNT} = t.k")
+def const_bindings(spark, sf):
+    f = files(spark, sf).where(F.col("path").rlike("^src/(?:named|join|tpl)_"))
+    return lexical.const_bindings(f).select("repo_id", "path", "name", "value")
+
+
+@query("binding_lookup", """
+WITH b AS (SELECT l_orderkey, l_partkey % 3 AS name, l_linenumber * 10 AS scope_open, l_linenumber * 10 + CAST(l_quantity AS BIGINT) AS scope_close, l_linenumber * 10 + l_partkey % 7 AS decl_end, l_partkey AS value FROM lineitem),
+r AS (SELECT l_orderkey, l_suppkey % 3 AS name, l_linenumber * 10 + 9 AS pos FROM lineitem),
+m AS (SELECT r.*, b.value, row_number() OVER (PARTITION BY r.l_orderkey, r.name, r.pos ORDER BY b.scope_open DESC, b.decl_end, b.value DESC) AS rn FROM r LEFT JOIN b ON b.l_orderkey = r.l_orderkey AND b.name = r.name AND r.pos BETWEEN b.scope_open AND b.scope_close AND b.decl_end <= r.pos)
+SELECT l_orderkey, name, pos, value FROM m WHERE rn = 1""")
+def binding_lookup(spark, sf):
+    l = table(spark, sf, "lineitem")
+    open_ = F.col("l_linenumber") * 10
+    b = l.select("l_orderkey", (F.col("l_partkey") % 3).alias("name"), open_.alias("scope_open"), (open_ + F.col("l_quantity").cast("bigint")).alias("scope_close"),
+                 (open_ + F.col("l_partkey") % 7).alias("decl_end"), F.col("l_partkey").alias("value"))
+    r = l.select("l_orderkey", (F.col("l_suppkey") % 3).alias("name"), (open_ + 9).alias("pos")).distinct()
+    return lexical.binding_lookup(r, b, "l_orderkey").select("l_orderkey", "name", "pos", "value")
+
+
+# --- diffs ---------------------------------------------------------------------------------------------------------
+
+_HEAD = "diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n@@ -{n},2 +{n},4 @@\n"
+DIFFS = [  # (path, body lines, [(kind, line offset from hunk start, label)])
+    ("src/pay.ts", [" ctx", '+const k = "sk_live_abcdefgh12345678";', "-old", " ctx"], [("secret", 1, "Stripe secret key")]),
+    ("src/q.ts", [" ctx", "-old", '+const q = "SELECT * FROM t WHERE id=" + id;', " ctx"], [("raw-sql", 1, "Raw SQL concatenation")]),
+    ("supabase/p.sql", ["+create policy p on t using (true);", "+create policy q on t with check (2 > 1);", " ctx"], [("supabase-rls", 0, "Supabase policy allows all rows"), ("supabase-rls", 1, "Supabase policy allows all rows")]),
+    ("src/u.ts", [" ctx", "+await db.from('t').update({ user_id: body.id });"], [("supabase-rls", 1, "Client-controlled user_id update")]),
+    ("middleware.ts", ["+export function middleware() {", "+  return NextResponse.next();", "+}"], [("middleware-auth-bypass", 1, "Next.js middleware allows requests through without an auth guard")]),
+    ("middleware.js", ["+const u = await getUser();", "+return NextResponse.next();"], []),
+    ("app/api/webhooks/route.ts", [" ctx", "+const a = 1;", "+export async function POST() {}"], [("billing-webhook-drift", 2, "Billing or webhook code changed without an idempotency guard")]),
+    ("src/stripe.ts", ["+import Stripe from 'stripe';", "+if (processed_events.has(id)) return;"], []),
+    ("src/ctx.tsx", [" ctx", "+const C = createContext(null);"], [("fuzzy-context", 1, r"\bcreateContext\s*\(")]),
+    ("src/plain.ts", [" ctx", "+const ok = 1;"], []),
+    ("src/both.ts", ['+const t = "ghp_0123456789012345678901234567890123";', "+supabase.auth.getUser();"], [("secret", 0, "GitHub token")]),
+]
+CONFIRMED = ("secret", "raw-sql", "supabase-rls", "middleware-auth-bypass")
+
+
+def _diffs(spark, sf):
+    """One diff per document: its template, CRLF for odd ids, and the text as unchanged lines of a second file."""
+    rows = [(k, _HEAD.replace("{p}", p) + "\n".join(body)) for k, (p, body, _) in enumerate(DIFFS)]
+    t = spark.createDataFrame(rows, "k int, body string")
+    d = table(spark, sf, "documents").select("doc_id", "text").withColumn("k", F.pmod("doc_id", F.lit(len(DIFFS))).cast("int")).join(F.broadcast(t), "k")
+    n = (F.col("doc_id") % 50 + 1).cast("string")
+    clean = F.replace(F.regexp_replace("text", "[^A-Za-z\n]+", " "), F.lit("\n"), F.lit("\n "))
+    tail = F.concat(F.lit("\ndiff --git a/z.txt b/z.txt\n+++ b/z.txt\n@@ -1 +1 @@\n "), clean)
+    body = F.concat(F.replace("body", F.lit("{n}"), n), tail)
+    return d.select(F.col("doc_id").alias("diff_id"), F.when(F.col("doc_id") % 2 == 1, F.replace(body, F.lit("\n"), F.lit("\r\n"))).otherwise(body).alias("diff"))
+
+
+_FOUND = ", ".join(f"({k}, {corpus._q(p)}, {corpus._q(kind)}, {off}, {corpus._q(label)})" for k, (p, _, f) in enumerate(DIFFS) for kind, off, label in f)
+_DIFF_SQL = f"SELECT d.doc_id AS diff_id, t.path AS file_path, t.kind, CAST(d.doc_id % 50 + 1 + t.off AS INTEGER) AS line, t.label FROM documents d JOIN (VALUES {_FOUND}) AS t(k, path, kind, off, label) ON d.doc_id % {len(DIFFS)} = t.k"
+
+
+@query("diff_findings", _DIFF_SQL)
+def diff_findings(spark, sf):
+    return jobs.scan_diffs(_diffs(spark, sf))[0].select("diff_id", "file_path", "kind", "line", "label")
+
+
+_STATE = ", ".join(
+    f"({k}, '{'confirmed-finding' if any(x[0] in CONFIRMED for x in f) else 'needs-runtime-check' if f else 'likely-safe'}', {len(f)})" for k, (_, _, f) in enumerate(DIFFS)
+)
+
+
+@query("diff_verdict", f"SELECT d.doc_id AS diff_id, t.state, t.n::BIGINT AS findings FROM documents d JOIN (VALUES {_STATE}) AS t(k, state, n) ON d.doc_id % {len(DIFFS)} = t.k")
+def diff_verdict(spark, sf):
+    return jobs.scan_diffs(_diffs(spark, sf))[1]
+
+
+_ADDED = ", ".join(
+    f"({k}, {corpus._q(p)}, {off}, {corpus._q(line[1:])})" for k, (p, body, _) in enumerate(DIFFS)
+    for off, line in ((sum(1 for x in body[:i] if x[0] in "+ "), ln) for i, ln in enumerate(body)) if line.startswith("+")
+)
+
+
+@query("diff_added_lines", f"SELECT d.doc_id AS diff_id, t.path AS file_path, CAST(d.doc_id % 50 + 1 + t.off AS INTEGER) AS line, t.text FROM documents d JOIN (VALUES {_ADDED}) AS t(k, path, off, text) ON d.doc_id % {len(DIFFS)} = t.k")
+def diff_added_lines(spark, sf):
+    return diffs.added_lines(diffs.diff_lines(_diffs(spark, sf))).select("diff_id", "file_path", "line", "text")
+
+
+@query("diff_auto_patch", f"SELECT doc_id AS diff_id, '-const k = \"STRIPE_SECRET_REDACTED\";' AS minus, '+const k = process.env.STRIPE_SECRET_KEY;' AS plus FROM documents WHERE doc_id % {len(DIFFS)} = 0")
+def diff_auto_patch(spark, sf):
+    return diffs.diff_auto_patch(diffs.added_lines(diffs.diff_lines(_diffs(spark, sf)))).select("diff_id", "minus", "plus")
+
+
+@query("apply_unified_diff", "SELECT doc_id, md5('first ' || doc_id || chr(10) || 'NEW' || chr(10) || 'third' || chr(10) || replace(text, chr(13), '')) AS digest FROM documents")
+def apply_unified_diff(spark, sf):
+    """Line 2 of every document-sized file is replaced by its patch."""
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
+    content = F.concat(F.lit("first "), F.col("doc_id").cast("string"), F.lit("\nsecond\nthird\n"), F.replace("text", F.lit("\r"), F.lit("")))
+    f = d.select(F.lit("r").alias("repo_id"), name.alias("path"), content.alias("content"))
+    p = d.select(F.lit("r").alias("repo_id"), name.alias("path"), F.lit("--- a/f\n+++ b/f\n@@ -2,2 +2,2 @@\n-second\n+NEW\n third").alias("diff"))
+    out = remediate.apply_unified_diff(f, p)
+    return out.where(F.col("error").isNull()).select(F.substring("path", 2, 20).cast("bigint").alias("doc_id"), F.md5("content").alias("digest"))

@@ -129,7 +129,7 @@ def route_class(path: Column) -> Column:
 
 
 def has_use_server(content: Column) -> Column:
-    return F.regexp_replace(content, "^﻿", "").rlike(java(r"(?:^|[\n;{])\s*[\"']use server[\"']\s*;?"))
+    return content.contains("use server") & F.regexp_replace(content, "^﻿", "").rlike(java(r"(?:^|[\n;{])\s*[\"']use server[\"']\s*;?"))
 
 
 def ssrf_target(path: Column, content: Column) -> Column:
@@ -138,7 +138,7 @@ def ssrf_target(path: Column, content: Column) -> Column:
 
 def has_use_client(content: Column) -> Column:
     text = F.regexp_replace(content, "^﻿", "")
-    return text.rlike(java(r"^\s*(?:(?:\/\/[^\n]*|\/\*[\s\S]*?\*\/)\s*)*[\"']use client[\"']\s*;?").replace(")*[", ")*+[", 1))
+    return content.contains("use client") & text.rlike(java(r"^\s*(?:(?:\/\/[^\n]*|\/\*[\s\S]*?\*\/)\s*)*[\"']use client[\"']\s*;?").replace(")*[", ")*+[", 1))
 
 
 def is_client_component(path: Column, content: Column) -> Column:

@@ -9,9 +9,17 @@ from riskspark.functions.regex import any_of, java
 from riskspark.functions.text import let
 
 
+_BLANKS = " \t\n\r\f\u000b\u00a0\ufeff\u2028\u2029"
+
+
+def trim(c) -> Column:
+    """Strip the same characters ECMAScript's trim does, not only spaces."""
+    return F.trim(c, F.lit(_BLANKS))
+
+
 def blank_to_null(c: Column) -> Column:
     """'' and all-blank text count as missing."""
-    t = F.trim(c)
+    t = trim(c)
     return F.when(t != "", t)
 
 
@@ -25,7 +33,7 @@ def first_match(value: Column, rows) -> Column:
 
 
 def unquote(s: Column) -> Column:
-    return F.regexp_replace(F.trim(s), "^['\"`]|['\"`]\\z", "")
+    return F.regexp_replace(trim(s), "^['\"`]|['\"`]\\z", "")
 
 
 def credential_id(v: Column) -> Column:
@@ -80,6 +88,18 @@ def maybe_secret() -> str:
     return any_of([p for _, _, p, _ in fv.CREDENTIALS] + fv.SERVICE_ROLE_TEXT + [r"eyJ"])
 
 
+# literal heads of the secret patterns, one of which every match contains
+_SECRET_HEADS = ["AKIA", "sk_", "sk-", "ghp_", "github_pat_", "xox", "AIza", "SG.", "postgres://", "eyJ"]
+
+
+def secret_guard(content: Column) -> Column:
+    """Necessary condition for :func:`maybe_secret`, made of substring tests."""
+    out = F.lit(False)
+    for head in _SECRET_HEADS:
+        out = out | content.contains(head)
+    return out | content.rlike("SK[a-z0-9]{32}") | content.rlike("(?i)service[_-]?role")
+
+
 def env_token(name: Column) -> Column:
     snake = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")
     snake = F.regexp_replace(F.regexp_replace(snake, "[^A-Za-z0-9]+", "_"), "^_+|_+\\z", "")
@@ -116,7 +136,7 @@ def gate_table_name(name: Column) -> Column:
 
 def sql_literal(text: Column) -> Column:
     """struct<type, num, str, raw> of a static SQL literal, NULL otherwise."""
-    t = F.trim(text)
+    t = trim(text)
     none_num, none_str = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def lit(kind, num, str_, raw):
@@ -134,7 +154,7 @@ def sql_literal(text: Column) -> Column:
 def static_predicate(predicate: Column) -> Column:
     """Evidence text when both sides are same-typed literals and the comparison is true."""
     cmp = java(fv.STATIC_COMPARISON)
-    t = F.trim(predicate)
+    t = trim(predicate)
     parts = F.struct(
         sql_literal(F.regexp_extract(t, cmp, 1)).alias("l"),
         F.regexp_extract(t, cmp, 2).alias("op"),
@@ -162,7 +182,7 @@ def static_predicate(predicate: Column) -> Column:
 
 def version_class(v: Column) -> Column:
     """struct<severity, issue> for an unpinned dependency version, NULL if pinned."""
-    n = F.lower(F.trim(v))
+    n = F.lower(trim(v))
 
     def out(sev, pre, post):
         return F.struct(F.lit(sev).alias("severity"), F.concat(F.lit(pre), v, F.lit(post)).alias("issue"))
@@ -177,13 +197,13 @@ def version_class(v: Column) -> Column:
 # --- severity and state mappings: three different ones, on purpose -------------
 
 def norm_severity(s: Column) -> Column:
-    u = F.upper(F.trim(F.coalesce(s, F.lit(""))))
+    u = F.upper(trim(F.coalesce(s, F.lit(""))))
     return F.when(u.isin("WARNING", "WARN"), "MEDIUM").when(u.isin(fv.SEVERITIES), u).otherwise("INFO")
 
 
 def infer_state(state: Column, severity: Column, requires_deep: Column) -> Column:
     """Client mapping: unknown becomes GREEN."""
-    s = F.upper(F.trim(F.coalesce(state, F.lit(""))))
+    s = F.upper(trim(F.coalesce(state, F.lit(""))))
     sev = norm_severity(severity)
     return (
         F.when(s.isin(fv.STATES), s).when(sev == "CRITICAL", "RED")
@@ -193,7 +213,7 @@ def infer_state(state: Column, severity: Column, requires_deep: Column) -> Colum
 
 def norm_state(state: Column) -> Column:
     """Ingest mapping: unknown becomes YELLOW."""
-    s = F.upper(F.trim(state))
+    s = F.upper(trim(state))
     return F.when(s.isin(fv.STATES), s).otherwise("YELLOW")
 
 
@@ -210,7 +230,7 @@ def state_for(state: Column, severity: Column) -> Column:
 
 def parse_remote(url: Column, fold_host: bool = True) -> Column:
     """struct<host, owner, repo, remote_url> of an scp-like or URL remote, NULL if neither."""
-    u = F.trim(url)
+    u = trim(url)
     scp = r"(?i)^git@([^:]+):([^/]+)/(.+?)(?:\.git)?\z"
     web = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^?#]*)"
     segments = F.filter(F.split(F.regexp_extract(u, web, 2), "/"), lambda s: s != "")
@@ -237,7 +257,7 @@ def owner_is_org(flag: Column, owner: Column, personal: Column) -> Column:
 
 
 def looks_like_org(owner: Column, personal: Column) -> Column:
-    o, p = F.lower(F.trim(F.coalesce(owner, F.lit("")))), F.lower(F.trim(F.coalesce(personal, F.lit(""))))
+    o, p = F.lower(trim(F.coalesce(owner, F.lit("")))), F.lower(trim(F.coalesce(personal, F.lit(""))))
     return F.when(o == "", F.lit(False)).when(p != "", o != p).otherwise(F.coalesce(owner, F.lit("")).rlike(java(fv.ORG_OWNER)))
 
 
@@ -252,13 +272,13 @@ def first_tier(*candidates: Column) -> Column:
 
 def beta_key_date(key: Column, prefix: str = "RISK-BETA-") -> Column:
     """Creation date in ``<prefix>yyyyMMdd-<suffix>``; NULL for other shapes and impossible dates."""
-    k = F.trim(key)
+    k = trim(key)
     digits = F.regexp_extract(k, "^" + prefix.replace("-", "\\-") + r"(\d{8})-[^-]*\z", 1)
     return F.when(digits != "", F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date"))
 
 
 def hash_token(t: Column) -> Column:
-    return F.sha2(F.trim(t), 256)
+    return F.sha2(trim(t), 256)
 
 
 # --- text ---------------------------------------------------------------------------
@@ -282,18 +302,18 @@ def truncate_utf8(text: Column, n: Column, marker: str = "\n[truncated context]"
 def compact_diff(text: Column, max_bytes: int = fv.DIFF_BYTES) -> Column:
     """Headers, hunk marks and changed lines only, cut to a byte budget."""
     kept = F.filter(F.split(text, r"\r?\n", -1), lambda l: l.rlike(r"^(?:diff --git |--- |\+\+\+ |@@ |\+(?!\+\+)|-(?!--))"))
-    joined = F.trim(F.array_join(kept, "\n"))
-    chosen = F.when(joined != "", joined).otherwise(F.trim(text))
+    joined = trim(F.array_join(kept, "\n"))
+    chosen = F.when(joined != "", joined).otherwise(trim(text))
     return F.when(F.octet_length(chosen) <= max_bytes, chosen).otherwise(utf8_prefix(chosen, F.lit(max_bytes)))
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, java(r"\s+"), " "))
+    return trim(F.regexp_replace(text, java(r"\s+"), " "))
 
 
 def decode_b64(call: Column) -> Column:
     """Decoded text of atob('…') / Buffer.from('…', 'base64').toString(), NULL otherwise."""
-    t = F.trim(call)
+    t = trim(call)
     atob = java(r"^atob\s*\(\s*([\"'`])([A-Za-z0-9+/=_-]+)\1\s*\)$")
     buf = java(
         r"^Buffer\s*\.\s*from\s*\(\s*([\"'`])([A-Za-z0-9+/=_-]+)\1\s*,\s*([\"'`])(base64url|base64)\3\s*\)"
@@ -315,11 +335,11 @@ def infer_vuln_type(issues: Column) -> Column:
 
 
 def extract_code(text: Column) -> Column:
-    t = F.trim(text)
+    t = trim(text)
     fence = r"```(?:[A-Za-z0-9_-]+)?\r?\n([\s\S]*?)```"
     fenced = blank_to_null(F.regexp_extract(t, fence, 1))
-    rest = F.trim(F.regexp_replace(t, r"(?i)\ARoot Cause:\s*[^\r\n]*\r?\n?", ""))
-    return F.coalesce(fenced, F.trim(F.regexp_replace(rest, r"\A```[A-Za-z0-9_-]*\s*|\s*```\z", "")))
+    rest = trim(F.regexp_replace(t, r"(?i)\ARoot Cause:\s*[^\r\n]*\r?\n?", ""))
+    return F.coalesce(fenced, trim(F.regexp_replace(rest, r"\A```[A-Za-z0-9_-]*\s*|\s*```\z", "")))
 
 
 def response_text(body: Column) -> Column:
@@ -329,17 +349,17 @@ def response_text(body: Column) -> Column:
         return F.coalesce(*[F.nullif(F.get_json_object(body, f"$.{n}"), F.lit("")) for n in names])
 
     def usable(c):
-        return F.when(F.trim(c) != "", c)
+        return F.when(trim(c) != "", c)
 
     blocks = F.filter(
         F.from_json(F.get_json_object(body, "$.content"), "array<struct<text:string>>"),
-        lambda b: F.trim(F.coalesce(b["text"], F.lit(""))) != "",
+        lambda b: trim(F.coalesce(b["text"], F.lit(""))) != "",
     )
     return F.coalesce(
         usable(first_truthy(["code", "patchedCode", "replacement", "sourceCode"])),
         usable(first_truthy(["patch", "diff"])),
-        F.trim(F.get(blocks, F.lit(0))["text"]),
-        F.trim(body),
+        trim(F.get(blocks, F.lit(0))["text"]),
+        trim(body),
     )
 
 

@@ -66,10 +66,14 @@ def _facts(f: Source) -> Column:
     )
 
 
-def _statements(files: DataFrame) -> DataFrame:
+def statements(files: DataFrame, tag: str | None = "scan-ignore") -> DataFrame:
+    """Assignments, calls and returns of files that read request input, from one pass over the text."""
+    if "s" in files.columns:
+        return files
     src = Source(F.col("path"), F.col("content"), F.col("code"), F.col("bare"))
-    base = prepare(files.where(pf.is_source(F.col("path")) & F.col("content").rlike(java(fv.CPG_SOURCE))))
-    return base.select("repo_id", "path", _facts(src).alias("s"))
+    base = prepare(files.where(pf.is_source(F.col("path")) & F.col("content").rlike("(?i)req|searchparams|formdata|headers") & F.col("content").rlike(java(fv.CPG_SOURCE))))
+    found = ignore_rows(F.col("content"), tag) if tag else F.lit(None)
+    return base.select("repo_id", "path", _facts(src).alias("s"), found.alias("ignores"))
 
 
 def cpg_nodes(files: DataFrame, tag: str = "scan-ignore") -> DataFrame:
@@ -85,30 +89,38 @@ def cpg_nodes(files: DataFrame, tag: str = "scan-ignore") -> DataFrame:
         F.transform(s["calls"], lambda c: row(c["start"] * 4 + 2, c["line"], "call_expression", c["text"], F.lit(None))),
         F.transform(s["returns"], lambda r: row(r["start"] * 4 + 3, r["line"], "return_statement", r["text"], F.lit(None))),
     )
-    flat = _statements(files).select("repo_id", "path", F.explode(nodes).alias("n")).select("repo_id", "path", "n.*")
+    stmts = statements(files, tag)
+    flat = stmts.select("repo_id", "path", F.explode(nodes).alias("n")).select("repo_id", "path", "n.*")
     flat = flat.withColumn("is_source", is_source_node(F.col("node_type"), F.col("text"))).withColumn(
         "sink_kind", sink_kind(F.col("node_type"), F.col("text"))
     )
-    return flat.join(ignore_directives(files, tag), ["repo_id", "path", "line"], "left").withColumn(
+    return flat.join(ignore_directives(stmts), ["repo_id", "path", "line"], "left").withColumn(
         "ignore_rules", F.coalesce("ignore_rules", F.expr("cast(array() as array<string>)"))
     )
 
 
-def ignore_directives(files: DataFrame, tag: str = "scan-ignore") -> DataFrame:
-    """(repo_id, path, line, ignore_rules): rules named in a comment on the line itself or the one above.
+def ignore_rows(content: Column, tag: str) -> Column:
+    """array<struct<at, rule>>: rules named in comments, with the comment's last line.
 
     Rule names are folded: lower case, '-' and spaces to '_'.
     """
     p = rf"(?i){tag}:\s*([A-Z0-9_,\-\s]+)"
-    comments = find_all(F.col("content"), r"//[^\n]*|/\*[\s\S]*?\*/", lambda t: t.rlike(p))
-    rules = F.filter(
-        F.transform(F.split(F.regexp_extract("c.text", p, 1), r"[,\s]+"), lambda r: F.regexp_replace(F.lower(F.trim(r)), r"[\s-]+", "_")),
-        lambda r: r != "",
+    fold = lambda r: F.regexp_replace(F.lower(F.trim(r)), r"[\s-]+", "_")
+    rows = F.transform(
+        find_all(content, r"//[^\n]*|/\*[\s\S]*?\*/", lambda t: t.rlike(p)),
+        lambda c: F.transform(
+            F.filter(F.transform(F.split(F.regexp_extract(c["text"], p, 1), r"[,\s]+"), fold), lambda r: r != ""),
+            lambda r: F.struct((c["line"] + tx.newlines(c["text"])).alias("at"), r.alias("rule")),
+        ),
+    )
+    return F.when(content.rlike(f"(?i){tag}:"), F.flatten(rows))
+
+
+def ignore_directives(stmts: DataFrame) -> DataFrame:
+    """(repo_id, path, line, ignore_rules): a comment covers its own line and the one below."""
+    spread = stmts.select("repo_id", "path", F.explode("ignores").alias("i")).select(
+        "repo_id", "path", F.explode(F.array(F.col("i.at"), F.col("i.at") + 1)).alias("line"), F.col("i.rule").alias("rule")
     )
-    hits = files.where(F.col("content").rlike(f"(?i){tag}:")).select("repo_id", "path", F.explode(comments).alias("c"))
-    spread = hits.select(
-        "repo_id", "path", (F.col("c.line") + tx.newlines(F.col("c.text"))).alias("at"), F.explode(rules).alias("rule")
-    ).withColumn("line", F.explode(F.array(F.col("at"), F.col("at") + 1)))
     return spread.groupBy("repo_id", "path", "line").agg(F.array_sort(F.collect_set("rule")).alias("ignore_rules"))
 
 
@@ -147,7 +159,7 @@ def cpg_edges(files: DataFrame) -> DataFrame:
         uses(s["calls"], lambda c: c["start"] * 4 + 2, lambda c: strip(c["args"]), lambda c: F.lit("argument")),
         uses(s["returns"], lambda r: r["start"] * 4 + 3, lambda r: r["text"], lambda r: F.lit("return")),
     )
-    stmts = _statements(files)
+    stmts = statements(files)
     flat = stmts.select("repo_id", "path", F.explode(all_rows).alias("u")).select("repo_id", "path", "u.*")
     w = Window.partitionBy("repo_id", "path", "symbol").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     linked = flat.withColumn("src", F.last(F.when(F.col("rank") == 0, F.col("node")), ignorenulls=True).over(w))
@@ -262,12 +274,13 @@ def trail_ignored(rules: Column, vuln_type: Column) -> Column:
 
 def exploit_paths(files: DataFrame, tag: str = "scan-ignore") -> DataFrame:
     """Source-to-sink paths on which a payload survives; the first payload only."""
-    nodes = checkpoint(cpg_nodes(files, tag))
+    stmts = checkpoint(statements(files, tag))
+    nodes = checkpoint(cpg_nodes(stmts, tag))
     keys = ["repo_id", "path"]
     ignored = F.arrays_overlap("ignore_rules", F.array(F.lit("all"), F.lit("fuzzer")))
     sources = nodes.where(F.col("is_source") & ~ignored).select(*keys, F.col("node_id").alias("node"))
     sinks = nodes.where(F.col("sink_kind").isNotNull()).select(*keys, F.col("node_id").alias("node"))
-    traces = trace_to_sink(checkpoint(cpg_edges(files)), sources, sinks, keys)
+    traces = trace_to_sink(checkpoint(cpg_edges(stmts)), sources, sinks, keys)
     steps = traces.select(*keys, "source", "sink", "depth", F.posexplode("trail").alias("step", "node_id"))
     named = steps.join(nodes.select(*keys, "node_id", "line", "text", "sink_kind", "ignore_rules"), keys + ["node_id"])
     # a trail is bounded by the statements of one file

@@ -64,7 +64,7 @@ def diff_secret(added: DataFrame) -> DataFrame:
     """One row per secret occurrence on an added line."""
     occurrences = F.concat(
         *[
-            F.transform(F.regexp_extract_all("text", F.lit(java(p)), F.lit(0)), lambda m, label=label: F.lit(label))
+            F.array_repeat(F.lit(label), F.size(F.regexp_extract_all("text", F.lit(java(p)), F.lit(0))))
             for _, label, p, _ in fv.DIFF_SECRETS
         ]
     )

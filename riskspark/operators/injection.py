@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from riskspark import fixed_values as fv
 from riskspark.functions import paths as pf, scalars as sc, text as tx
-from riskspark.functions.regex import any_of, balanced, java
+from riskspark.functions.regex import balanced, java
 from riskspark.functions.text import IDENT, find_all, fixpoint, let, words
 from riskspark.operators.findings import Source, finding, when
 
@@ -73,7 +73,7 @@ def request_vars(content: Column) -> Column:
         return fixpoint(F.concat(s["seeds"], from_objects), s["edges"], uses)
 
     state = F.struct(seeds.alias("seeds"), objects.alias("objects"), request_edges(content).alias("edges"))
-    return F.when(content.rlike(java(r"\b(?:req|request)\b|searchParams")), let(state, solve)).otherwise(
+    return F.when(content.contains("req") | content.contains("searchParams"), let(state, solve)).otherwise(
         F.expr("cast(array() as array<string>)")
     )
 
@@ -127,7 +127,8 @@ def command_injection(f: Source) -> Column:
 
         return let(built, hits)
 
-    return when(pf.is_source(f.path) & f.content.rlike(java(r"\b(?:exec|execSync)\s*\(")), let(request_vars(f.content), rows))
+    guard = pf.is_source(f.path) & f.content.contains("exec") & f.content.rlike(java(r"\b(?:exec|execSync)\s*\("))
+    return when(guard, let(request_vars(f.content), rows))
 
 
 def path_traversal(f: Source, scope: str = "file") -> Column:
@@ -153,7 +154,7 @@ def path_traversal(f: Source, scope: str = "file") -> Column:
             ),
         )
 
-    guard = pf.is_source(f.path) & f.content.rlike(r"(?:readFile|createReadStream)")
+    guard = pf.is_source(f.path) & (f.content.contains("readFile") | f.content.contains("createReadStream"))
     if scope == "file":
         guard = guard & ~f.content.rlike(java(fv.PATH_BOUNDARY))
     return when(guard, let(request_vars(f.content), rows))
@@ -176,7 +177,7 @@ def auth_bypass(f: Source) -> Column:
             evidence=sc.collapse_ws(h["text"]), requires_deep=True,
         ),
     )
-    guard = f.content.rlike(r"(?i)updateBillingPlan|updateProfile|updateAccount|deleteAccount|transferOwnership|\bUPDATE\s")
+    guard = f.content.rlike(r"(?i)updateBillingPlan|updateProfile|updateAccount|deleteAccount|transferOwnership|UPDATE\s")
     return when(pf.is_source(f.path) & guard, found)
 
 
@@ -457,7 +458,10 @@ def ssrf(f: Source) -> Column:
         return let(F.struct(stops.alias("st")), output)
 
     state = F.struct(file_taint(f).alias("s"), import_names(f.code).alias("imports"))
-    guard = pf.is_source(f.path) & f.content.rlike(any_of([fv.USER_INPUT])) & pf.ssrf_target(f.path, f.content)
+    guard = (
+        pf.is_source(f.path) & pf.ssrf_target(f.path, f.content) & f.content.rlike("(?i)req|searchparams|formdata")
+        & f.content.rlike(java(fv.USER_INPUT))
+    )
     return when(guard, let(state, rows))
 
 

@@ -128,6 +128,6 @@ def binding_lookup(reads: DataFrame, bindings: DataFrame, *keys: str) -> DataFra
         F.col("pos").between(F.col("scope_open"), F.col("scope_close")) & (F.col("decl_end") <= F.col("pos"))
     )
     # inner scopes win; the first declaration in one scope is the one that counts
-    order = F.struct(F.col("scope_open"), -F.col("decl_end"))
+    order = F.struct(F.col("scope_open"), -F.col("decl_end"), F.col("value"))
     best = seen.groupBy(*on, "pos").agg(F.max_by("value", order).alias("value"))
     return reads.join(best, on + ["pos"], "left")

@@ -56,15 +56,8 @@ def import_rows(code: Column) -> Column:
     return F.flatten(F.transform(find_all(code, IMPORT), one))
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(repo_id, path, line, source, imported, local); default/named/namespace/bare imports."""
-    base = files.where(F.col("content").contains("import"))
-    code = tx.mask(F.col("content"))
-    return base.select("repo_id", "path", F.explode(import_rows(code)).alias("i")).select("repo_id", "path", "i.*")
-
-
-def exports(files: DataFrame) -> DataFrame:
-    """Exported local names."""
+def export_rows(code: Column) -> Column:
+    """array<struct<line, name>> of exported local names."""
 
     def one(h):
         s = h["text"]
@@ -74,14 +67,11 @@ def exports(files: DataFrame) -> DataFrame:
             F.filter(F.concat(F.array(single), named), lambda n: n != ""), lambda n: F.struct(h["line"].alias("line"), n.alias("name"))
         )
 
-    rows = F.flatten(F.transform(find_all(tx.mask(F.col("content")), EXPORT), one))
-    return files.where(F.col("content").contains("export")).select("repo_id", "path", F.explode(rows).alias("e")).select(
-        "repo_id", "path", "e.line", "e.name"
-    )
+    return F.flatten(F.transform(find_all(code, EXPORT), one))
 
 
-def re_exports(files: DataFrame) -> DataFrame:
-    """(repo_id, path, line, source, imported, exported) of ``export … from``."""
+def re_export_rows(code: Column) -> Column:
+    """array<struct<line, source, imported, exported>> of ``export … from``."""
 
     def one(h):
         s = h["text"]
@@ -89,12 +79,79 @@ def re_exports(files: DataFrame) -> DataFrame:
         named = F.transform(_specifiers(F.regexp_extract(s, r"\{([^}]*)\}", 1)), lambda r: row(r["name"], r["alias"]))
         return F.when(s.rlike(r"^export\s+\*"), F.array(row(F.lit("*"), F.lit("*")))).otherwise(named)
 
-    rows = F.flatten(F.transform(find_all(tx.mask(F.col("content")), RE_EXPORT), one))
-    return files.where(F.col("content").contains("export")).select("repo_id", "path", F.explode(rows).alias("e")).select(
-        "repo_id", "path", "e.*"
+    return F.flatten(F.transform(find_all(code, RE_EXPORT), one))
+
+
+def import_word_rows(code: Column) -> Column:
+    """array<struct<name, line>>: words of import statements with the statement's line."""
+    return F.flatten(
+        F.transform(
+            find_all(code, IMPORT),
+            lambda h: F.transform(F.array_distinct(words(h["text"])), lambda w: F.struct(w.alias("name"), h["line"].alias("line"))),
+        )
+    )
+
+
+def seed_names(code: Column) -> Column:
+    """Declared names that look secret or hold a credential-shaped value."""
+    decl = rf"(?<![\w$.])(?:const|let|var)\s+({IDENT})\s*(?::[^=;\n]*+)?(?:=(?![=>])\s*([^;\n]*))?"
+    secret = any_of([p for _, _, p, _ in fv.CREDENTIALS])
+    hits = F.filter(
+        F.regexp_extract_all(code, F.lit(decl), F.lit(0)),
+        lambda m: F.regexp_extract(m, decl, 1).rlike(java(fv.TAINT_NAME)) | F.regexp_extract(m, decl, 2).rlike(secret),
+    )
+    return F.array_distinct(F.transform(hits, lambda m: F.regexp_extract(m, decl, 1)))
+
+
+def module_facts(files: DataFrame) -> DataFrame:
+    """Everything the module analyses need, from one pass over the text: names and lines only."""
+    code = F.col("code")
+    has = F.col("content").contains
+    some = lambda word, rows: F.when(has(word), rows)
+    masked = files.where(F.col("content").isNotNull()).withColumn("code", tx.mask(F.col("content")))
+    return masked.select(
+        "repo_id", "path", some("import", import_rows(code)).alias("imports"), some("import", import_word_rows(code)).alias("import_words"),
+        some("export", re_export_rows(code)).alias("re_exports"), some("export", export_rows(code)).alias("exports"),
+        seed_names(code).alias("seeds"),
+        F.coalesce(some("use client", code.rlike(r"(?m)^\s*['\"]use client['\"]\s*;?\s*$")), F.lit(False)).alias("is_client"),
     )
 
 
+def _facts(table: DataFrame) -> DataFrame:
+    return table if "imports" in table.columns else module_facts(table)
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, source, imported, local); default/named/namespace/bare imports."""
+    return _facts(files).select("repo_id", "path", F.explode("imports").alias("i")).select("repo_id", "path", "i.*")
+
+
+def exports(files: DataFrame) -> DataFrame:
+    """Exported local names."""
+    return _facts(files).select("repo_id", "path", F.explode("exports").alias("e")).select("repo_id", "path", "e.line", "e.name")
+
+
+def re_exports(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, source, imported, exported) of ``export … from``."""
+    return _facts(files).select("repo_id", "path", F.explode("re_exports").alias("e")).select("repo_id", "path", "e.*")
+
+
+def import_line_map(files: DataFrame) -> DataFrame:
+    """First import line that mentions a word: (repo_id, path, name, line)."""
+    rows = _facts(files).select("repo_id", "path", F.explode("import_words").alias("w"))
+    return rows.groupBy("repo_id", "path", F.col("w.name").alias("name")).agg(F.min("w.line").alias("line"))
+
+
+def taint_seeds(files: DataFrame) -> DataFrame:
+    """(repo_id, path, name) of secret-looking declarations."""
+    return _facts(files).select("repo_id", "path", F.explode("seeds").alias("name"))
+
+
+def client_files(files: DataFrame) -> DataFrame:
+    """Files with a top-level 'use client' directive statement."""
+    return _facts(files).where("is_client").select("repo_id", "path")
+
+
 def local_import_sources(files: DataFrame) -> DataFrame:
     """Relative import / require sources, distinct per file."""
     c = F.col("content")
@@ -103,17 +160,8 @@ def local_import_sources(files: DataFrame) -> DataFrame:
         F.regexp_extract_all(c, F.lit(java(r"\brequire\s*\(\s*['\"](.+?)['\"]\s*\)")), F.lit(1)),
     )
     local = F.array_distinct(F.filter(found, lambda s: s.startswith(".")))
-    return files.where(c.rlike("import|require")).select("repo_id", "path", F.explode(local).alias("source"))
-
-
-def import_line_map(files: DataFrame) -> DataFrame:
-    """First import line that mentions a word: (repo_id, path, name, line)."""
-    stmts = F.explode(find_all(tx.mask(F.col("content")), IMPORT)).alias("h")
-    return (
-        files.where(F.col("content").contains("import")).select("repo_id", "path", stmts)
-        .select("repo_id", "path", F.explode(words(F.col("h.text"))).alias("name"), F.col("h.line").alias("line"))
-        .groupBy("repo_id", "path", "name").agg(F.min("line").alias("line"))
-    )
+    guard = c.contains("import") | c.contains("require")
+    return files.where(guard).select("repo_id", "path", F.explode(local).alias("source"))
 
 
 # --- resolution ---------------------------------------------------------------------------
@@ -162,6 +210,7 @@ def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
 def module_edges(files: DataFrame) -> DataFrame:
     """Resolved name flow between files: (repo_id, importer, imported, local, source_path, kind).
 
+    Takes a file table or its :func:`module_facts`.
     Default and namespace imports look up their local name in the source file.
     """
     imp = imports(files).where(F.col("imported").isNotNull()).select(
@@ -176,17 +225,6 @@ def module_edges(files: DataFrame) -> DataFrame:
     return both.select("repo_id", F.col("path").alias("importer"), "imported", "local", "source_path", "kind")
 
 
-def taint_seeds(files: DataFrame) -> DataFrame:
-    """Declared names that look secret or hold a credential-shaped value: (repo_id, path, name)."""
-    decl = rf"(?<![\w$.])(?:const|let|var)\s+({IDENT})\s*(?::[^=;\n]*+)?(?:=(?![=>])\s*([^;\n]*))?"
-    secret = any_of([p for _, _, p, _ in fv.CREDENTIALS])
-    hits = F.filter(
-        F.regexp_extract_all(tx.mask(F.col("content")), F.lit(decl), F.lit(0)),
-        lambda m: F.regexp_extract(m, decl, 1).rlike(java(fv.TAINT_NAME)) | F.regexp_extract(m, decl, 2).rlike(secret),
-    )
-    return files.select("repo_id", "path", F.explode(F.array_distinct(F.transform(hits, lambda m: F.regexp_extract(m, decl, 1)))).alias("name"))
-
-
 def module_taint_fixpoint(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """All tainted (repo_id, path, name): semi-naive rounds over the resolved edges.
 
@@ -216,12 +254,6 @@ def _reach(edges: DataFrame, src: DataFrame) -> DataFrame:
     return named.unionByName(every)
 
 
-def client_files(files: DataFrame) -> DataFrame:
-    """Files with a top-level 'use client' directive statement."""
-    c = F.col("content")
-    return files.where(c.contains("use client") & tx.mask(c).rlike(r"(?m)^\s*['\"]use client['\"]\s*;?\s*$")).select("repo_id", "path")
-
-
 def taint_violations(edges: DataFrame, tainted: DataFrame, clients: DataFrame, lines: DataFrame) -> DataFrame:
     """A client file imports a tainted name; line of the first import naming it, else 1."""
     imp = edges.where(F.col("kind") == "import")
@@ -239,10 +271,11 @@ def taint_violations(edges: DataFrame, tainted: DataFrame, clients: DataFrame, l
 
 
 def module_taint(files: DataFrame) -> DataFrame:
-    """Seeds, fixpoint and violations over a file table."""
-    edges = checkpoint(module_edges(files))
-    tainted = module_taint_fixpoint(edges, taint_seeds(files))
-    return taint_violations(edges, tainted, client_files(files), import_line_map(files))
+    """Seeds, fixpoint and violations over a file table; the text is read once."""
+    facts = checkpoint(module_facts(files))
+    edges = checkpoint(module_edges(facts))
+    tainted = module_taint_fixpoint(edges, taint_seeds(facts))
+    return taint_violations(edges, tainted, client_files(facts), import_line_map(facts))
 
 
 def ambiguous_context(findings: DataFrame, files: DataFrame) -> DataFrame:

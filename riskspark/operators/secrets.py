@@ -95,7 +95,7 @@ def credential_hits(f: Source) -> Column:
 
         return F.transform(found, one)
 
-    guard = f.content.rlike(sc.maybe_secret()) & in_credential_scope(f)
+    guard = sc.secret_guard(f.content) & in_credential_scope(f)
     return when(guard, let(client_calls(f), build))
 
 
@@ -109,7 +109,7 @@ def service_role_identifiers(f: Source) -> Column:
             evidence="Supabase service role reference",
         ),
     )
-    return when(f.content.rlike(r"(?i)service[_-]?role") & in_credential_scope(f), found)
+    return when(in_credential_scope(f) & f.content.rlike(r"(?i)service[_-]?role"), found)
 
 
 def _secret_assignments(f: Source) -> Column:
@@ -164,7 +164,8 @@ def named_secret_literals(f: Source, rule_id: str, message: Column, include_know
 
         return F.transform(F.filter(_secret_assignments(f), kept), one)
 
-    return when(f.content.rlike(java(fv.SECRET_NAME)) & scope, let(_local_url_names(f), build))
+    assigned = f.content.rlike(rf"(?i)(?:key|secret|token|password)[\w$]*\s*(?::[^=;\n]*)?=\s*['\"]")
+    return when(scope & assigned, let(_local_url_names(f), build))
 
 
 def named_secrets_frontend(f: Source) -> Column:
@@ -348,7 +349,8 @@ def folded_secrets(f: Source) -> Column:
 
         return let(client_calls(f), rows)
 
-    guard = f.content.rlike(r"\+|\.\s*join\s*\(|`|atob\s*\(|Buffer\s*\.\s*from") & in_credential_scope(f)
+    c = f.content
+    guard = (c.contains("+") | c.contains("`") | c.contains("atob") | c.contains("Buffer") | c.rlike(r"\.\s*join\s*\(")) & in_credential_scope(f)
     return when(guard, let(const_values(f), build))
 
 
