@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.source_files(spark, sf_dir)
+    return corpus.stored_files(spark, sf_dir)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from riskspark import corpus
 from riskspark.functions import text as tx
 from riskspark.operators import dataflow, diffs, lexical, modules, remediate
 from riskspark.plans import jobs
+from riskspark.session import spread
 
 # --- reachability on id graphs ---------------------------------------------------------------------------
 
@@ -122,7 +123,7 @@ def _diffs(spark, sf):
     """One diff per document: its template, CRLF for odd ids, and the text as unchanged lines of a second file."""
     rows = [(k, _HEAD.replace("{p}", p) + "\n".join(body)) for k, (p, body, _) in enumerate(DIFFS)]
     t = spark.createDataFrame(rows, "k int, body string")
-    d = table(spark, sf, "documents").select("doc_id", "text").withColumn("k", F.pmod("doc_id", F.lit(len(DIFFS))).cast("int")).join(F.broadcast(t), "k")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumn("k", F.pmod("doc_id", F.lit(len(DIFFS))).cast("int")).join(F.broadcast(t), "k")
     n = (F.col("doc_id") % 50 + 1).cast("string")
     clean = F.replace(F.regexp_replace("text", "[^A-Za-z\n]+", " "), F.lit("\n"), F.lit("\n "))
     tail = F.concat(F.lit("\ndiff --git a/z.txt b/z.txt\n+++ b/z.txt\n@@ -1 +1 @@\n "), clean)

@@ -9,6 +9,7 @@ from riskspark.catalog.common import events, files, query, table
 from riskspark.functions import paths as pf, scalars as sc, text as tx
 from riskspark.operators import dataflow, lexical, post, score, secrets, sqlrls
 from riskspark.operators.findings import finding
+from riskspark.session import spread
 
 _LINES = "SELECT doc_id, source, CAST(i AS INTEGER) AS line, lines[i] AS text FROM (SELECT doc_id, source, regexp_split_to_array(text, '\\r?\\n') AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)"
 _HITS = f"SELECT doc_id, source, line, unnest(regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9_$]*)\\s*=\\s*\"([^\"\\n]*)\"', 1)) AS name, unnest(regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9_$]*)\\s*=\\s*\"([^\"\\n]*)\"', 2)) AS literal FROM ({_LINES})"
@@ -16,7 +17,7 @@ _NAMED = f"SELECT * FROM ({_HITS}) WHERE regexp_matches(name, '(?i)key|secret|to
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def _named(spark, sf):

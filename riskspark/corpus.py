@@ -12,10 +12,13 @@ pattern of ours.
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskspark.session import checkpoint_dir
+
 HEADERS = 5
 
 
@@ -247,6 +250,20 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict = {}
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a table stored by extension, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+        source_files(spark, sf_dir).write.partitionBy("ext").parquet(path)
+        _STORED[key] = path
+    schema = "repo_id string, path string, content string, changed boolean, doc_id bigint, ext string"
+    return spark.read.schema(schema).option("basePath", _STORED[key]).parquet(_STORED[key])
+
+
 # --- truth as SQL -----------------------------------------------------------------------------------
 
 def _q(v) -> str:

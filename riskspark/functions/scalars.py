@@ -136,7 +136,10 @@ def gate_table_name(name: Column) -> Column:
 
 def sql_literal(text: Column) -> Column:
     """struct<type, num, str, raw> of a static SQL literal, NULL otherwise."""
-    t = trim(text)
+    return let(trim(text), _sql_literal)
+
+
+def _sql_literal(t: Column) -> Column:
     none_num, none_str = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def lit(kind, num, str_, raw):
@@ -154,12 +157,13 @@ def sql_literal(text: Column) -> Column:
 def static_predicate(predicate: Column) -> Column:
     """Evidence text when both sides are same-typed literals and the comparison is true."""
     cmp = java(fv.STATIC_COMPARISON)
-    t = trim(predicate)
-    parts = F.struct(
-        sql_literal(F.regexp_extract(t, cmp, 1)).alias("l"),
-        F.regexp_extract(t, cmp, 2).alias("op"),
-        sql_literal(F.regexp_extract(t, cmp, 3)).alias("r"),
-    )
+
+    def parts(t: Column) -> Column:
+        return F.struct(
+            sql_literal(F.regexp_extract(t, cmp, 1)).alias("l"),
+            F.regexp_extract(t, cmp, 2).alias("op"),
+            sql_literal(F.regexp_extract(t, cmp, 3)).alias("r"),
+        )
 
     def judge(x: Column) -> Column:
         num = x["l"]["type"] != "string"
@@ -177,7 +181,8 @@ def static_predicate(predicate: Column) -> Column:
             F.when(same, F.lit("tautological RLS predicate")).otherwise(F.lit("statically true RLS predicate")),
         )
 
-    return F.when(t.rlike(cmp), let(parts, judge))
+    # a literal starts with a digit, a quote, or true/false
+    return let(trim(predicate), lambda t: F.when(t.rlike(r"(?i)^['\"\dtf]") & t.rlike(cmp), let(parts(t), judge)))
 
 
 def version_class(v: Column) -> Column:

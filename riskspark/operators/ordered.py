@@ -115,34 +115,32 @@ def anchored_windows(events: DataFrame, keys: list[str], ts: str, width_seconds:
     types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy())
+    def exits(group: dict) -> dict:
+        t = group["us"]
         nxt = np.searchsorted(t, t + width)
         last = t.copy()
         for i in range(len(t) - 1, -1, -1):
             if nxt[i] < len(t):
                 last[i] = last[nxt[i]]
         # a slice is entered at one of the events of its first width, or at the first one after that
-        early = int(np.searchsorted(t, int(pdf["slice"].iloc[0]) * span + width))
+        early = int(np.searchsorted(t, int(group["slice"][0]) * span + width))
         entry = np.arange(min(early + 1, len(t)))
         # runs of entries with one exit are kept as their latest entry
         keep = entry[np.append(last[entry][1:] != last[entry][:-1], True)]
-        return pdf.iloc[[0]][keys + ["slice"]].assign(entry=[t[keep].tolist()], exit=[last[keep].tolist()])
+        return {"slice": group["slice"][:1], "entry": [t[keep].tolist()], "exit": [last[keep].tolist()]}
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slice")
+    def carry(group: dict) -> dict:
         out, anchor = [], None
-        for entry, exit_ in zip(pdf["entry"], pdf["exit"]):
+        for entry, exit_ in zip(group["entry"], group["exit"]):
             out.append(anchor)
             due = -(2**62) if anchor is None else anchor + width
             at = np.searchsorted(np.asarray(entry), due)
             if at < len(entry):
                 anchor = int(exit_[at])
-        return pdf[keys + ["slice"]].assign(inherited=pd.array(out, dtype="Int64"))
+        return {"slice": group["slice"], "inherited": out}
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy())
-        inherited = pdf["inherited"].iloc[0]
+    def assign(group: dict) -> dict:
+        t, inherited = group["us"], group["inherited"][0]
         anchors = np.empty(len(t), dtype="int64")
         i = 0
         if not pd.isna(inherited):
@@ -152,14 +150,62 @@ def anchored_windows(events: DataFrame, keys: list[str], ts: str, width_seconds:
             j = int(np.searchsorted(t, t[i] + width))
             anchors[i:j] = t[i]
             i = j
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(t) for k in keys}, "us": t, "anchor_us": anchors})
+        return {"us": t, "anchor_us": anchors}
 
-    maps = points.groupBy(*keys, "slice").applyInPandas(exits, f"{key_ddl}, slice bigint, entry array<bigint>, exit array<bigint>")
-    carried = maps.groupBy(*keys).applyInPandas(carry, f"{key_ddl}, slice bigint, inherited bigint")
-    solved = points.join(carried, keys + ["slice"]).groupBy(*keys, "slice").applyInPandas(assign, f"{key_ddl}, us bigint, anchor_us bigint")
+    maps = sorted_groups(points, keys + ["slice"], ["us"], keys, exits, f"{key_ddl}, slice bigint, entry array<bigint>, exit array<bigint>")
+    carried = sorted_groups(maps, keys, ["slice"], keys, carry, f"{key_ddl}, slice bigint, inherited bigint")
+    solved = sorted_groups(points.join(carried, keys + ["slice"]), keys + ["slice"], ["us"], keys, assign, f"{key_ddl}, us bigint, anchor_us bigint")
     return solved.select(*keys, F.timestamp_micros("us").alias(ts), F.timestamp_micros("anchor_us").alias("anchor"))
 
 
+def sorted_groups(df: DataFrame, by: list[str], order: list[str], out_keys: list[str], fn: Callable[[dict], dict], schema: str) -> DataFrame:
+    """Run ``fn`` on the columns of each group of a hash-partitioned, sorted table.
+
+    Groups are cut out of Arrow batches, so thousands of small groups cost one
+    Python call per batch; a group is held whole only in its own task.
+    """
+
+    def run(frames):
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            if len(pdf) == 0:
+                continue
+            held.append(pdf)
+            first, last = held[0][by].iloc[0], pdf[by].iloc[-1]
+            if first.equals(last):
+                continue
+            whole = pd.concat(held) if len(held) > 1 else pdf
+            cut = _starts(whole, by)
+            held = [whole.iloc[cut[-1] :]]
+            yield _apply(whole.iloc[: cut[-1]], cut[:-1])
+        if held:
+            whole = pd.concat(held) if len(held) > 1 else held[0]
+            yield _apply(whole, _starts(whole, by))
+
+    def _starts(pdf: pd.DataFrame, cols: list[str]) -> np.ndarray:
+        change = np.zeros(len(pdf), dtype=bool)
+        change[0] = True
+        for c in cols:
+            v = pdf[c].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
+    def _apply(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        out: dict[str, list] = {}
+        for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+            result = fn({c: v[a:b] for c, v in cols.items()})
+            n = len(next(iter(result.values())))
+            for k in out_keys:
+                out.setdefault(k, []).extend([cols[k][a]] * n)
+            for name, values in result.items():
+                out.setdefault(name, []).extend(values)
+        names = [part.split()[0] for part in schema.split(", ")]
+        return pd.DataFrame({n: pd.Series(out[n], dtype="Int64" if n == "inherited" else None) for n in names})
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 def _with_anchor(events: DataFrame, keys: list[str], ts: str, tie: str, width: int) -> DataFrame:
     base = events.withColumn(ts, F.col(ts).cast("timestamp"))
     anchored = base.join(anchored_windows(base, keys, ts, width), keys + [ts])

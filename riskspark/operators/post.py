@@ -54,7 +54,7 @@ def directives(files: DataFrame, tag: str = "scan-ignore") -> DataFrame:
     The comment must stand alone on its line and name one rule.
     """
     p = rf"(?m)(?<=\n|^)[^\S\n]*//[^\S\n]*(?i:{tag}):[^\S\n]*[A-Za-z0-9_-]+[^\S\n]*(?=\n|\z)"
-    hits = files.where(pf.is_source(F.col("path")) & F.col("content").rlike(f"(?i){tag}:")).select(
+    hits = files.where(F.col("ext").isin(fv.SOURCE_EXTENSIONS) & pf.is_source(F.col("path")) & F.col("content").rlike(f"(?i){tag}:")).select(
         "repo_id", "path", F.explode(find_all(F.col("content"), p)).alias("h")
     )
     rule = F.lower(F.regexp_extract("h.text", r":\s*([A-Za-z0-9_-]+)\s*\z", 1))

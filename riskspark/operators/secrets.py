@@ -491,7 +491,7 @@ def named_secret_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Line mode for any text: one row per ``name = "literal"`` whose name looks secret."""
     hits = F.regexp_extract_all("text", F.lit(f"({NAMED_LITERAL})"), F.lit(1))
     return (
-        lines.where(F.col("text").rlike(NAMED_LITERAL))
+        lines.where(F.col("text").contains('"') & F.col("text").contains("=") & F.col("text").rlike(NAMED_LITERAL))
         .select(*keys, "line", F.posexplode(hits).alias("k", "hit"))
         .select(
             *keys, "line", "k",

@@ -183,4 +183,4 @@ def gate_missing_rls(report: DataFrame) -> DataFrame:
 
 
 def migrations(files: DataFrame) -> DataFrame:
-    return files.where(pf.is_migration(F.col("path")))
+    return files.where((F.col("ext") == "sql") & pf.is_migration(F.col("path")))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskspark import fixed_values as fv
 from riskspark.functions import paths as pf
 from riskspark.operators import custom, dataflow, deps, diffs, governance, injection as inj, modules, post, remediate, score, secrets, sqlrls
 from riskspark.operators.findings import run_rules
@@ -34,7 +35,8 @@ def registered_findings(files: DataFrame) -> list[DataFrame]:
 
 
 def _sources(files: DataFrame) -> DataFrame:
-    return files.where(pf.in_source_tree(F.col("path")))
+    """Source files; the ``ext`` test prunes partitions of a table stored by extension."""
+    return files.where(F.col("ext").isin(fv.SOURCE_EXTENSIONS) & pf.in_source_tree(F.col("path")))
 
 
 def scan_sources(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -47,13 +49,13 @@ def scan_sources(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def scan_migrations(files: DataFrame, per_file: bool = False) -> DataFrame:
-    sql = files.where(F.lower(pf.extension(F.col("path"))) == "sql") if per_file else sqlrls.migrations(files)
+    sql = files.where(F.lower("ext") == "sql") if per_file else sqlrls.migrations(files)
     missing = sqlrls.missing_rls_per_file(sql) if per_file else sqlrls.missing_rls(sql)
     return post.union_findings(missing, run_rules(sql, [sqlrls.rls_tautology]))
 
 
 def scan_dependencies(files: DataFrame) -> DataFrame:
-    rows, _ = deps.parse_manifests(files.where(pf.is_manifest(F.col("path"))))
+    rows, _ = deps.parse_manifests(files.where((F.col("ext") == "json") & pf.is_manifest(F.col("path"))))
     return deps.dependency_unpinned(rows)
 
 
@@ -115,12 +117,12 @@ def gate_code(files: DataFrame) -> DataFrame:
 
 
 def _sources_for_gate(files: DataFrame) -> DataFrame:
-    return files.where(pf.is_source(F.col("path")) & ~pf.watch_ignored(F.col("path")))
+    return files.where(F.col("ext").isin(fv.SOURCE_EXTENSIONS) & pf.is_source(F.col("path")) & ~pf.watch_ignored(F.col("path")))
 
 
 def release_gate(files: DataFrame, tag: str = "scan-ignore") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gate findings, exploit paths, status per repository)."""
-    rows, bad = deps.parse_manifests(files.where(pf.is_manifest(F.col("path")) & ~pf.watch_ignored(F.col("path"))))
+    rows, bad = deps.parse_manifests(files.where((F.col("ext") == "json") & pf.is_manifest(F.col("path")) & ~pf.watch_ignored(F.col("path"))))
     fast = gate_code(files).unionByName(deps.gate_dependencies(rows, bad))
     migration = sqlrls.gate_missing_rls(sqlrls.migration_report(sqlrls.migrations(files)))
     gate = post.gate_union(fast, migration)
@@ -131,7 +133,8 @@ def release_gate(files: DataFrame, tag: str = "scan-ignore") -> tuple[DataFrame,
 
 def scan_diffs(diff_table: DataFrame, diff_id: str = "diff_id", text: str = "diff") -> tuple[DataFrame, DataFrame]:
     """(findings, verdict per diff)."""
-    found = checkpoint(diffs.diff_findings(diffs.added_lines(diffs.diff_lines(diff_table, diff_id, text))))
+    added = checkpoint(diffs.added_lines(diffs.diff_lines(diff_table, diff_id, text)))  # six rules read it
+    found = checkpoint(diffs.diff_findings(added))
     return found, diffs.diff_verdict(diff_table, found, diff_id)
 
 

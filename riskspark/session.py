@@ -44,3 +44,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of a loop step; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a scan that has fewer splits than the cluster has cores; larger scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
