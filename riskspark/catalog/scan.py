@@ -8,7 +8,7 @@ from riskspark import corpus
 from riskspark.catalog.common import SHOWN, files, query
 from riskspark.functions import paths as pf, scalars as sc, text as tx
 from riskspark.operators import custom, dataflow, deps, injection as inj, lexical, modules, post, remediate, score, secrets, sqlrls
-from riskspark.operators.findings import Source, prepare, run_rules
+from riskspark.operators.findings import Source, only, prepare, run_rules
 from riskspark.plans import jobs
 from riskspark.sources import sinks
 
@@ -44,7 +44,7 @@ _rule_query("rule_command_injection", [inj.command_injection], ["command-injecti
 _rule_query("rule_path_traversal", [inj.path_traversal], ["path-traversal"])
 _rule_query("rule_auth_bypass", [inj.auth_bypass], ["auth-bypass"])
 _rule_query("rule_architectural_leak", [inj.architectural_leak], ["architectural-leak"])
-_rule_query("ambiguous_boundaries", [lambda f: F.filter(inj.ssrf(f), lambda x: x["rule_id"] == "ambiguous-ast")], ["ambiguous-ast"])
+_rule_query("ambiguous_boundaries", [only(inj.ssrf, lambda x: x["rule_id"] == "ambiguous-ast")], ["ambiguous-ast"])
 
 
 # --- migrations and manifests -------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -23,7 +24,7 @@ class Source(NamedTuple):
     bare: Column
 
 
-Rule = Callable[[Source], Column]  # -> array<finding>
+Rule = Callable[[Source], "Guarded | Column"]  # -> array<finding>
 
 
 def finding(**fields) -> Column:
@@ -59,9 +60,28 @@ def none() -> Column:
     return F.expr(NO_FINDINGS)
 
 
-def when(guard: Column, findings: Column) -> Column:
-    """Findings behind a cheap guard, so costly patterns see few rows."""
-    return F.when(F.coalesce(guard, F.lit(False)), findings).otherwise(none())
+class Guarded(NamedTuple):
+    """Findings behind a cheap guard that reads path and content only."""
+
+    guard: Column
+    findings: Column
+
+    def column(self) -> Column:
+        return F.when(F.coalesce(self.guard, F.lit(False)), self.findings).otherwise(none())
+
+
+def when(guard: Column, findings: Column) -> Guarded:
+    return Guarded(guard, findings)
+
+
+def only(rule: Rule, keep: Callable[[Column], Column]) -> Rule:
+    """The rule restricted to findings that satisfy ``keep``."""
+
+    def restricted(f: Source):
+        inner = rule(f)
+        return Guarded(inner.guard, F.filter(inner.findings, keep)) if isinstance(inner, Guarded) else F.filter(inner, keep)
+
+    return restricted
 
 
 def prepare(files: DataFrame) -> DataFrame:
@@ -72,7 +92,7 @@ def prepare(files: DataFrame) -> DataFrame:
 _COMPILED: dict = {}
 
 
-def compiled(files: DataFrame, rule: Rule) -> Column:
+def compiled(files: DataFrame, rule: Rule) -> Guarded | Column:
     """The rule's expression.  It only names columns, so one object serves every plan of a session."""
     key = (files.sparkSession.sparkContext.applicationId, rule)
     if key not in _COMPILED:
@@ -83,10 +103,15 @@ def compiled(files: DataFrame, rule: Rule) -> Column:
 def run_rules(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """All row-local rules in one projection and one explode: no shuffle, text read once.
 
+    Files on which no rule's guard holds are dropped before they are lexed.
     ``seq`` numbers findings in rule order within a file.
     """
-    hits = [compiled(files, rule) for rule in rules]
+    parts = [compiled(files, rule) for rule in rules]
+    hits = [p.column() if isinstance(p, Guarded) else p for p in parts]
     merged = hits[0] if len(hits) == 1 else F.concat(*hits)
-    base = prepare(files.where(F.col("content").isNotNull()))
+    live = F.col("content").isNotNull()
+    if all(isinstance(p, Guarded) for p in parts):
+        live = live & functools.reduce(lambda a, b: a | b, [F.coalesce(p.guard, F.lit(False)) for p in parts])
+    base = prepare(files.where(live))
     out = base.select("repo_id", "path", F.posexplode(merged).alias("seq", "f"))
     return out.select("repo_id", "path", F.col("seq").cast("bigint").alias("seq"), "f.*")

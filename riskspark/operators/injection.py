@@ -15,7 +15,7 @@ from riskspark import fixed_values as fv
 from riskspark.functions import paths as pf, scalars as sc, text as tx
 from riskspark.functions.regex import balanced, java
 from riskspark.functions.text import IDENT, find_all, fixpoint, let, words
-from riskspark.operators.findings import Source, finding, when
+from riskspark.operators.findings import Source, finding, none, when
 
 PARENS = balanced("(", ")", 8)
 BRACKETS = balanced("[", "]", 4)
@@ -584,8 +584,9 @@ def architectural_leak(f: Source) -> Column:
             ),
         )
 
-    guard = pf.is_source(f.path) & f.content.contains("use client") & f.code.rlike(r"(?m)^\s*['\"]use client['\"]\s*;?\s*$")
-    return when(guard, let(names, rows))
+    # the directive must be code, not a comment
+    directive = f.code.rlike(r"(?m)^\s*['\"]use client['\"]\s*;?\s*$")
+    return when(pf.is_source(f.path) & f.content.contains("use client"), F.when(directive, let(names, rows)).otherwise(none()))
 
 
 INJECTION_RULES = [ssrf, sql_injection, command_injection, path_traversal, auth_bypass, architectural_leak]

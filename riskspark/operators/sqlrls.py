@@ -13,7 +13,7 @@ from riskspark import fixed_values as fv
 from riskspark.functions import paths as pf, scalars as sc, text as tx
 from riskspark.functions.regex import java
 from riskspark.functions.text import find_all, let
-from riskspark.operators.findings import Source, finding
+from riskspark.operators.findings import Source, finding, when
 
 _DOLLAR = r"(\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$)[\s\S]*?(?:\1|\z)"
 _SQL_SKIP = r"--[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|'[^']*+(?:'|\z)|\"[^\"]*+(?:\"|\z)"
@@ -119,7 +119,7 @@ def rls_tautology(f: Source) -> Column:
         F.filter(hits, lambda h: h["why"].isNotNull()),
         lambda h: finding(rule_id="missing-rls", severity="critical", line=h["line"], message=fv.MSG_TAUTOLOGY, evidence=h["why"]),
     )
-    return found
+    return when(f.content.rlike(r"(?i)using|check"), found)
 
 
 # --- gate ----------------------------------------------------------------------------------
