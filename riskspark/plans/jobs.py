@@ -71,12 +71,12 @@ def scan_project(
     parts = [scan_sources(files, rules), scan_migrations(files, per_file=diff_mode)]
     if not diff_mode:
         parts.append(scan_dependencies(files))
-    found = post.dedupe_findings(post.union_findings(*parts))
+    found = checkpoint(post.dedupe_findings(post.union_findings(*parts)))  # what follows reads it several times
     if ignore_rules is not None and ignore_paths is not None:
         found = post.apply_policy(found, ignore_rules, ignore_paths)
     else:
         found = found.where(~pf.is_test_path(F.col("path")))
-    found = post.drop_redundant_ambiguous(checkpoint(found))
+    found = post.drop_redundant_ambiguous(found)
     return post.suppress(found, post.directives(files, tag))
 
 
