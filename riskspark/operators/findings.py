@@ -32,6 +32,9 @@ def finding(**fields) -> Column:
     cols = []
     for name, typ in schemas.FINDING_FIELDS:
         value = fields.pop(name, None)
+        if value is None:
+            cols.append(F.expr(f"cast(null as {typ}) as {name}"))
+            continue
         col = value if isinstance(value, Column) else F.lit(value)
         cols.append(col.cast(typ).alias(name))
     if fields:

@@ -432,7 +432,7 @@ def ssrf(f: Source) -> Column:
             )
 
         def weak(c):
-            near = F.regexp_extract_all(f.code, F.lit(rf"[^;\n]*(?:\.test|\.has|\.includes)\s*\(\s*{IDENT}[^;\n]*"), F.lit(0))
+            near = F.regexp_extract_all(f.code, F.lit(rf"(?<=[;\n]|^)[^;\n]*(?:\.test|\.has|\.includes)\s*\(\s*{IDENT}[^;\n]*"), F.lit(0))
             about = F.filter(
                 near, lambda n: F.regexp_extract(n, rf"(?:\.test|\.has|\.includes)\s*\(\s*({IDENT})", 1) == c["first"]
             )
