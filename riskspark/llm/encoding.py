@@ -1,0 +1,96 @@
+"""Token ids of whole texts by the tokenizers library, with a cache of space-delimited chunks.
+
+Byte-level BPE never joins pieces across a space that stands before a visible character, nor across a line break
+between two visible characters.  Such chunks recur, so a worker encodes each new chunk once.  Texts with other white
+space at these places or with a special token's string, and tokenizers of other kinds, are encoded whole.
+"""
+
+from __future__ import annotations
+
+import functools
+import json
+import os
+
+import numpy as np
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
+
+from tokenizers import Tokenizer  # noqa: E402
+
+CHARS = 4_000_000
+
+
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+class Encoder:
+    """``keep`` bounds the chunks a worker remembers; when it is reached, the cache starts anew."""
+
+    def __init__(self, path: str, keep: int = 600_000):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunk = (
+            spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+        self.marks = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.keep = keep
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.line_break = self._encode(["\n"])[0]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, text: str) -> list[list[str]] | None:
+        """Chunks of each line, None where chunks may not be encoded alone."""
+        if not self.by_chunk or any(m in text for m in self.marks):
+            return None
+        lines = [line.split(" ") for line in text.split("\n")]
+        for parts in lines:
+            if any(not p or p[0].isspace() for p in parts) or parts[-1][-1].isspace():
+                return None
+        return lines
+
+    def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> None:
+        if len(known) + len(chunks) > self.keep:
+            known.clear()
+        new = [c for c in chunks if c not in known]
+        known.update(zip(new, self._encode([before + c for c in new])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= CHARS):
+                chars += len(texts[end])
+                end += 1
+            out += self._some(texts[at:end])
+            at = end
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        split = [self._lines(t) if t else [] for t in texts]
+        heads, tails = set(), set()
+        for lines in split:
+            for parts in lines or ():
+                heads.add(parts[0])
+                tails.update(parts[1:])
+        self._learn(self.heads, heads, "")
+        self._learn(self.tails, tails, " ")
+        whole = iter(self._encode([t for t, lines in zip(texts, split) if lines is None]))
+        head, tail = self.heads.__getitem__, self.tails.__getitem__
+        return [
+            next(whole) if lines is None
+            else self.line_break.join([head(p[0]) + b"".join(map(tail, p[1:])) for p in lines])
+            for lines in split]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker and vocabulary."""
+    return Encoder(path)
