@@ -1,4 +1,4 @@
 """Import every operator module; their queries register themselves."""
 
-from riskspark.llm import linechunks, linefreq, packing, revisits, simhash, tokenfile  # noqa: F401
+from riskspark.llm import linechunks, linefreq, packing, revisits, simhash, tokenfile, toxicity, zquality  # noqa: F401
 from riskspark.llm.common import ORACLES, QUERIES  # noqa: F401
