@@ -2,7 +2,7 @@
 
 A text is split at line feeds.  A line's hash is the first 32 bits of its MD5; a rolling hash runs over the last
 ``WINDOW`` line hashes.  A chunk ends after a line whose rolling hash is divisible by ``mean``, unless the line before it
-is such a line too, so chunks depend on a few lines around their ends only, and lines put in or left out elsewhere do not
+is such a line too or a single line is left, so chunks depend on a few lines around their ends only, and lines put in or left out elsewhere do not
 move them.  Chunks of two lines or more whose text occurs more than once in all documents are removed but for the first
 occurrence (least doc_id, then place).  Hashes find candidates; whether chunks are equal is decided on their bytes.
 
@@ -28,7 +28,7 @@ def _chunks(lines: Column, hashes: Column, mean: int) -> Column:
         rolled = sum((F.get(hashes, i - k) * BASE**k for k in range(WINDOW)), F.lit(0))
         return F.coalesce((F.pmod(rolled, F.lit(PRIME)) % mean) == 0, F.lit(False))
 
-    ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: hit(i) & ~hit(i - 1))
+    ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i < F.size(lines) - 2) & hit(i) & ~hit(i - 1))
     starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1))
     return F.filter(
         F.transform(F.arrays_zip(starts.alias("a"), F.concat(ends, F.array(F.size(lines) - 1)).alias("b")), lambda x, k: F.struct(
@@ -72,12 +72,12 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean
 
 SQL = """
 WITH l AS (
-  SELECT doc_id, i, ls[i + 1] AS line, CAST('0x' || substr(md5(ls[i + 1]), 1, 8) AS BIGINT) AS h
+  SELECT doc_id, i, len(ls) AS k, ls[i + 1] AS line, CAST('0x' || substr(md5(ls[i + 1]), 1, 8) AS BIGINT) AS h
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(0, len(ls)) AS t(i)
 ), hits AS (
   SELECT *, coalesce((lag(h) OVER w * 31 + h) % 1000003 % 3 = 0, FALSE) AS hit FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), cuts AS (
-  SELECT *, hit AND NOT coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS cut FROM hits
+  SELECT *, i < k - 2 AND hit AND NOT coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS cut FROM hits
 ), nums AS (
   SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cno FROM cuts
 ), chunks AS (
