@@ -10,8 +10,7 @@ from __future__ import annotations
 import functools
 import json
 import os
-
-import numpy as np
+from array import array
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
 
@@ -27,9 +26,9 @@ def default_path() -> str:
 
 
 class Encoder:
-    """``keep`` bounds the chunks a worker remembers; when it is reached, the cache starts anew."""
+    """``keep`` bounds the chunks that a worker remembers beyond one batch of texts."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 900_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -38,28 +37,25 @@ class Encoder:
             spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         self.marks = [t["content"] for t in spec.get("added_tokens") or ()]
         self.keep = keep
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.line_break = self._encode(["\n"])[0]
+        self.heads: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes | None] = {}
+        self.line_break, self.stop, self.comma = self._encode(["\n", ".", ","])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _lines(self, text: str) -> list[list[str]] | None:
-        """Chunks of each line, None where chunks may not be encoded alone."""
-        if not self.by_chunk or any(m in text for m in self.marks):
-            return None
-        lines = [line.split(" ") for line in text.split("\n")]
-        for parts in lines:
-            if any(not p or p[0].isspace() for p in parts) or parts[-1][-1].isspace():
-                return None
-        return lines
-
-    def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> None:
-        if len(known) + len(chunks) > self.keep:
-            known.clear()
-        new = [c for c in chunks if c not in known]
-        known.update(zip(new, self._encode([before + c for c in new])))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, known: dict[str, bytes | None], chunks: set[str], before: str) -> set[str]:
+        """Add what is new; chunks that may not stand alone (empty, or with white space) get None."""
+        new = chunks - known.keys()
+        bare = {c for c in new if c and c.split() == [c]}
+        known.update(dict.fromkeys(new - bare))
+        # a word before a stop or comma is a piece of its own
+        ended = {c: w for c in bare if c[-1] in ".," and (w := c[:-1]).isalpha()}
+        plain = list((bare - ended.keys()) | (set(ended.values()) - known.keys()))
+        known.update(zip(plain, self._encode([before + c for c in plain])))
+        for c, w in ended.items():
+            known[c] = known[w] + (self.stop if c[-1] == "." else self.comma)
+        return new.union(plain)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -74,20 +70,31 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        split = [self._lines(t) if t else [] for t in texts]
+        if not self.by_chunk:
+            return self._encode(texts)
+        split = [[line.split(" ") for line in text.split("\n")] for text in texts]
         heads, tails = set(), set()
         for lines in split:
-            for parts in lines or ():
+            for parts in lines:
                 heads.add(parts[0])
-                tails.update(parts[1:])
-        self._learn(self.heads, heads, "")
-        self._learn(self.tails, tails, " ")
-        whole = iter(self._encode([t for t, lines in zip(texts, split) if lines is None]))
-        head, tail = self.heads.__getitem__, self.tails.__getitem__
-        return [
-            next(whole) if lines is None
-            else self.line_break.join([head(p[0]) + b"".join(map(tail, p[1:])) for p in lines])
-            for lines in split]
+                tails.update(parts)
+        new = ((self.heads, self._learn(self.heads, heads, "")), (self.tails, self._learn(self.tails, tails, " ")))
+        head, tail, out, whole = self.heads, self.tails.__getitem__, [], []
+        for k, (text, lines) in enumerate(zip(texts, split)):
+            try:
+                if any(m in text for m in self.marks):
+                    raise TypeError
+                out.append(self.line_break.join([b"".join((head[p[0]], *map(tail, p[1:]))) for p in lines]) if text else b"")
+            except TypeError:  # a chunk that may not stand alone, or a special token's string
+                out.append(b"")
+                whole.append(k)
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+            out[k] = ids
+        for known, added in new:
+            if len(known) > self.keep:
+                for c in added:
+                    del known[c]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
