@@ -1,10 +1,12 @@
 """Removal of repeated line passages by content-defined chunks; DataFrame functions only.
 
 A text is split at line feeds.  A line's hash is the first 32 bits of its MD5; a rolling hash runs over the last
-``WINDOW`` line hashes.  A chunk ends after a line whose rolling hash is divisible by ``mean``, unless the line before it
-is such a line too or a single line is left, so chunks depend on a few lines around their ends only, and lines put in or left out elsewhere do not
-move them.  Chunks of two lines or more whose text occurs more than once in all documents are removed but for the first
-occurrence (least doc_id, then place).  Hashes find candidates; whether chunks are equal is decided on their bytes.
+``WINDOW`` line hashes.  Chunking f of ``CHUNKINGS`` ends a chunk after each line whose rolling hash has bit f unset, so
+its boundaries depend on the lines at them only, and lines put in or left out elsewhere do not move them; several
+chunkings cover what one loses at the ends of a passage, and a last one takes each text as one chunk.  Chunks of two lines or more whose text occurs more than once in
+all documents are removed but for the first occurrence (least doc_id, then place).  A chunk that goes has an earlier
+equal one, so of all occurrences of a line the first always stays.  Hashes find candidates; whether chunks are equal is
+decided on their bytes.
 
 Cases: a null text stays null; an empty text has one empty line and no chunk; rows with the same doc_id and text count as
 one document and are treated alike; blank lines are lines; an empty table gives an empty table; other columns pass
@@ -20,46 +22,58 @@ from riskspark.llm import common
 WINDOW = 2
 BASE = 31
 PRIME = 1_000_003
+CHUNKINGS = 4
+SEND_ROWS = 4_000_000
 
 
-def _chunks(lines: Column, hashes: Column, mean: int) -> Column:
-    """array<struct<at, first, n>> of the chunks with two lines or more; lines are numbered from 0."""
-    def hit(i: Column) -> Column:
-        rolled = sum((F.get(hashes, i - k) * BASE**k for k in range(WINDOW)), F.lit(0))
-        return F.coalesce((F.pmod(rolled, F.lit(PRIME)) % mean) == 0, F.lit(False))
-
-    ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i < F.size(lines) - 2) & hit(i) & ~hit(i - 1))
+def _chunks(lines: Column, rolled: Column, f: int) -> Column:
+    """array<struct<f, at, first, n>> of one chunking's chunks with two lines or more; lines are numbered from 0."""
+    last = F.size(lines) - 1
+    if f == CHUNKINGS:
+        ends = F.array(last)
+    else:
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(rolled, i).bitwiseAND(1 << f) == 0))
     starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1))
     return F.filter(
-        F.transform(F.arrays_zip(starts.alias("a"), F.concat(ends, F.array(F.size(lines) - 1)).alias("b")), lambda x, k: F.struct(
-            k.alias("at"), x["a"].alias("first"), (x["b"] - x["a"] + 1).alias("n"))),
+        F.zip_with(starts, ends, lambda a, b: F.struct(F.lit(f).alias("f"), a.alias("at"), a.alias("first"), (b - a + 1).alias("n"))),
         lambda c: c["n"] >= 2)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = 3) -> DataFrame:
-    """(doc_id, _hash, at, first, n, h, chunk): every chunk of two lines or more, with its text and hash."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _hash, f, at, first, n, h, lines): every chunk of two lines or more; h is the hash of its line hashes."""
     rows = docs.where(F.col(text_col).contains("\n")).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_hash"), F.split(text_col, "\n").alias("lines"))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")))
-    rows = rows.select("doc_id", "_hash", "lines", F.explode(_chunks(F.col("lines"), F.col("hashes"), mean)).alias("c"))
-    chunk = F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n")), "\n")
-    return rows.select("doc_id", "_hash", "c.*", chunk.alias("chunk")).withColumn("h", F.xxhash64("chunk"))
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = 3) -> DataFrame:
-    """(doc_id, _hash, at, first, n) of every chunk that an earlier chunk equals byte for byte."""
-    found = chunks(docs, id_col, text_col, mean)
-    often = found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    candidates = common.stored(found.join(common.stored(often, "chunk-hashes"), "h", "left_semi"), "chunks")
-    place = F.struct("doc_id", "_hash", "at")
-    owners = candidates.groupBy("h", "chunk").agg(F.min(place).alias("owner"))
-    return candidates.join(owners, ["h", "chunk"]).where(~place.eqNullSafe(F.col("owner"))).select("doc_id", "_hash", "at", "first", "n").distinct()
-
-
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = 3) -> DataFrame:
+    # the first line has no full window: its rolling hash counts as having every bit, so no chunk ends there
+    rolled = F.transform("hashes", lambda h, i: F.coalesce(F.pmod(sum((F.get("hashes", i - k) * BASE**k for k in range(1, WINDOW)), h), F.lit(PRIME)), F.lit(-1)))
+    rows = rows.withColumn("rolled", rolled)
+    rows = rows.select(
+        "doc_id", "_hash", "lines", "hashes",
+        F.explode(F.concat(*[_chunks(F.col("lines"), F.col("rolled"), f) for f in range(CHUNKINGS + 1)])).alias("c"))
+    return rows.select("doc_id", "_hash", "c.*", F.xxhash64(F.slice("hashes", F.col("c.first") + 1, F.col("c.n"))).alias("h"), "lines")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _hash, f, at, first, n) of every chunk that an earlier chunk equals byte for byte."""
+    found = chunks(docs, id_col, text_col)
+    often = common.stored(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "chunk-hashes")
+    if often.count() <= SEND_ROWS:  # 8 bytes a row; beyond that a shuffle join does the same
+        often = F.broadcast(often)
+    chunk = F.array_join(F.slice("lines", F.col("first") + 1, F.col("n")), "\n")
+    place = ["doc_id", "_hash", "f", "at"]
+    found = found.join(often, "h", "left_semi").select(*place, "first", "n", "h", chunk.alias("chunk"))
+    found = common.stored(found, "chunks")
+    # texts meet once, to find each one's first place; what goes is then told by places alone
+    owners = found.groupBy("f", "h", "chunk").agg(F.min(F.struct("doc_id", "_hash", "at")).alias("o")).select(
+        F.col("o.doc_id").alias("_id"), F.col("o._hash").alias("_of"), F.col("f").alias("_f"), F.col("o.at").alias("_at"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")) & (F.col("f") == F.col("_f")) & (F.col("at") == F.col("_at"))
+    return found.select(*place, "first", "n").join(owners, same, "left_anti").distinct()
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated chunks cut out of the text, and ``chunks_removed``, ``lines_removed``."""
-    cut = repeats(docs, id_col, text_col, mean).groupBy("doc_id", "_hash").agg(
-        F.flatten(F.collect_list(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).alias("_cut"), F.count("*").alias("chunks_removed"))
+    cut = repeats(docs, id_col, text_col).groupBy("doc_id", "_hash").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))).alias("_cut"), F.count("*").alias("chunks_removed"))
     cut = cut.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "_cut", "chunks_removed")
     rows = docs.withColumn("_hash", F.xxhash64(text_col))
     rows = rows.join(cut, (rows["_hash"] == cut["_of"]) & rows[id_col].eqNullSafe(cut["_id"]), "left")
@@ -74,20 +88,24 @@ SQL = """
 WITH l AS (
   SELECT doc_id, i, len(ls) AS k, ls[i + 1] AS line, CAST('0x' || substr(md5(ls[i + 1]), 1, 8) AS BIGINT) AS h
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(0, len(ls)) AS t(i)
+), rolled AS (
+  SELECT *, (lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h) % 1000003 AS roll FROM l
 ), hits AS (
-  SELECT *, coalesce((lag(h) OVER w * 31 + h) % 1000003 % 3 = 0, FALSE) AS hit FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), cuts AS (
-  SELECT *, i < k - 2 AND hit AND NOT coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS cut FROM hits
+  SELECT doc_id, i, line, f, coalesce(f < 4 AND roll // CAST(pow(2, f) AS BIGINT) % 2 = 0, FALSE) AS hit FROM rolled, range(0, 5) AS t(f)
 ), nums AS (
-  SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cno FROM cuts
+  SELECT *, coalesce(sum(CAST(hit AS INT)) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cno FROM hits
 ), chunks AS (
-  SELECT doc_id, cno, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM nums GROUP BY doc_id, cno HAVING count(*) >= 2
+  SELECT doc_id, f, cno, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM nums GROUP BY doc_id, f, cno HAVING count(*) >= 2
 ), gone AS (
-  SELECT doc_id, cno FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, cno) > 1
+  SELECT doc_id, f, cno FROM chunks QUALIFY row_number() OVER (PARTITION BY f, chunk ORDER BY doc_id, cno) > 1
+), lost AS (
+  SELECT DISTINCT doc_id, i FROM nums JOIN gone USING (doc_id, f, cno)
+), n AS (
+  SELECT doc_id, count(*) AS chunks_removed FROM gone GROUP BY doc_id
 )
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.cno IS NULL), '') AS text,
-       count(DISTINCT gone.cno) AS chunks_removed, count(gone.cno) AS lines_removed
-FROM nums LEFT JOIN gone USING (doc_id, cno) GROUP BY doc_id
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE lost.i IS NULL), '') AS text,
+       coalesce(max(n.chunks_removed), 0) AS chunks_removed, count(lost.i) AS lines_removed
+FROM l LEFT JOIN lost USING (doc_id, i) LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
 
