@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's docs.  All but the last return the columns of documents.
 
 1. quality_classifier: documents that the compression classifier rejects go.
-2. line_dedup: repeated multi-line chunks are cut out; documents of which no word is left go.
+2. line_dedup: repeated multi-line chunks are cut out; documents of which less than a fifth is left go, as copies.
 3. simhash_near_dedup: the smallest doc_id of each group of near copies stays.
 4. benchmark_decontamination: documents with a copy or paraphrase of a benchmark item go.
 5. best_fit_packing: what is left as pieces in sequences.
@@ -22,7 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = linechunks.remove(docs).where((F.col("chunks_removed") == 0) | (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) != ""))
+    rows = docs.withColumn("_chars", F.length("text"))
+    left = linechunks.remove(rows).where((F.col("chunks_removed") == 0) | (5 * F.length("text") >= F.col("_chars")))
     return left.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
