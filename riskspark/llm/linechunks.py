@@ -5,8 +5,11 @@ A text is split at line feeds.  A line's hash is the first 32 bits of its MD5; a
 its boundaries depend on the lines at them only, and lines put in or left out elsewhere do not move them; several
 chunkings cover what one loses at the ends of a passage, and a last one takes each text as one chunk.  Chunks of two lines or more whose text occurs more than once in
 all documents are removed but for the first occurrence (least doc_id, then place).  A chunk that goes has an earlier
-equal one, so of all occurrences of a line the first always stays.  Hashes find candidates; whether chunks are equal is
-decided on their bytes.
+equal one, so of all occurrences of a line the first always stays.
+
+Hashes find candidates.  Bytes decide: all lines of candidates are compared byte for byte under their 64-bit hash, each
+distinct line once; where no two different lines share a hash, chunks are equal if their sequences of line hashes are.
+If lines ever share one, the chunks' whole texts are compared instead.
 
 Cases: a null text stays null; an empty text has one empty line and no chunk; rows with the same doc_id and text count as
 one document and are treated alike; blank lines are lines; an empty table gives an empty table; other columns pass
@@ -39,18 +42,21 @@ def _chunks(lines: Column, rolled: Column, f: int) -> Column:
         lambda c: c["n"] >= 2)
 
 
+def line_id(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _hash, f, at, first, n, h, lines): every chunk of two lines or more; h is the hash of its line hashes."""
+    """(doc_id, _hash, f, at, first, n, h, ids, lines): every chunk of two lines or more; h is the hash of its line ids."""
     rows = docs.where(F.col(text_col).contains("\n")).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_hash"), F.split(text_col, "\n").alias("lines"))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")))
     # the first line has no full window: its rolling hash counts as having every bit, so no chunk ends there
     rolled = F.transform("hashes", lambda h, i: F.coalesce(F.pmod(sum((F.get("hashes", i - k) * BASE**k for k in range(1, WINDOW)), h), F.lit(PRIME)), F.lit(-1)))
-    rows = rows.withColumn("rolled", rolled)
+    rows = rows.select("doc_id", "_hash", "lines", F.transform("lines", line_id).alias("all"), rolled.alias("rolled"))
     rows = rows.select(
-        "doc_id", "_hash", "lines", "hashes",
-        F.explode(F.concat(*[_chunks(F.col("lines"), F.col("rolled"), f) for f in range(CHUNKINGS + 1)])).alias("c"))
-    return rows.select("doc_id", "_hash", "c.*", F.xxhash64(F.slice("hashes", F.col("c.first") + 1, F.col("c.n"))).alias("h"), "lines")
+        "doc_id", "_hash", "lines", "all", F.explode(F.concat(*[_chunks(F.col("lines"), F.col("rolled"), f) for f in range(CHUNKINGS + 1)])).alias("c"))
+    return rows.select("doc_id", "_hash", "c.*", F.slice("all", F.col("c.first") + 1, F.col("c.n")).alias("ids"), "lines").withColumn("h", F.xxhash64("ids"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,15 +65,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     often = common.stored(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "chunk-hashes")
     if often.count() <= SEND_ROWS:  # 8 bytes a row; beyond that a shuffle join does the same
         often = F.broadcast(often)
-    chunk = F.array_join(F.slice("lines", F.col("first") + 1, F.col("n")), "\n")
+    found = found.join(often, "h", "left_semi").withColumn("own", F.slice("lines", F.col("first") + 1, F.col("n")))
+    pairs = found.select(F.explode(F.arrays_zip("ids", "own")).alias("x")).select("x.ids", "x.own").distinct()
+    shared = pairs.groupBy("ids").agg(F.count("*").alias("k")).where("k > 1")
     place = ["doc_id", "_hash", "f", "at"]
-    found = found.join(often, "h", "left_semi").select(*place, "first", "n", "h", chunk.alias("chunk"))
-    found = common.stored(found, "chunks")
-    # texts meet once, to find each one's first place; what goes is then told by places alone
-    owners = found.groupBy("f", "h", "chunk").agg(F.min(F.struct("doc_id", "_hash", "at")).alias("o")).select(
+    same = F.array_join("own", "\n") if shared.limit(1).count() else F.col("ids")
+    found = common.stored(found.select(*place, "first", "n", "h", same.alias("same")), "chunks")
+    # contents meet once, to find each one's first place; what goes is then told by places alone
+    owners = found.groupBy("f", "h", "same").agg(F.min(F.struct("doc_id", "_hash", "at")).alias("o")).select(
         F.col("o.doc_id").alias("_id"), F.col("o._hash").alias("_of"), F.col("f").alias("_f"), F.col("o.at").alias("_at"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")) & (F.col("f") == F.col("_f")) & (F.col("at") == F.col("_at"))
-    return found.select(*place, "first", "n").join(owners, same, "left_anti").distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")) & (F.col("f") == F.col("_f")) & (F.col("at") == F.col("_at"))
+    return found.select(*place, "first", "n").join(owners, own, "left_anti").distinct()
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from riskspark.llm import linechunks, linefreq
 
@@ -53,6 +54,12 @@ def test_planted_passage_goes_everywhere_but_once(spark):
             assert got[d].chunks_removed == 0
 
 
+def test_lines_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(linechunks, "line_id", lambda x: F.length(x).cast("bigint"))
+    rows = [(1, "aa\nbb", "s"), (2, "cc\ndd", "s"), (3, "aa\nbb", "s")]
+    assert {r.doc_id: r.text for r in linechunks.remove(frame(spark, rows)).collect()} == {1: "aa\nbb", 2: "cc\ndd", 3: ""}
+
+
 def test_linechunks_odd_rows(spark):
     long = "\n".join(f"line {i}" for i in range(20000))
     rows = [(1, None, "s"), (2, "", "s"), (3, "\n\n\n", "s"), (4, "a\nb", "s"), (5, "a\nb", None), (5, "a\nb", None), (None, "a\nb", "s"), (6, long, "s"), (7, long, "s"),
