@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskspark.functions import paths as pf
 from riskspark.operators.findings import finding
 from riskspark.operators.modules import call_sites, imports
+from riskspark.operators.post import of_repositories
 
 RAW_RULES = (
     "struct<name:string,severity:string,target_files:array<string>,"
@@ -46,18 +47,19 @@ def normalize_rules(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def gate_rules(rules: DataFrame, permissions: DataFrame) -> DataFrame:
     """Custom rules run only for allowed pro, solo or teams licenses: permissions (repo_id, allowed, tier)."""
     ok = permissions.where(F.col("allowed") & F.col("tier").isin("pro", "solo", "teams")).select("repo_id").distinct()
-    return rules.join(ok, "repo_id", "left_semi")
+    return of_repositories(ok, rules).select(rules.columns)
 
 
 def custom_rule_targets(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(repo_id, path, rule): a rule applies when any of its globs matches the path.
 
-    Equality on repo_id carries the join; globs are tested as its residual
-    condition, on paths only.
+    A repository's rules, and those of '*', are one array, so a path meets one
+    policy row and only rules that apply become rows.
     """
-    keys = files.select("repo_id", "path")
-    hit = F.exists("target_files", lambda t: pf.matches_target(F.col("path"), t))
-    return keys.join(rules, "repo_id").where(hit).drop("target_files")
+    own = of_repositories(files, rules).select("repo_id", F.struct(*[c for c in rules.columns if c != "repo_id"]).alias("r"))
+    own = own.groupBy("repo_id").agg(F.collect_list("r").alias("_rules"))
+    applies = F.filter("_rules", lambda r: F.exists(r["target_files"], lambda t: pf.matches_target(F.col("path"), t)))
+    return files.select("repo_id", "path").join(own, "repo_id").select("repo_id", "path", F.explode(applies).alias("r")).select("repo_id", "path", "r.*").drop("target_files")
 
 
 def _row(line, evidence):

@@ -8,6 +8,8 @@ not every node of a longer statement.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark import fixed_values as fv, schemas
@@ -19,6 +21,7 @@ from riskspark.operators.findings import Source, prepare
 from riskspark.session import checkpoint
 
 NODE_KEYS = ["repo_id", "path", "node_id"]
+COMPACT = 8
 
 
 def sink_kind(node_type: Column, text: Column) -> Column:
@@ -184,13 +187,14 @@ def cpg_edges(files: DataFrame) -> DataFrame:
 
 # --- tracing --------------------------------------------------------------------------------------
 
-def trace_to_sink(edges: DataFrame, sources: DataFrame, sinks: DataFrame, keys: list[str], max_depth: int = 1000) -> DataFrame:
+def trace_to_sink(edges: DataFrame, sources: DataFrame, sinks: DataFrame, keys: list[str]) -> DataFrame:
     """First sink each source reaches, breadth first, with the node trail.
 
     ``edges`` (keys…, src, dst, seq), ``sources`` and ``sinks`` (keys…, node).
     ``ord`` is the list of edge numbers from the source: comparing it gives the
     order a queue would visit nodes of one depth in, so ties are settled the same
-    way on every run.  A source leaves the frontier once it reached a sink.
+    way on every run.  A source leaves the frontier once it reached a sink, and
+    no node is visited twice, so the loop ends by itself.
     """
     edges = edges.select(*keys, F.col("src").alias("node"), "dst", "seq")
     start = sources.select(*keys, F.col("node").alias("source")).distinct()
@@ -202,7 +206,7 @@ def trace_to_sink(edges: DataFrame, sources: DataFrame, sinks: DataFrame, keys:
     seen = frontier.select(*ident, "node")
     sink_nodes = sinks.select(*keys, "node").distinct()
     found = None
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = frontier.join(edges, keys + ["node"]).select(
             *ident, F.col("dst").alias("node"), F.concat("trail", F.array("dst")).alias("trail"),
             F.concat("ord", F.array(F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("dst").cast("bigint").alias("dst")))).alias("ord"),
@@ -217,9 +221,9 @@ def trace_to_sink(edges: DataFrame, sources: DataFrame, sinks: DataFrame, keys:
         )
         found = hits if found is None else found.unionByName(hits)
         seen = seen.unionByName(fresh.select(*ident, "node"))
+        if depth % COMPACT == 0:
+            seen = checkpoint(seen)
         frontier = fresh.where(F.col("hit").isNull()).drop("hit").join(hits.select(*ident), ident, "left_anti")
-    else:
-        raise RuntimeError(f"trace did not end within {max_depth} steps")
     if found is None:
         return start.select(*ident, F.col("source").alias("sink"), F.lit(0).alias("depth"), F.array("source").alias("trail")).limit(0)
     return found

@@ -260,20 +260,35 @@ def webhook_dedupe(events: DataFrame, key: str = "event_id", ts: str = "ts") ->
     return events.join(first, key).withColumn("duplicate", F.col("arrival") != F.col("_first")).drop("_first")
 
 
-def entitlement_upsert(events: DataFrame, users: DataFrame, licenses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(users, licenses) snapshots after applying valid entitlement rows, latest per key.
-
-    A user is matched by id, else by e-mail; unknown ones are created.
+def entitlement_upsert(events: DataFrame, users: DataFrame, licenses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users, licenses, rejects): snapshots after applying valid entitlement rows, latest per key.
+
+    Rows count in (ts, event_id) order.  A user is matched by id, else created
+    with that id and the e-mail; a row without id is matched by e-mail, else
+    creates a user.  Users that earlier rows of the batch made are matched too.
+    Rows that name nobody, an unknown id without e-mail, or an e-mail that
+    another user has, are rejected.
     """
-    good = events.where(F.col("error").isNull())
+    order = F.struct("ts", "event_id")
+    good = events.where(F.col("error").isNull()).withColumn("_at", order)
     by_id = users.select(F.col("id").alias("user_ref"), F.col("id").alias("_by_id"))
     by_mail = users.where(F.col("email").isNotNull()).select("email", F.col("id").alias("_by_mail"))
     matched = good.join(by_id, "user_ref", "left").join(by_mail, "email", "left")
-    new_id = F.coalesce(F.when(F.col("email").isNotNull(), F.col("user_ref")), F.sha2(F.col("email"), 256))
-    resolved = matched.withColumn("user_id", F.coalesce("_by_id", F.when(F.col("user_ref").isNull(), F.col("_by_mail")), new_id))
-    order = F.struct("ts", "event_id")
+    # the first row of an unknown id with an e-mail, and the first of an unknown e-mail, claim the e-mail
+    fresh = matched.where(F.col("_by_id").isNull() & F.col("email").isNotNull())
+    first = fresh.where("user_ref is not null").groupBy("user_ref").agg(F.min_by("email", "_at").alias("email"), F.min_by("_by_mail", "_at").alias("taken"), F.min("_at").alias("_made"))
+    mail_only = fresh.where("user_ref is null and _by_mail is null").groupBy("email").agg(F.min("_at").alias("_made")).withColumn("user_ref", F.sha2("email", 256))
+    claims = first.where("taken is null").select("email", "user_ref", "_made").unionByName(mail_only)
+    owner = claims.groupBy("email").agg(F.min_by("user_ref", "_made").alias("_owner"))
+    made = first.where("taken is null").join(owner, "email").where(F.col("user_ref") == F.col("_owner")).select("user_ref", "_made")
+    named = matched.join(made, "user_ref", "left").join(owner, "email", "left")
+    named = named.withColumn("user_id", F.coalesce(
+        "_by_id", F.when(F.col("user_ref").isNotNull(), F.when(F.col("_at") >= F.col("_made"), F.col("user_ref"))).otherwise(F.coalesce("_by_mail", "_owner"))))
+    reason = F.when(F.col("email").isNull(), F.when(F.col("user_ref").isNull(), "no user").otherwise("unknown user without e-mail")).otherwise("e-mail belongs to another user")
+    rejects = named.where(F.col("user_id").isNull()).select(*events.columns, reason.alias("reason"))
+    resolved = named
     latest_user = resolved.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
-        F.max_by(F.struct("email", "trial_credits"), order).alias("n")
+        F.struct(F.min_by("email", F.when(F.col("email").isNotNull(), order)).alias("email"), F.max_by("trial_credits", order).alias("trial_credits")).alias("n")
     )
     new_users = users.join(latest_user, users["id"] == latest_user["user_id"], "full_outer").select(
         F.coalesce("id", "user_id").alias("id"), F.coalesce(users["email"], F.col("n.email")).alias("email"),
@@ -285,4 +300,4 @@ def entitlement_upsert(events: DataFrame, users: DataFrame, licenses: DataFrame)
     new_licenses = licenses.join(latest_license, "token_hash", "full_outer").select(
         "token_hash", pick("label", "label"), pick("seats", "seats"), pick("status", "license_status"), pick("tier", "license_tier"), pick("user_id", "user_id")
     )
-    return new_users, new_licenses
+    return new_users, new_licenses, rejects

@@ -6,6 +6,8 @@ tables hold names and lines only.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark import fixed_values as fv
@@ -15,6 +17,8 @@ from riskspark.functions.text import IDENT, find_all, words
 from riskspark.operators.findings import finding
 from riskspark.session import checkpoint
 
+COMPACT = 8
+
 _FROM = r"\s*['\"]([^'\"\n]+)['\"]"
 IMPORT = rf"(?<![\w$.])import(?:\s+[^;'\"()]*?\s+from)?{_FROM}"
 RE_EXPORT = rf"(?<![\w$.])export\s+(?:\*(?:\s+as\s+{IDENT})?|(?:type\s+)?\{{[^}}]*\}})\s*from{_FROM}"
@@ -225,22 +229,25 @@ def module_edges(files: DataFrame) -> DataFrame:
     return both.select("repo_id", F.col("path").alias("importer"), "imported", "local", "source_path", "kind")
 
 
-def module_taint_fixpoint(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def module_taint_fixpoint(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All tainted (repo_id, path, name): semi-naive rounds over the resolved edges.
 
-    Each round joins only the names found in the round before; the loop ends
-    when a round adds nothing, and fails loudly if ``max_rounds`` is hit.
+    Each round joins only the names found in the round before.  Names are
+    finite and never found twice, so the loop ends by itself when a round adds
+    nothing.  What is known is written as one table again after every
+    ``COMPACT`` rounds, so a round never reads a long union.
     """
     edges = edges.select("repo_id", "importer", "imported", "local", "source_path", "kind").distinct()
     known = checkpoint(seeds.select("repo_id", "path", "name").distinct())
     fresh = known
-    for _ in range(max_rounds):
+    for k in itertools.count(1):
         src = fresh.select("repo_id", F.col("path").alias("source_path"), F.col("name").alias("tainted"))
         fresh = checkpoint(_reach(edges, src).distinct().join(known, ["repo_id", "path", "name"], "left_anti"))
         if fresh.isEmpty():
             return known
         known = known.unionByName(fresh)
-    raise RuntimeError(f"module taint did not converge in {max_rounds} rounds")
+        if k % COMPACT == 0:
+            known = checkpoint(known)
 
 
 def _reach(edges: DataFrame, src: DataFrame) -> DataFrame:

@@ -14,21 +14,28 @@ SCAN_RANK = {"critical": 0, "high": 1, "warning": 2}
 
 # --- policy -----------------------------------------------------------------------------------
 
+def of_repositories(repos: DataFrame, policy: DataFrame) -> DataFrame:
+    """Policy rows that hold for each repository in ``repos``: its own and those of '*'."""
+    wanted = repos.select("repo_id").distinct().select("repo_id", F.explode(F.array_distinct(F.array("repo_id", F.lit("*")))).alias("_policy"))
+    return wanted.join(policy.withColumnRenamed("repo_id", "_policy"), "_policy").drop("_policy")
+
+
 def path_ignored(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows whose path is a test file or matches an ignore pattern of its repository, flagged ``ignored``.
 
-    Patterns are joined on repo_id against distinct paths; the row itself is
-    joined back on (repo_id, path).
+    A repository's patterns are one array, so each row meets one policy row and
+    a large repository makes no row for every path and pattern.
     """
-    keys = rows.select("repo_id", "path").distinct()
-    hit = keys.join(patterns.select("repo_id", "pattern"), "repo_id").where(pf.matches_ignore(F.col("path"), F.col("pattern")))
-    flagged = rows.join(hit.select("repo_id", "path").distinct().withColumn("_hit", F.lit(True)), ["repo_id", "path"], "left")
-    return flagged.withColumn("ignored", F.coalesce("_hit", F.lit(False)) | pf.is_test_path(F.col("path"))).drop("_hit")
+    own = of_repositories(rows, patterns.select("repo_id", "pattern")).groupBy("repo_id").agg(F.collect_set("pattern").alias("_patterns"))
+    hit = F.exists("_patterns", lambda p: pf.matches_ignore(F.col("path"), p))
+    flagged = rows.join(own, "repo_id", "left")
+    return flagged.withColumn("ignored", F.coalesce(hit, F.lit(False)) | pf.is_test_path(F.col("path"))).drop("_patterns")
 
 
 def apply_policy(findings: DataFrame, ignore_rules: DataFrame, ignore_paths: DataFrame) -> DataFrame:
     """Drop findings of ignored rules and on ignored paths."""
-    kept = findings.join(ignore_rules.select("repo_id", "rule_id").distinct(), ["repo_id", "rule_id"], "left_anti")
+    ignored = of_repositories(findings, ignore_rules.select("repo_id", "rule_id")).distinct()
+    kept = findings.join(ignored, ["repo_id", "rule_id"], "left_anti")
     return path_ignored(kept, ignore_paths).where(~F.col("ignored")).drop("ignored")
 
 
@@ -199,15 +206,17 @@ def merge_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Replace a repository's ambiguous findings by its verdict.
 
     SAFE/GREEN drops them, VULNERABLE/RED makes one critical row, any other state
-    a warning row, a patch set a PATCH row; without a verdict they stay.
+    a warning row, a patch set a PATCH row; without a verdict (no row, or one
+    with neither state nor patch set) they stay.
     ``verdicts`` has one row per repo_id: state, reasoning, manual_qa_line,
     auto_patch, patch_count, explanation.
     """
     ambiguous = (F.col("rule_id") == "ambiguous-ast") | F.coalesce(F.upper("state") == "AMBIGUOUS", F.lit(False))
     unsure = findings.where(ambiguous)
     rest = findings.where(~ambiguous)
+    verdicts = verdicts.where(F.col("state").isNotNull() | F.col("patch_count").isNotNull())
     keep = unsure.join(verdicts.select("repo_id"), "repo_id", "left_anti")
-    first = unsure.groupBy("repo_id").agg(F.min_by(F.struct("path", "line", "seq"), "seq").alias("at"))
+    first = unsure.groupBy("repo_id").agg(F.min(F.struct("path", "line", "seq")).alias("at"))
     v = verdicts.withColumn(
         "_state", F.when(F.upper("state") == "GREEN", "SAFE").when(F.upper("state") == "RED", "VULNERABLE")
         .when(F.upper("state") == "YELLOW", "AMBIGUOUS").otherwise(F.upper("state"))
@@ -219,7 +228,7 @@ def merge_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
         "repo_id", F.col("at.path").alias("path"), F.col("at.seq").alias("seq"), F.lit("llm-reasoning").alias("rule_id"),
         F.when(patched | (F.col("_state") == "VULNERABLE"), "critical").otherwise("warning").alias("severity"),
         F.when(patched, "PATCH").otherwise(F.col("_state")).alias("state"), F.col("at.line").alias("line"),
-        F.coalesce(F.when(patched, F.col("explanation")), F.when(~patched, F.col("reasoning")), F.lit("Reasoning returned a semantic verdict for ambiguous findings.")).alias("message"),
+        F.when(patched, F.coalesce("explanation", F.lit(fv.PATCH_MESSAGE))).otherwise(F.coalesce("reasoning", F.lit(fv.VERDICT_MESSAGE))).alias("message"),
         F.when(patched, F.concat(F.lit("Reasoning Engine proposed "), F.col("patch_count").cast("string"), F.lit(" patch"), plural, F.lit(".")))
         .when(F.col("auto_patch").isNotNull(), F.lit("Reasoning Engine returned an auto-patch."))
         .otherwise(F.coalesce("manual_qa_line", F.concat(F.lit("Reasoning Engine verdict: "), F.col("_state")))).alias("evidence"),

@@ -59,6 +59,16 @@ def scan_dependencies(files: DataFrame) -> DataFrame:
     return deps.dependency_unpinned(rows)
 
 
+def _with_policy(found: DataFrame, ignore_rules: DataFrame | None, ignore_paths: DataFrame | None) -> DataFrame:
+    """Findings that the policy leaves; a table that is not given holds nothing."""
+    if ignore_rules is None and ignore_paths is None:
+        return found.where(~pf.is_test_path(F.col("path")))
+    spark = found.sparkSession
+    rules = ignore_rules if ignore_rules is not None else spark.createDataFrame([], "repo_id string, rule_id string")
+    paths = ignore_paths if ignore_paths is not None else spark.createDataFrame([], "repo_id string, pattern string")
+    return post.apply_policy(found, rules, paths)
+
+
 def scan_project(
     files: DataFrame, ignore_rules: DataFrame | None = None, ignore_paths: DataFrame | None = None,
     rules: DataFrame | None = None, tag: str = "scan-ignore", diff_mode: bool = False,
@@ -72,11 +82,7 @@ def scan_project(
     if not diff_mode:
         parts.append(scan_dependencies(files))
     found = checkpoint(post.dedupe_findings(post.union_findings(*parts)))  # what follows reads it several times
-    if ignore_rules is not None and ignore_paths is not None:
-        found = post.apply_policy(found, ignore_rules, ignore_paths)
-    else:
-        found = found.where(~pf.is_test_path(F.col("path")))
-    found = post.drop_redundant_ambiguous(found)
+    found = post.drop_redundant_ambiguous(_with_policy(found, ignore_rules, ignore_paths))
     return post.suppress(found, post.directives(files, tag))
 
 
@@ -84,8 +90,9 @@ def scan_changed(files: DataFrame, changed: DataFrame, **kwargs) -> tuple[DataFr
     return scan_project(post.scope_changed(files, changed), diff_mode=True, **kwargs)
 
 
-def backend_ssrf(files: DataFrame) -> DataFrame:
-    return run_rules(_sources(files), [inj.ssrf])
+def backend_ssrf(files: DataFrame, ignore_rules: DataFrame | None = None, ignore_paths: DataFrame | None = None) -> DataFrame:
+    found = run_rules(_sources(files), [inj.ssrf])
+    return found if ignore_rules is None and ignore_paths is None else _with_policy(found, ignore_rules, ignore_paths)
 
 
 def secrets_frontend(files: DataFrame) -> DataFrame:

@@ -63,8 +63,8 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     schema = (
         "repo_id string, ignorePaths array<string>, ignoreRules array<string>, custom_rules array<" + custom.RAW_RULES + ">, _corrupt string"
     )
-    raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    raw = raw.withColumn("repo_id", F.coalesce("repo_id", F.lit("*")))
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    raw = spark.read.option("wholetext", True).text(path).select(parsed.alias("j")).select("j.*").withColumn("repo_id", F.coalesce("repo_id", F.lit("*")))
     rules, errors = custom.normalize_rules(raw.select("repo_id", F.explode("custom_rules").alias("rule")))
     broken = raw.where(F.col("_corrupt").isNotNull()).select("repo_id", F.lit(None).cast("string").alias("name"), F.lit("invalid JSON").alias("reason"))
     listed = lambda col, name: raw.select("repo_id", F.explode(col).alias(name)).select("repo_id", F.trim(name).alias(name)).where(F.col(name) != "")

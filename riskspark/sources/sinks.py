@@ -68,8 +68,8 @@ def write_sarif(findings: DataFrame, path: str, tool: str = "riskspark", mode: s
 
 
 def ci_summary(findings: DataFrame, repos: DataFrame, title: str = "Risk CI Summary", fixes: DataFrame | None = None) -> DataFrame:
-    """Markdown per repository: score, count, remediation, first 50 rows in ``seq`` order."""
-    w = Window.partitionBy("repo_id").orderBy("seq", "path", "line", "rule_id")
+    """Markdown per repository: score, count, remediation, first 50 rows by path and line."""
+    w = Window.partitionBy("repo_id").orderBy("path", "line", "seq", "rule_id")
     cell = F.concat(
         F.lit("| "), F.coalesce("severity", F.lit("warning")), F.lit(" | `"), F.coalesce("rule_id", F.lit("finding")), F.lit("` | `"), "path", F.lit(":"),
         F.coalesce(F.nullif("line", F.lit(0)), F.lit(1)).cast("string"), F.lit("` | "),
