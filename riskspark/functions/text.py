@@ -17,7 +17,10 @@ _DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?'
 _SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?"
 STRING = rf"(?:{_DOUBLE}|{_SINGLE})"
 STRING_OR_TEMPLATE = rf"(?:{_TEMPLATE}|{_DOUBLE}|{_SINGLE})"
-LEXEME = rf"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|{_TEMPLATE}|{_DOUBLE}|{_SINGLE}"
+# a regular expression literal stands where a value may begin; quotes in it open no string
+_REGEX = r"(?<=[=(,:\[!&|?][ \t]{0,8})/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+LITERAL = rf"(?:{_REGEX}|{_TEMPLATE}|{_DOUBLE}|{_SINGLE})"
+LEXEME = rf"//[^\n]*+|{_REGEX}|/\*[\s\S]*?(?:\*/|\z)|{_TEMPLATE}|{_DOUBLE}|{_SINGLE}"
 IDENT = r"[A-Za-z_$][\w$]*"
 WORDS = r"[A-Za-z_$][\w$]*+"
 

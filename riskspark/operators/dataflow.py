@@ -62,7 +62,7 @@ def _facts(f: Source) -> Column:
             _value_type(a["value"]).alias("vtype"), a["declared"].alias("declared"),
         ),
     )
-    returns = find_all(f.bare, r"(?<![\w$.])return\b[^;\n]*")
+    returns = find_all(f.bare, rf"(?<![\w$.])return\b(?:[^;\n]|{inj.MORE})*")
     return F.struct(
         assigns.alias("assigns"), inj.calls(f).alias("calls"),
         F.transform(returns, lambda r: F.struct(r["start"].alias("start"), r["line"].alias("line"), r["text"].alias("text"))).alias("returns"),

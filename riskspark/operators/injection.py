@@ -17,16 +17,18 @@ from riskspark.functions.regex import balanced, java
 from riskspark.functions.text import IDENT, find_all, fixpoint, let, words
 from riskspark.operators.findings import Source, finding, none, when
 
-PARENS = balanced("(", ")", 8)
-BRACKETS = balanced("[", "]", 4)
-BRACES = balanced("{", "}", 8)
-_EXPR = rf"(?:[^;\n(){{}}\[\]]++|{PARENS}|{BRACES}|{BRACKETS})++"
+PARENS = balanced("(", ")")
+BRACKETS = balanced("[", "]")
+BRACES = balanced("{", "}")
+# a line goes on after an operator, and before one at the start of the next line
+MORE = r"(?:(?<=[=+*%&|?:,<>-][ \t]{0,8})\n|\n(?=\s*+(?:\??\.|[+*%&|?:,=<>-](?![+-]))))"
+_EXPR = rf"(?:[^;\n(){{}}\[\]]++|{MORE}|{PARENS}|{BRACES}|{BRACKETS})++"
 _TARGET = rf"(?:{IDENT}|\{{[^{{}}]*\}}|\[[^\[\]]*\])"
 DECLARATION = rf"(?<![\w$.])(?:const|let|var)\s+{_TARGET}\s*(?::[^=;\n]*+)?=(?![=>])"
 ASSIGNMENT = rf"(?<=[\n;{{}}])[ \t]*+{IDENT}(?:\s*\.\s*{IDENT})*+\s*=(?![=>])"
 CALL_HEAD = rf"(?<![\w$.])(?<!function\s)(?<!new\s){IDENT}(?:\s*\??\.\s*{IDENT}|{BRACKETS})*+\s*\("
 _KEYWORD = r"\A(?:if|for|while|switch|catch|function|return|typeof|await|else|do|import|super)\b"
-FIRST_ARG = r"\A\s*(?:[^(),\[\]{}]++|" + balanced("(", ")", 6) + "|" + balanced("[", "]", 4) + "|" + balanced("{", "}", 6) + ")*+"
+FIRST_ARG = r"\A\s*(?:[^(),\[\]{}]++|" + balanced("(", ")") + "|" + balanced("[", "]") + "|" + balanced("{", "}") + ")*+"
 
 
 # --- request-controlled variables (text level) ---------------------------------------
@@ -282,8 +284,13 @@ def _is_trusted_call(text: Column, validators: Column) -> Column:
     return F.coalesce(F.array_contains(validators["functions"], callee) | by_member | inline, F.lit(False))
 
 
+def joined(text: Column) -> Column:
+    """Member chains that a formatter broke over lines, on one line."""
+    return F.regexp_replace(text, r"\s*\n\s*(\??\.)", "$1")
+
+
 def is_user_controlled(text: Column, tainted: Column | None = None) -> Column:
-    direct = text.rlike(java(fv.USER_INPUT))
+    direct = joined(text).rlike(java(fv.USER_INPUT))
     return direct if tainted is None else direct | _mentions(text, tainted)
 
 
@@ -346,7 +353,7 @@ def file_taint(f: Source) -> Column:
             s["assigns"],
             lambda a: F.struct(
                 a["names"].alias("names"), words(a["value"]).alias("reads"),
-                a["value"].rlike(java(fv.USER_INPUT)).alias("direct"),
+                joined(a["value"]).rlike(java(fv.USER_INPUT)).alias("direct"),
                 (a["declared"] & is_trusted_call(a["value"], s["validators"])).alias("checked"),
                 a["value"].rlike(r"\[[\s\S]+\]").alias("indexed"),
             ),
@@ -460,7 +467,7 @@ def ssrf(f: Source) -> Column:
     state = F.struct(file_taint(f).alias("s"), import_names(f.code).alias("imports"))
     guard = (
         pf.is_source(f.path) & pf.ssrf_target(f.path, f.content) & f.content.rlike("(?i)req|searchparams|formdata")
-        & f.content.rlike(java(fv.USER_INPUT))
+        & joined(f.content).rlike(java(fv.USER_INPUT))
     )
     return when(guard, let(state, rows))
 
@@ -550,7 +557,7 @@ def architectural_leak(f: Source) -> Column:
     def rows(server):
         def body_end(h):
             rest = F.substring(f.bare, h["start"] + F.length(h["text"]) + 1, F.length(f.bare))
-            body = F.regexp_extract(rest, rf"\A[^{{;\n]*{BRACES}|\A[^;\n]*", 0)
+            body = F.regexp_extract(rest, rf"\A(?:[^{{;\n]|{MORE})*{BRACES}|\A(?:[^;\n]|{MORE})*", 0)
             return h["start"] + F.length(h["text"]) + F.length(body)
 
         functions = F.transform(

@@ -15,9 +15,9 @@ from riskspark.functions.regex import balanced, java
 from riskspark.functions.text import IDENT, STRING, find_all, let
 from riskspark.operators.findings import Source, finding, text_fix, when
 
-PARENS = balanced("(", ")", 6)
+PARENS = balanced("(", ")")
 CLIENT_CALL = rf"(?<![\w$])createClient\s*{PARENS}"
-_ARG = r"(?:[^(),\[\]{}]++|" + balanced("(", ")", 4) + "|" + balanced("[", "]", 4) + "|" + balanced("{", "}", 4) + ")*+"
+_ARG = r"(?:[^(),\[\]{}]++|" + balanced("(", ")") + "|" + balanced("[", "]") + "|" + balanced("{", "}") + ")*+"
 FIRST_ARG = rf"^createClient\s*\(({_ARG})"
 
 DECLARED = rf"(?<![\w$.])(?:const|let|var)\s+({IDENT})\s*(?::[^=;\n(){{}}]*+)?=\s*({STRING})(?=\s*(?:[;,)}}\n]|\z))"
@@ -37,13 +37,13 @@ def frontend_message(f: Source) -> Column:
 
 
 def string_literals(f: Source, keep=None) -> Column:
-    """Quoted strings (templates are lexed, then dropped) with positions."""
+    """Quoted strings (templates and regular expressions are lexed, then dropped) with positions."""
 
     def wanted(t):
-        quoted = ~t.startswith("`")
+        quoted = ~t.rlike("\\A[`/]")
         return quoted if keep is None else quoted & keep(t)
 
-    return find_all(f.code, tx.STRING_OR_TEMPLATE, wanted)
+    return find_all(f.code, tx.LITERAL, wanted)
 
 
 def client_calls(f: Source) -> Column:
@@ -187,8 +187,8 @@ DECODER = r"(?:(?<![\w$])atob\s*\([^()]*\)|(?<![\w$])Buffer\s*\.\s*from\s*\([^()
 TEMPLATE_SUBST = r"`[^`]*\$\{[^`]*`"
 FOLDABLE = rf"(?:{DECODER}|{ARRAY_JOIN}|{CHAIN}|{_TPL})"
 CONST_DECL = rf"(?<![\w$.])const\s+({IDENT})\s*(?::[^=;\n(){{}}]*+)?=\s*({FOLDABLE}|{STRING}|{IDENT})(?=\s*(?:[;,)}}\n]|\z))"
-CONST_OBJECT = rf"(?<![\w$.])const\s+({IDENT})\s*(?::[^=;\n(){{}}]*+)?=\s*(" + balanced("{", "}", 3) + ")"
-CONST_UNPACK = r"(?<![\w$.])const\s+(\{[^{}]*\})\s*=\s*(" + balanced("{", "}", 3) + r")|(?<![\w$.])const\s+(\[[^\[\]]*\])\s*=\s*(" + balanced("[", "]", 3) + ")"
+CONST_OBJECT = rf"(?<![\w$.])const\s+({IDENT})\s*(?::[^=;\n(){{}}]*+)?=\s*(" + balanced("{", "}") + ")"
+CONST_UNPACK = r"(?<![\w$.])const\s+(\{[^{}]*\})\s*=\s*(" + balanced("{", "}") + r")|(?<![\w$.])const\s+(\[[^\[\]]*\])\s*=\s*(" + balanced("[", "]") + ")"
 _PAIR = rf"(?:({IDENT})|{STRING})\s*:\s*{STRING}"
 
 
@@ -453,7 +453,7 @@ def client_key_args(f: Source) -> Column:
 
 
 _ARG_TEXT = (
-    rf"(?:{tx.STRING_OR_TEMPLATE}|[^(),\[\]{{}}'\"`]++|" + balanced("(", ")", 4) + "|" + balanced("[", "]", 4) + "|" + balanced("{", "}", 4) + ")++"
+    rf"(?:{tx.STRING_OR_TEMPLATE}|[^(),\[\]{{}}'\"`]++|" + balanced("(", ")") + "|" + balanced("[", "]") + "|" + balanced("{", "}") + ")++"
 )
 
 
