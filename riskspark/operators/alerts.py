@@ -1,11 +1,13 @@
 """Batch twin of the alert state machine."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from riskspark.operators.ordered import prior_value
 
 
 def alert_state(scans: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Add ``type`` and ``announce`` from the file's previous scan; keys include the file."""
-    was = F.coalesce(F.lag("blocked").over(Window.partitionBy(*keys).orderBy(ts, tie)), F.lit(False))
-    return scans.withColumn("_was", was).withColumn(
-        "type", F.when(F.col("blocked"), "HARD_BLOCK").when(F.col("_was"), "CLEAR")
-    ).withColumn("announce", F.col("blocked") & ~F.col("_was")).drop("_was")
+    was = F.coalesce("_was", F.lit(False))
+    return prior_value(scans, keys, [ts, tie], "blocked", "_was").withColumn(
+        "type", F.when(F.col("blocked"), "HARD_BLOCK").when(was, "CLEAR")
+    ).withColumn("announce", F.col("blocked") & ~was).drop("_was")

@@ -1,8 +1,9 @@
 """Time-ordered operators that survive a key holding a large share of all rows.
 
-A plain window over such a key would sort it in one task.  Here the key's rows
-are split into time slices: slice summaries (a handful of numbers each) are
-combined in a window over slices, and row-level windows run per (key, slice).
+A plain window over such a key would sort it in one task.  Here rows are dealt by
+range of key and order, so parts are even whatever the keys are; summaries (one row
+per key and part) are combined in a window over parts, and row-level windows run
+per (key, part).  Windows anchored on the first event use time slices.
 """
 
 from __future__ import annotations
@@ -16,57 +17,50 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from riskspark import fixed_values as fv
 from riskspark.session import checkpoint
 
-DAY = 86400
+def by_range(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows range-partitioned on (keys, order) with their part ``_p``: parts hold about as many rows each, however many
+    rows one key or one minute has.
 
-
-def _sliced(df: DataFrame, ts: str, seconds: float) -> DataFrame:
-    return df.withColumn("_slice", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / int(seconds * 1_000_000)))
+    The rows are checkpointed, so part numbers stay the same for every pass when a task is run again.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return checkpoint(df.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()))
 
 
-def _summaries(sliced: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
-    return sliced.groupBy(*keys, "_slice").agg(*[a.alias(n) for n, a in aggs.items()])
+def _carried(ranged: DataFrame, keys: list[str], part: Column, over: Callable[[str], Column], empty=None) -> DataFrame:
+    """(keys..., _p, _before): ``over`` of the key's earlier parts, from one summary row per key and part."""
+    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    found = over("_part").over(w)
+    sums = ranged.groupBy(*keys, "_p").agg(part.alias("_part"))
+    return sums.withColumn("_before", found if empty is None else F.coalesce(found, F.lit(empty))).drop("_part")
 
 
-def _slice_window(keys):
-    return Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+def prefix_by_range(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Add ``name``: sum of ``value`` over the key's earlier rows in the given order."""
+    ranged = by_range(df.withColumn("_v", value.cast("bigint")), keys, order)
+    inner = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
+    return out.join(_carried(ranged, keys, F.sum("_v"), F.sum, 0), keys + ["_p"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_v", "_in", "_before", "_p")
 
 
-def prior_sum(df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, name: str, seconds: float = DAY) -> DataFrame:
+def prior_sum(df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, name: str) -> DataFrame:
     """Add ``name``: sum of ``value`` over the key's earlier rows (ts, tie order)."""
-    s = _sliced(df.withColumn("_v", value.cast("bigint")), ts, seconds)
-    before = _summaries(s, keys, _sum=F.sum("_v")).withColumn("_before", F.coalesce(F.sum("_sum").over(_slice_window(keys)), F.lit(0)))
-    w = Window.partitionBy(*keys, "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
-    out = s.withColumn("_in", F.coalesce(F.sum("_v").over(w), F.lit(0)))
-    return out.join(before.drop("_sum"), keys + ["_slice"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_v", "_in", "_before", "_slice")
-
-
-def prior_ts(df: DataFrame, keys: list[str], ts: str, tie: str, name: str, seconds: float = DAY) -> DataFrame:
-    """Add ``name``: time of the key's previous row, also across slice borders."""
-    s = _sliced(df, ts, seconds)
-    before = _summaries(s, keys, _last=F.max(ts)).withColumn("_before", F.max("_last").over(_slice_window(keys))).drop("_last")
-    w = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
-    return (
-        s.withColumn("_lag", F.lag(ts).over(w)).join(before, keys + ["_slice"])
-        .withColumn(name, F.coalesce("_lag", "_before")).drop("_lag", "_before", "_slice")
-    )
+    return prefix_by_range(df, keys, [ts, tie], value, name)
 
 
-def prefix_by_range(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """Prior sum in any order: rows are range-partitioned on (keys, order), so one key spans many tasks.
+def prior_value(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: ``value`` of the key's previous row; NULL for its first."""
+    ranged = by_range(df, keys, order)
+    inner = Window.partitionBy(*keys, "_p").orderBy(*order)
+    boxed = F.struct(F.col(value).alias("v"))
+    out = ranged.withColumn("_lag", F.lag(boxed).over(inner))
+    before = _carried(ranged, keys, F.max_by(boxed, F.struct(*order)), F.last)
+    return out.join(before, keys + ["_p"]).withColumn(name, F.coalesce("_lag", "_before")["v"]).drop("_lag", "_before", "_p")
 
-    The partitioned rows are checkpointed, which keeps partition numbers the
-    same for both passes when a task is run again.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = checkpoint(df.withColumn("_v", value.cast("bigint")).repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()))
-    sums = ranged.groupBy(*keys, "_p").agg(F.sum("_v").alias("_sum"))
-    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
-    inner = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0))).join(before, keys + ["_p"])
-        .withColumn(name, F.col("_before") + F.col("_in")).drop("_v", "_in", "_before", "_p")
-    )
+
+def prior_ts(df: DataFrame, keys: list[str], ts: str, tie: str, name: str) -> DataFrame:
+    """Add ``name``: time of the key's previous row."""
+    return prior_value(df, keys, [ts, tie], ts, name)
 
 
 # --- sessions ------------------------------------------------------------------------------------
@@ -77,11 +71,10 @@ def quiet_sessions(events: DataFrame, keys: list[str], ts: str, gap_seconds: flo
     Rows of one (key, ts) are folded first.
     """
     points = events.groupBy(*keys, ts).agg(F.count("*").alias("_n"))
-    seconds = max(DAY, gap_seconds * 4)
-    lagged = prior_ts(points, keys, ts, "_n", "_prev", seconds)
+    lagged = prior_ts(points, keys, ts, "_n", "_prev")
     far = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))) >= int(gap_seconds * 1_000_000)
     opens = lagged.withColumn("_open", F.when(F.col("_prev").isNull() | far, 1).otherwise(0))
-    numbered = prior_sum(opens, keys, ts, "_n", F.col("_open"), "_prior", seconds).withColumn("session", F.col("_prior") + F.col("_open"))
+    numbered = prior_sum(opens, keys, ts, "_n", F.col("_open"), "_prior").withColumn("session", F.col("_prior") + F.col("_open"))
     tagged = events.join(numbered.select(*keys, ts, "session"), keys + [ts])
     return tagged.groupBy(*keys, "session").agg(
         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("events"), *[a.alias(n) for n, a in aggs.items()]
@@ -248,14 +241,14 @@ def credit_ledger(events: DataFrame, keys: list[str], delta: Column, opening: in
     """
     d = events.withColumn("_d", delta.cast("bigint"))
     before = prior_sum(d, keys, ts, tie, F.col("_d"), "_s")
-    after = _sliced(before.withColumn("_after", F.col("_s") + F.col("_d")), ts, DAY)
-    low = _summaries(after, keys, _min=F.min("_after")).withColumn("_low", F.min("_min").over(_slice_window(keys))).drop("_min")
-    w = Window.partitionBy(*keys, "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
-    rows = after.withColumn("_in", F.min("_after").over(w)).join(low, keys + ["_slice"])
+    after = by_range(before.withColumn("_after", F.col("_s") + F.col("_d")), keys, [ts, tie])
+    low = _carried(after, keys, F.min("_after"), F.min).withColumnRenamed("_before", "_low")
+    w = Window.partitionBy(*keys, "_p").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
+    rows = after.withColumn("_in", F.min("_after").over(w)).join(low, keys + ["_p"])
     floor = F.least(F.col("_in"), F.col("_low"))
     balance = F.col("_s") + F.greatest(F.lit(opening), F.coalesce(-floor, F.lit(opening)))
     return rows.withColumn("balance_before", balance).withColumn("allowed", F.col("balance_before") > 0).drop(
-        "_d", "_s", "_after", "_slice", "_in", "_low"
+        "_d", "_s", "_after", "_p", "_in", "_low"
     )
 
 

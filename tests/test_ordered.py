@@ -84,3 +84,17 @@ def test_credit_ledger_clamps(spark):
     for i, _, _, d in rows:
         assert got[i] == b
         b = max(b + d, 0)
+
+
+def test_one_key_within_a_minute_is_dealt_evenly(spark):
+    from riskspark.operators import ordered
+
+    n = 20000
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") % 20 == 0, F.col("id") % 7).otherwise(99).alias("key"), (F.lit("2024-01-01").cast("timestamp").cast("long") + F.col("id") % 60).cast("timestamp").alias("ts"))
+    parts = [r["count"] for r in ordered.by_range(df, ["key"], ["ts", "id"]).groupBy("_p").count().collect()]
+    assert max(parts) < 2 * n / len(parts)
+    sums = ordered.prior_sum(df, ["key"], "ts", "id", F.lit(1), "s").where("key = 99").agg(F.max("s"), F.countDistinct("s")).first()
+    assert tuple(sums) == (n * 19 // 20 - 1, n * 19 // 20)
+    prev = ordered.prior_ts(df, ["key"], "ts", "id", "p")
+    assert prev.where("p is null").count() == 8 and prev.where("p > ts").count() == 0
