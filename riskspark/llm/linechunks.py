@@ -3,7 +3,8 @@
 A text is split at line feeds.  A line's hash is the first 32 bits of its MD5; a rolling hash runs over the last
 ``WINDOW`` line hashes.  Chunking f of ``CHUNKINGS`` ends a chunk after each line whose rolling hash has bit f unset, so
 its boundaries depend on the lines at them only, and lines put in or left out elsewhere do not move them; several
-chunkings cover what one loses at the ends of a passage, and a last one takes each text as one chunk.  Chunks of two lines or more whose text occurs more than once in
+chunkings cover what one loses at the ends of a passage, one more takes each text as one chunk, and one each line of
+``LONG`` words or more, which is as much as several lines elsewhere.  Chunks of two lines or one such line whose text occurs more than once in
 all documents are removed but for the first occurrence (least doc_id, then place).  A chunk that goes has an earlier
 equal one, so of all occurrences of a line the first always stays.
 
@@ -26,19 +27,25 @@ WINDOW = 2
 BASE = 31
 PRIME = 1_000_003
 CHUNKINGS = 4
+WHOLE, LINES = CHUNKINGS, CHUNKINGS + 1
+LONG = 50
 SEND_ROWS = 4_000_000
 
 
 def _chunks(lines: Column, rolled: Column, f: int) -> Column:
-    """array<struct<f, at, first, n>> of one chunking's chunks with two lines or more; lines are numbered from 0."""
+    """array<struct<f, at, first, n>> of one chunking's chunks with two lines or a long one; lines are numbered from 0."""
     last = F.size(lines) - 1
-    if f == CHUNKINGS:
+    chunk = lambda a, n: F.struct(F.lit(f).alias("f"), a.alias("at"), a.alias("first"), n.alias("n"))
+    if f == LINES:
+        long = lambda i: F.length(F.get(lines, i)) - F.length(F.replace(F.get(lines, i), F.lit(" "), F.lit(""))) >= LONG - 1
+        return F.transform(F.filter(F.sequence(F.lit(0), last), long), lambda i: chunk(i, F.lit(1)))
+    if f == WHOLE:
         ends = F.array(last)
     else:
         ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(rolled, i).bitwiseAND(1 << f) == 0))
     starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1))
     return F.filter(
-        F.zip_with(starts, ends, lambda a, b: F.struct(F.lit(f).alias("f"), a.alias("at"), a.alias("first"), (b - a + 1).alias("n"))),
+        F.zip_with(starts, ends, lambda a, b: chunk(a, b - a + 1)),
         lambda c: c["n"] >= 2)
 
 
@@ -47,15 +54,15 @@ def line_id(line: Column) -> Column:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _hash, f, at, first, n, h, ids, lines): every chunk of two lines or more; h is the hash of its line ids."""
-    rows = docs.where(F.col(text_col).contains("\n")).select(
+    """(doc_id, _hash, f, at, first, n, h, ids, lines): every chunk of two lines or a long one; h is the hash of its line ids."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_hash"), F.split(text_col, "\n").alias("lines"))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")))
     # the first line has no full window: its rolling hash counts as having every bit, so no chunk ends there
     rolled = F.transform("hashes", lambda h, i: F.coalesce(F.pmod(sum((F.get("hashes", i - k) * BASE**k for k in range(1, WINDOW)), h), F.lit(PRIME)), F.lit(-1)))
     rows = rows.select("doc_id", "_hash", "lines", F.transform("lines", line_id).alias("all"), rolled.alias("rolled"))
     rows = rows.select(
-        "doc_id", "_hash", "lines", "all", F.explode(F.concat(*[_chunks(F.col("lines"), F.col("rolled"), f) for f in range(CHUNKINGS + 1)])).alias("c"))
+        "doc_id", "_hash", "lines", "all", F.explode(F.concat(*[_chunks(F.col("lines"), F.col("rolled"), f) for f in range(LINES + 1)])).alias("c"))
     return rows.select("doc_id", "_hash", "c.*", F.slice("all", F.col("c.first") + 1, F.col("c.n")).alias("ids"), "lines").withColumn("h", F.xxhash64("ids"))
 
 
@@ -103,11 +110,12 @@ WITH l AS (
 ), nums AS (
   SELECT *, coalesce(sum(CAST(hit AS INT)) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cno FROM hits
 ), chunks AS (
-  SELECT doc_id, f, cno, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM nums GROUP BY doc_id, f, cno HAVING count(*) >= 2
+  SELECT doc_id, f, cno, string_agg(line, chr(10) ORDER BY i) AS chunk FROM nums GROUP BY doc_id, f, cno HAVING count(*) >= 2
+  UNION ALL SELECT doc_id, 5, i, line FROM l WHERE len(line) - len(replace(line, ' ', '')) >= 49
 ), gone AS (
   SELECT doc_id, f, cno FROM chunks QUALIFY row_number() OVER (PARTITION BY f, chunk ORDER BY doc_id, cno) > 1
 ), lost AS (
-  SELECT DISTINCT doc_id, i FROM nums JOIN gone USING (doc_id, f, cno)
+  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, f, cno, i FROM nums UNION ALL SELECT doc_id, 5, i, i FROM l) JOIN gone USING (doc_id, f, cno)
 ), n AS (
   SELECT doc_id, count(*) AS chunks_removed FROM gone GROUP BY doc_id
 )

@@ -72,6 +72,15 @@ def test_linechunks_odd_rows(spark):
     assert linechunks.remove(frame(spark, [])).count() == 0
 
 
+def test_a_long_line_is_a_passage_of_its_own(spark):
+    rng = random.Random(9)
+    passage = sentence(rng, 55)
+    rows = [(d, "\n".join((sentence(rng, 9), passage, sentence(rng, 9), "short line of all")), "s") for d in range(5)] + [(9, passage, "s"), (10, passage, "s")]
+    got = {r.doc_id: r.text.split("\n") for r in linechunks.remove(frame(spark, rows)).collect()}
+    assert [passage in got[d] for d in (0, 1, 2, 3, 4, 9, 10)] == [True, False, False, False, False, False, False]
+    assert all("short line of all" in got[d] for d in range(5))
+
+
 def test_line_frequency_is_per_host_and_rejects_depleted(spark):
     rng = random.Random(5)
     menu = "Home  News\tAbout the company and its many friends all over the world today"
