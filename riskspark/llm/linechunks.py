@@ -29,7 +29,7 @@ PRIME = 1_000_003
 CHUNKINGS = 4
 WHOLE, LINES = CHUNKINGS, CHUNKINGS + 1
 LONG = 50
-SEND_ROWS = 4_000_000
+SEND_ROWS = 1_000_000
 
 
 def _chunks(lines: Column, rolled: Column, f: int) -> Column:
@@ -54,25 +54,45 @@ def line_id(line: Column) -> Column:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _hash, f, at, first, n, h, ids, lines): every chunk of two lines or a long one; h is the hash of its line ids."""
+    """(doc_id, _hash, f, at, first, n, h, ids, own): every chunk of two lines or a long one with its lines; h is the hash of their ids.
+
+    A column ``_wanted`` of ``docs``, set<struct<f, at>>, limits the chunks to those.
+    """
+    wanted = F.col("_wanted") if "_wanted" in docs.columns else F.lit(None)
     rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_hash"), F.split(text_col, "\n").alias("lines"))
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_hash"), F.split(text_col, "\n").alias("lines"), wanted.alias("_wanted"))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")))
     # the first line has no full window: its rolling hash counts as having every bit, so no chunk ends there
     rolled = F.transform("hashes", lambda h, i: F.coalesce(F.pmod(sum((F.get("hashes", i - k) * BASE**k for k in range(1, WINDOW)), h), F.lit(PRIME)), F.lit(-1)))
-    rows = rows.select("doc_id", "_hash", "lines", F.transform("lines", line_id).alias("all"), rolled.alias("rolled"))
-    rows = rows.select(
-        "doc_id", "_hash", "lines", "all", F.explode(F.concat(*[_chunks(F.col("lines"), F.col("rolled"), f) for f in range(LINES + 1)])).alias("c"))
-    return rows.select("doc_id", "_hash", "c.*", F.slice("all", F.col("c.first") + 1, F.col("c.n")).alias("ids"), "lines").withColumn("h", F.xxhash64("ids"))
+    rows = rows.select("doc_id", "_hash", "lines", "_wanted", F.transform("lines", line_id).alias("all"), rolled.alias("rolled"))
+    every = F.concat(*[_chunks(F.col("lines"), F.col("rolled"), f) for f in range(LINES + 1)])
+    if "_wanted" in docs.columns:
+        every = F.filter(every, lambda c: F.array_contains("_wanted", F.struct(c["f"].alias("f"), c["at"].alias("at"))))
+    rows = rows.select("doc_id", "_hash", "lines", "all", F.explode(every).alias("c"))
+    part = lambda name: F.slice(name, F.col("c.first") + 1, F.col("c.n"))
+    return rows.select("doc_id", "_hash", "c.*", part("all").alias("ids"), part("lines").alias("own")).withColumn("h", F.xxhash64("ids"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _hash, f, at, first, n) of every chunk that an earlier chunk equals byte for byte."""
+def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The chunks whose hash occurs more than once.
+
+    Up to ``SEND_ROWS`` such hashes are sent to the tasks; beyond that places are joined by hash, gathered by document, and
+    meet the texts there, so a text still travels once at most.
+    """
     found = chunks(docs, id_col, text_col)
     often = common.stored(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "chunk-hashes")
-    if often.count() <= SEND_ROWS:  # 8 bytes a row; beyond that a shuffle join does the same
-        often = F.broadcast(often)
-    found = found.join(often, "h", "left_semi").withColumn("own", F.slice("lines", F.col("first") + 1, F.col("n")))
+    if often.count() <= SEND_ROWS:
+        return found.join(F.broadcast(often), "h", "left_semi")
+    places = found.select("doc_id", "_hash", "f", "at", "h").join(often, "h", "left_semi").groupBy("doc_id", "_hash").agg(
+        F.collect_set(F.struct("f", "at")).alias("_wanted")).withColumnRenamed("doc_id", "_id")
+    rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("_of"))
+    rows = rows.join(places, (F.col("_of") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id"))).select(id_col, text_col, "_wanted")
+    return chunks(rows, id_col, text_col)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _hash, f, at, first, n) of every chunk that an earlier chunk equals byte for byte."""
+    found = candidates(docs, id_col, text_col)
     pairs = found.select(F.explode(F.arrays_zip("ids", "own")).alias("x")).select("x.ids", "x.own").distinct()
     shared = pairs.groupBy("ids").agg(F.count("*").alias("k")).where("k > 1")
     place = ["doc_id", "_hash", "f", "at"]

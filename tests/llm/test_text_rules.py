@@ -72,6 +72,14 @@ def test_linechunks_odd_rows(spark):
     assert linechunks.remove(frame(spark, [])).count() == 0
 
 
+def test_many_repeated_hashes_take_the_other_join(spark, monkeypatch):
+    rows = [(r.doc_id, r.text, "s") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(None, "a\nb", "s"), (7000, "a\nb", "s"), (7000, "a\nb", "s")]
+    shown = lambda: sorted((tuple(r) for r in linechunks.remove(frame(spark, rows)).select("doc_id", "text", "chunks_removed", "lines_removed").collect()), key=repr)
+    want = shown()
+    monkeypatch.setattr(linechunks, "SEND_ROWS", 0)
+    assert shown() == want
+
+
 def test_a_long_line_is_a_passage_of_its_own(spark):
     rng = random.Random(9)
     passage = sentence(rng, 55)
