@@ -28,7 +28,7 @@ def default_path() -> str:
 class Encoder:
     """``keep`` bounds the chunks that a worker remembers beyond one batch of texts."""
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -39,23 +39,32 @@ class Encoder:
         self.keep = keep
         self.heads: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes | None] = {}
-        self.line_break, self.stop, self.comma = self._encode(["\n", ".", ","])
+        self.line_break, stop, comma = self._encode(["\n", ".", ","])
+        self.ends = {".": stop, ",": comma}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes | None], chunks: set[str], before: str) -> set[str]:
         """Add what is new; chunks that may not stand alone (empty, or with white space) get None."""
-        new = chunks - known.keys()
-        bare = {c for c in new if c and c.split() == [c]}
-        known.update(dict.fromkeys(new - bare))
+        new = chunks.difference(known)
+        plain, ended = [], []
+        for c in new:
+            if c.isalpha():
+                plain.append(c)
+            elif c[-1:] in self.ends and c[:-1].isalpha():
+                ended.append(c)
+            elif c and c.split() == [c]:
+                plain.append(c)
+            else:
+                known[c] = None
         # a word before a stop or comma is a piece of its own
-        ended = {c: w for c in bare if c[-1] in ".," and (w := c[:-1]).isalpha()}
-        plain = list((bare - ended.keys()) | (set(ended.values()) - known.keys()))
+        words = {c[:-1] for c in ended}.difference(known, new)
+        plain += words
         known.update(zip(plain, self._encode([before + c for c in plain])))
-        for c, w in ended.items():
-            known[c] = known[w] + (self.stop if c[-1] == "." else self.comma)
-        return new.union(plain)
+        for c in ended:
+            known[c] = known[c[:-1]] + self.ends[c[-1]]
+        return new | words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -81,13 +90,18 @@ class Encoder:
         new = ((self.heads, self._learn(self.heads, heads, "")), (self.tails, self._learn(self.tails, tails, " ")))
         head, tail, out, whole = self.heads, self.tails.__getitem__, [], []
         for k, (text, lines) in enumerate(zip(texts, split)):
+            joined = []
             try:
-                if any(m in text for m in self.marks):
-                    raise TypeError
-                out.append(self.line_break.join([b"".join((head[p[0]], *map(tail, p[1:]))) for p in lines]) if text else b"")
-            except TypeError:  # a chunk that may not stand alone, or a special token's string
-                out.append(b"")
+                for parts in lines:
+                    ids = list(map(tail, parts))
+                    ids[0] = head[parts[0]]
+                    joined.append(b"".join(ids))
+            except TypeError:  # a chunk that may not stand alone
+                joined = None
+            if text and (joined is None or any(m in text for m in self.marks)):
                 whole.append(k)
+                joined = None
+            out.append(self.line_break.join(joined) if text and joined is not None else b"")
         for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = ids
         for known, added in new:
