@@ -1,8 +1,10 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built from windows of good and of bad labelled text.  A text is compressed once with each;
-the difference of the sizes over the text's length (plus ``SHRINK``, so that short texts say little) is high where the
-good dictionary helps more.  A logistic fit on other labelled rows turns it into the probability of label 1.
+Two zstandard dictionaries are built from windows of good and of bad labelled text.  A text is compressed with each in
+consecutive windows of the same size, each a frame of its own, so that its end meets the dictionaries as its start does;
+the difference of the sizes, summed over all windows, over the text's length (plus ``SHRINK``, so that short texts say
+little) is high where the good dictionary helps more.  A logistic fit on other labelled rows turns it into the probability
+of label 1.
 
 The fit reads a bounded sample: ``per_class`` labelled documents of each class, of which one part in ``CALIBRATE`` serves
 calibration only, and ``windows`` text windows a class.  Every document is scored on its whole text.
@@ -45,13 +47,14 @@ class Model:
     constant: float | None = None
 
     def differences(self, texts: list[str | None]) -> np.ndarray:
+        windows = [[t[i:i + WINDOW].encode("utf-8", "surrogatepass") for i in range(0, len(t), WINDOW)] if t else [] for t in texts]
         sizes = []
         for data in (self.good, self.bad):
             known = zs.ZstdCompressionDict(data)
             known.precompute_compress(level=3)
             pack = zs.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_dict_id=False).compress
-            sizes.append([len(pack(t.encode("utf-8", "surrogatepass"))) if t else 0 for t in texts])
-        lengths = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], float)
+            sizes.append([sum(len(pack(w)) for w in own) for own in windows])
+        lengths = np.array([sum(map(len, own)) for own in windows], float)
         return (np.array(sizes[1], float) - np.array(sizes[0], float)) / (lengths + SHRINK)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:

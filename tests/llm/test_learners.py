@@ -37,6 +37,19 @@ def test_scores_do_not_see_held_out_labels(spark):
     assert (a.good, a.bad, a.intercept, a.slope) == (b.good, b.bad, b.intercept, b.slope)
 
 
+def test_long_texts_score_as_their_parts_do(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = learning.fold(F.col("doc_id"), 4) == 2
+    model = zquality.fit(docs, labels, ~held)
+    rows = docs.join(labels.where(held), "doc_id").where("length(text) between 1500 and 6000").orderBy("doc_id").limit(200).collect()
+    once, often = (model.scores([r.text * k for r in rows]) for k in (1, 20))
+    good, sure = np.array([r.quality == 1 for r in rows]), np.abs(once - 0.7) > 0.2
+    assert good.sum() > 30 and (often[good & sure] >= 0.7).mean() > 0.97 and ((often >= 0.7) == (once >= 0.7))[sure].mean() > 0.97
+    long = model.scores([r.text for r in docs.join(labels.where("quality = 1"), "doc_id").where("length(text) > 10000").collect()])
+    assert len(long) > 50 and (long >= 0.7).mean() > 0.97
+
+
 def brute_nearest(vectors, query, k, but):
     scores = [(-round(sum(w * v.get(t, 0) for t, w in query.items()), 12), i) for i, v in enumerate(vectors) if i != but]
     return [(i, -c) for c, i in sorted(s for s in scores if s[0] < 0)[:k]]
