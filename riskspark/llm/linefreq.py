@@ -31,6 +31,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
@@ -50,7 +54,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         "row_id", "doc_id", "host", n.cast("bigint").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("lines", lambda x: F.struct(
-            F.xxhash64(F.lower(F.trim(F.regexp_replace(x, SPACE, " ")))).alias("h"), F.size(_words(x)).alias("words"))).alias("lines"),
+            line_hash(x).alias("h"), F.size(_words(x)).alias("words"))).alias("lines"),
         F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))).alias("windows"))
     # most texts repeat no window: only the others are sorted
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -77,18 +81,28 @@ def apply_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_words: int = 20, max_repeat: int = 30, share: float = 0.1, least: int = 10, left: float = 0.2,
 ) -> DataFrame:
-    """Figures and verdict of every row: base_failed, lines_removed, words_removed, kept."""
+    """Figures and verdict of every row: base_failed, lines_removed, words_removed, cut (hashes of the lines removed), kept."""
     rows = common.stored(figures(docs, id_col, text_col, host_col), "figures")
     often = frequent_lines(rows, share, least).select(F.col("host").alias("of"), F.col("h").alias("often"))
     lines = rows.select("row_id", "host", F.explode("lines").alias("x")).select("row_id", "host", "x.h", "x.words")
     removed = lines.join(often, (F.col("h") == F.col("often")) & F.col("host").eqNullSafe(F.col("of")), "left_semi").groupBy("row_id").agg(
-        F.count("*").alias("lines_removed"), F.sum("words").alias("words_removed"))
+        F.count("*").alias("lines_removed"), F.sum("words").alias("words_removed"), F.collect_set("h").alias("cut"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     depleted = (F.col("words_removed") > 0) & (F.col("n_words") - F.col("words_removed") < left * F.col("n_words"))
     rows = rows.drop("lines").join(removed, "row_id", "left").fillna(0, ["lines_removed", "words_removed"])
     return rows.drop("row_id").withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
+def cleaned(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """Rows of ``docs`` that are kept, the frequent lines cut out of their text, and ``lines_removed``; no column may be called ``_row``, ``_of``, ``_cut`` or ``_lines``."""
+    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = apply_rules(rows, "_row", text_col, host_col, **limits).where("kept").select(F.col("doc_id").alias("_of"), F.col("cut").alias("_cut"), F.col("lines_removed").alias("_lines"))
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("_cut", line_hash(x))), "\n")
+    return rows.join(found, F.col("_row") == F.col("_of")).select(
+        *[F.when(F.col("_cut").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else rows[c] for c in docs.columns],
+        F.col("_lines").alias("lines_removed"))
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents

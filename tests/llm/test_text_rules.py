@@ -122,3 +122,15 @@ def test_linefreq_odd_rows(spark):
         want.append((d, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), plain_repeats(words)))
     assert got == sorted(want, key=repr)
     assert linefreq.apply_rules(frame(spark, [])).count() == 0
+
+
+def test_linefreq_cleaned_text(spark):
+    rows = [(i, "Common  LINE of the site\n\n" + " ".join(f"w{i}x{k}" for k in range(30)) + "\ncommon line of the site", "s") for i in range(12)]
+    rows += [(50, "too short", "s"), (51, None, "s"), (5, rows[5][1], "s")]
+    got = sorted((r.doc_id, r.text, r.lines_removed) for r in linefreq.cleaned(frame(spark, rows)).collect())
+    assert got == sorted((i, "\n" + " ".join(f"w{i}x{k}" for k in range(30)), 2) for i in [*range(12), 5])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id: r for r in linefreq.apply_rules(docs).where("kept").collect()}
+    out = {r.doc_id: r for r in linefreq.cleaned(docs).collect()}
+    assert set(out) == set(kept) and any(r.lines_removed for r in out.values())
+    assert all(len(r.text.split()) == kept[d].n_words - kept[d].words_removed for d, r in out.items() if r.text.isascii())
