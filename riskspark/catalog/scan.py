@@ -8,7 +8,7 @@ from riskspark import corpus
 from riskspark.catalog.common import SHOWN, files, query
 from riskspark.functions import paths as pf, scalars as sc, text as tx
 from riskspark.operators import custom, dataflow, deps, injection as inj, lexical, modules, post, remediate, score, secrets, sqlrls
-from riskspark.operators.findings import Source, only, prepare, run_rules
+from riskspark.operators.findings import only, run_rules
 from riskspark.plans import jobs
 from riskspark.sources import sinks
 
@@ -27,9 +27,11 @@ def _rule_query(name: str, rules: list, rule_ids: list[str], evidence: str | Non
 
 
 _LABELS = ("AWS Access Key ID", "Stripe Secret Key", "PostgreSQL Connection URI", r"\bservice[_-]?role[_-]?key\b")
-_FOLDED = tuple(corpus.index_of(n) for n in ("concatenated secret", "base64 secret", "joined array secret", "template secret"))
+_FOLDED = tuple(corpus.index_of(n) for n in ("concatenated secret", "base64 secret", "joined array secret", "template secret", "shadowed constant", "members of constants"))
 _FOLD_SQL = "t.k IN (" + ",".join(map(str, _FOLDED)) + ")"
-_rule_query("rule_credentials", [secrets.credential_hits], ["frontend-secret"], "t.evidence IN (" + ",".join(corpus._q(x) for x in _LABELS) + f") AND NOT {_FOLD_SQL}")
+#: Findings of literals that hold a credential as they stand.
+CREDENTIALS_SQL = "t.evidence IN (" + ",".join(corpus._q(x) for x in _LABELS) + f") AND NOT {_FOLD_SQL}"
+_rule_query("rule_credentials", [secrets.credential_hits], ["frontend-secret"], CREDENTIALS_SQL)
 _rule_query("rule_folded_secrets", [secrets.folded_secrets], ["frontend-secret"], _FOLD_SQL)
 _rule_query("rule_service_role_names", [secrets.service_role_identifiers], ["frontend-secret"], "t.evidence = 'Supabase service role reference'")
 _rule_query("rule_named_secrets", [secrets.named_secrets_frontend], ["frontend-secret"], "t.evidence LIKE '%assigned a hardcoded literal'")
@@ -423,9 +425,8 @@ def ordered_findings(spark, sf):
 
 @query("route_blocks", f"SELECT d.source AS repo_id, 'src/routes_' || d.doc_id || '.js' AS path, CAST(1 + d.doc_id % 5 AS INTEGER) AS line FROM documents d WHERE d.doc_id % {corpus.COUNT} = {corpus.index_of('route updates account')}")
 def route_blocks(spark, sf):
-    f = Source(F.col("path"), F.col("content"), F.col("code"), F.col("bare"))
-    return prepare(jobs._sources(files(spark, sf))).where(F.col("content").contains("router.")).select(
-        "repo_id", "path", F.explode(inj.route_blocks(f)).alias("b")
+    return jobs._sources(files(spark, sf)).where(F.col("content").contains("router.")).select(
+        "repo_id", "path", F.explode(inj.route_blocks(F.col("content"))).alias("b")
     ).select("repo_id", "path", "b.line")
 
 
@@ -483,6 +484,8 @@ _PATCHED = ", ".join(
         ("suppressed secret", "src/quiet_{id}.ts", 2, "const sessionToken = process.env.SESSION_TOKEN;"), ("suppressed secret", "src/quiet_{id}.ts", 3, "const otherToken = process.env.OTHER_TOKEN;"),
         ("vendored secret", "vendor/lib_{id}.ts", 1, "const sessionToken = process.env.SESSION_TOKEN;"), ("crlf file", "src/crlf_{id}.ts", 3, "const live = process.env.STRIPE_SECRET_KEY;"),
         ("backend named secret", "app/api/named_{id}/route.ts", 2, "const apiKey = process.env.API_KEY;"),
+        ("key in a substitution", "src/subst_{id}.ts", 1, "const note = `x ${mark(process.env.AWS_ACCESS_KEY_ID)} y`;"),
+        ("key below a regular expression", "src/tick_{id}.ts", 4, "export const cfg = { id: process.env.AWS_ACCESS_KEY_ID };"),
     )
 )
 
@@ -498,7 +501,7 @@ def apply_fixes(spark, sf):
     return changed.select("repo_id", "path", "line", "text")
 
 
-@query("remediate_totals", f"SELECT d.source AS repo_id, sum(t.n)::BIGINT AS attempted, sum(t.n)::BIGINT AS applied, 0::BIGINT AS skipped FROM documents d JOIN (VALUES {', '.join(f'({corpus.index_of(n)}, {c})' for n, c in (('aws key', 1), ('stripe key', 1), ('postgres url', 1), ('named secret', 1), ('non-ascii file', 1), ('suppressed secret', 2), ('vendored secret', 1), ('crlf file', 1), ('backend named secret', 1)))}) AS t(k, n) ON d.doc_id % {corpus.COUNT} = t.k GROUP BY 1")
+@query("remediate_totals", f"SELECT d.source AS repo_id, sum(t.n)::BIGINT AS attempted, sum(t.n)::BIGINT AS applied, 0::BIGINT AS skipped FROM documents d JOIN (VALUES {', '.join(f'({corpus.index_of(n)}, {c})' for n, c in (('aws key', 1), ('stripe key', 1), ('postgres url', 1), ('named secret', 1), ('non-ascii file', 1), ('suppressed secret', 2), ('vendored secret', 1), ('crlf file', 1), ('backend named secret', 1), ('key in a substitution', 1), ('key below a regular expression', 1)))}) AS t(k, n) ON d.doc_id % {corpus.COUNT} = t.k GROUP BY 1")
 def remediate_totals(spark, sf):
     f = jobs._sources(files(spark, sf))
     found = run_rules(f, [secrets.credential_hits, secrets.named_secrets_frontend]).where(F.col("fix").isNotNull())

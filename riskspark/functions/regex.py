@@ -64,18 +64,3 @@ def java(pattern: str) -> str:
 def any_of(patterns) -> str:
     """One alternation over several patterns, each keeping its own flags."""
     return "|".join(f"(?:{java(p)})" for p in patterns)
-
-
-#: Java's patterns have no recursion: bracketed runs are spelled out to a depth that no written code reaches.  A level
-#: adds a few characters to the pattern and costs nothing unless the text nests that deep.
-NESTING = 60
-
-
-def balanced(open_ch: str, close_ch: str) -> str:
-    """A bracketed run; possessive, so no backtracking."""
-    o, c = "\\" + open_ch, "\\" + close_ch
-    body = f"[^{o}{c}]"
-    expr = f"{o}{body}*+{c}"
-    for _ in range(NESTING - 1):
-        expr = f"{o}(?:{body}++|{expr})*+{c}"
-    return expr

@@ -17,13 +17,12 @@ _DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?'
 _SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?"
 STRING = rf"(?:{_DOUBLE}|{_SINGLE})"
 STRING_OR_TEMPLATE = rf"(?:{_TEMPLATE}|{_DOUBLE}|{_SINGLE})"
-# a regular expression literal stands where a value may begin; quotes in it open no string
-_REGEX = r"(?<=[=(,:\[!&|?][ \t]{0,8})/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
-LITERAL = rf"(?:{_REGEX}|{_TEMPLATE}|{_DOUBLE}|{_SINGLE})"
-LEXEME = rf"//[^\n]*+|{_REGEX}|/\*[\s\S]*?(?:\*/|\z)|{_TEMPLATE}|{_DOUBLE}|{_SINGLE}"
 IDENT = r"[A-Za-z_$][\w$]*"
 WORDS = r"[A-Za-z_$][\w$]*+"
 
+# a line goes on after an operator, and before one at the start of the next line
+MORE = r"(?:(?<=[=+*%&|?:,<>-][ \t]{0,8})\n|\n(?=\s*+(?:\??\.|[+*%&|?:,=<>-](?![+-]))))"
+
 MATCH = "struct<k:int,start:int,line:int,text:string>"
 
 
@@ -115,59 +114,17 @@ def group(match_text: Column, pattern: str, index: int) -> Column:
     return F.regexp_extract(match_text, pattern, index)
 
 
-def mask(content: Column, strings: bool = False) -> Column:
-    """Blank out comments (and string bodies), keeping length and line breaks."""
-
-    def blank(t: Column) -> Column:
-        spaces = F.regexp_replace(t, r"[^\n]", " ")
-        if strings:
-            return spaces
-        return F.when(t.startswith("//") | t.startswith("/*"), spaces).otherwise(t)
-
-    tokens = F.regexp_extract_all(content, F.lit(LEXEME), F.lit(0))
-    merged = F.zip_with(
-        F.split(content, LEXEME, -1), tokens, lambda p, t: F.concat(p, F.coalesce(blank(t), F.lit("")))
-    )
-    return F.array_join(merged, "")
-
-
-def enclosing_block_span(bare: Column, offset: Column) -> Column:
-    """struct<open, close> of the innermost brace pair around ``offset`` (NULL if none).
-
-    ``bare`` is the text with strings and comments blanked, so braces in them
-    do not count.
-    """
-    marks = F.transform(find_all(bare, r"[{}]"), lambda m: F.struct(m["start"].alias("at"), m["text"].alias("c")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("at"))
-
-    def walk(opens: str):
-        def step(acc: Column, m: Column) -> Column:
-            deeper = F.when(m["c"] == opens, acc["depth"] - 1).otherwise(acc["depth"] + 1)
-            hit = (m["c"] == opens) & (acc["depth"] == 0)
-            nxt = F.struct(
-                F.when(hit, acc["depth"]).otherwise(deeper).alias("depth"),
-                F.when(hit, m["at"]).otherwise(F.lit(None).cast("int")).alias("at"),
-            )
-            return F.when(acc["at"].isNotNull(), acc).otherwise(nxt)
-
-        return step
-
-    return let(
-        marks,
-        lambda ms: F.struct(
-            F.aggregate(F.reverse(F.filter(ms, lambda m: m["at"] <= offset)), start, walk("{"))["at"].alias("open"),
-            F.aggregate(F.filter(ms, lambda m: m["at"] > offset), start, walk("}"))["at"].alias("close"),
-        ),
-    )
+def enclosing_block_span(blocks: Column, offset: Column) -> Column:
+    """struct<open, close> of the innermost of the lexer's ``blocks`` around ``offset`` (NULL if none)."""
+    around = F.filter(blocks, lambda b: (b["open"] <= offset) & (b["close"] >= offset))
+    return F.array_max(F.transform(around, lambda b: F.struct(b["open"].alias("open"), b["close"].alias("close"))))
 
 
-def block_text(content: Column, bare: Column, offset: Column) -> Column:
+def block_text(content: Column, blocks: Column, offset: Column) -> Column:
     """Text of the innermost block around ``offset``; the whole file if there is none."""
     return let(
-        enclosing_block_span(bare, offset),
-        lambda s: F.when(s["open"].isNull() | s["close"].isNull(), content).otherwise(
-            F.substring(content, s["open"] + 1, s["close"] - s["open"] + 1)
-        ),
+        enclosing_block_span(blocks, offset),
+        lambda s: F.when(s.isNull(), content).otherwise(F.substring(content, s["open"] + 1, s["close"] - s["open"] + 1)),
     )
 
 

@@ -13,11 +13,10 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark import fixed_values as fv, schemas
-from riskspark.functions import paths as pf, scalars as sc, text as tx
+from riskspark.functions import lexer, paths as pf, scalars as sc, text as tx
 from riskspark.functions.regex import java
-from riskspark.functions.text import IDENT, find_all, let, words
-from riskspark.operators import injection as inj
-from riskspark.operators.findings import Source, prepare
+from riskspark.functions.text import IDENT, find_all, words
+from riskspark.operators.findings import Source, prepare, source
 from riskspark.session import checkpoint
 
 NODE_KEYS = ["repo_id", "path", "node_id"]
@@ -39,13 +38,14 @@ def is_source_node(node_type: Column, text: Column) -> Column:
     return eligible & text.rlike(java(fv.CPG_SOURCE))
 
 
-def _value_type(v: Column) -> Column:
+def _value_type(a: Column) -> Column:
+    v, shape = a["value"], a["shape"]
     return (
         F.when(v.rlike(rf"\A{IDENT}\z"), "identifier")
         .when(v.rlike(r"\A(?:async\s*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)\s*=>|\A(?:async\s+)?function\b"), "arrow_function")
         .when(v.rlike(r"\Aawait\b"), "await_expression")
-        .when(v.rlike(rf"\A{IDENT}(?:\s*\??\.\s*{IDENT}|{inj.PARENS}|{inj.BRACKETS})*+\s*{inj.PARENS}\z"), "call_expression")
-        .when(v.rlike(rf"\A{IDENT}(?:\s*\??\.\s*{IDENT}|{inj.PARENS}|{inj.BRACKETS})*+\z"), "member_expression")
+        .when(shape == "call", "call_expression")
+        .when(shape == "member", "member_expression")
         .when(v.rlike(r"\A`[^`]*`\z"), "template_string")
         .when(v.rlike(r"\A['\"]"), F.when(v.contains("+"), "binary_expression").otherwise("string"))
         .when(v.contains("+"), "binary_expression")
@@ -56,15 +56,15 @@ def _value_type(v: Column) -> Column:
 def _facts(f: Source) -> Column:
     """struct<assigns, calls, returns> of one file; node ids are start*4 + kind."""
     assigns = F.transform(
-        F.filter(inj.assignments(f), lambda a: ~a["declared"] | (F.size(a["names"]) == 1)),
+        F.filter(f.spans["assigns"], lambda a: ~a["declared"] | (F.size(a["names"]) == 1)),
         lambda a: F.struct(
             a["start"].alias("start"), a["line"].alias("line"), a["names"].alias("names"), a["value"].alias("value"),
-            _value_type(a["value"]).alias("vtype"), a["declared"].alias("declared"),
+            _value_type(a).alias("vtype"), a["declared"].alias("declared"),
         ),
     )
-    returns = find_all(f.bare, rf"(?<![\w$.])return\b(?:[^;\n]|{inj.MORE})*")
+    returns = find_all(f.bare, rf"(?<![\w$.])return\b(?:[^;\n]|{tx.MORE})*")
     return F.struct(
-        assigns.alias("assigns"), inj.calls(f).alias("calls"),
+        assigns.alias("assigns"), f.spans["calls"].alias("calls"),
         F.transform(returns, lambda r: F.struct(r["start"].alias("start"), r["line"].alias("line"), r["text"].alias("text"))).alias("returns"),
     )
 
@@ -73,10 +73,9 @@ def statements(files: DataFrame, tag: str | None = "scan-ignore") -> DataFrame:
     """Assignments, calls and returns of files that read request input, from one pass over the text."""
     if "s" in files.columns:
         return files
-    src = Source(F.col("path"), F.col("content"), F.col("code"), F.col("bare"))
-    base = prepare(files.where(pf.is_source(F.col("path")) & F.col("content").rlike("(?i)req|searchparams|formdata|headers") & F.col("content").rlike(java(fv.CPG_SOURCE))))
+    base = prepare(files.where(pf.is_source(F.col("path")) & F.col("content").rlike("(?i)req|searchparams|formdata|headers") & F.col("content").rlike(java(fv.CPG_SOURCE))), lexer.CALLS)
     found = ignore_rows(F.col("content"), tag) if tag else F.lit(None)
-    return base.select("repo_id", "path", _facts(src).alias("s"), found.alias("ignores"))
+    return base.select("repo_id", "path", _facts(source()).alias("s"), found.alias("ignores"))
 
 
 def cpg_nodes(files: DataFrame, tag: str = "scan-ignore") -> DataFrame:
@@ -190,43 +189,54 @@ def cpg_edges(files: DataFrame) -> DataFrame:
 def trace_to_sink(edges: DataFrame, sources: DataFrame, sinks: DataFrame, keys: list[str]) -> DataFrame:
     """First sink each source reaches, breadth first, with the node trail.
 
-    ``edges`` (keys…, src, dst, seq), ``sources`` and ``sinks`` (keys…, node).
-    ``ord`` is the list of edge numbers from the source: comparing it gives the
-    order a queue would visit nodes of one depth in, so ties are settled the same
-    way on every run.  A source leaves the frontier once it reached a sink, and
-    no node is visited twice, so the loop ends by itself.
+    ``edges`` (keys…, src, dst, seq), ``sources`` and ``sinks`` (keys…, node).  A row of the state is one (source, node)
+    with the node it was reached from and its place in the queue; nothing in it grows with the depth.  The place of a new
+    node follows from its parent's place and the edge's number, so ties are settled as a queue would.  A source leaves
+    the frontier once it reached a sink, and no node is visited twice, so the loop ends by itself.  Trails are read
+    backwards at the end, one row per source and level.
     """
+    ident = keys + ["source"]
     edges = edges.select(*keys, F.col("src").alias("node"), "dst", "seq")
     start = sources.select(*keys, F.col("node").alias("source")).distinct()
-    frontier = checkpoint(
-        start.select(*keys, "source", F.col("source").alias("node"), F.array("source").alias("trail"),
-                     F.expr("cast(array() as array<struct<seq:bigint,dst:bigint>>)").alias("ord"))
-    )
-    ident = keys + ["source"]
+    frontier = checkpoint(start.select(*ident, F.col("source").alias("node"), F.lit(1).alias("place")))
     seen = frontier.select(*ident, "node")
-    sink_nodes = sinks.select(*keys, "node").distinct()
-    found = None
+    sink_nodes = sinks.select(*keys, "node").distinct().withColumn("hit", F.lit(True))
+    queue = Window.partitionBy(*ident).orderBy("b.place", "b.seq", "node")
+    levels = []
     for depth in itertools.count(1):
         step = frontier.join(edges, keys + ["node"]).select(
-            *ident, F.col("dst").alias("node"), F.concat("trail", F.array("dst")).alias("trail"),
-            F.concat("ord", F.array(F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("dst").cast("bigint").alias("dst")))).alias("ord"),
-        )
-        best = step.groupBy(*ident, "node").agg(F.min(F.struct("ord", "trail")).alias("b"))
-        fresh = best.join(seen, ident + ["node"], "left_anti").select(*ident, "node", "b.ord", "b.trail")
-        fresh = checkpoint(fresh.join(sink_nodes.withColumn("hit", F.lit(True)), keys + ["node"], "left"))
+            *ident, F.col("dst").alias("node"), F.struct("place", "seq", F.col("node").alias("parent")).alias("b"))
+        best = step.groupBy(*ident, "node").agg(F.min("b").alias("b")).join(seen, ident + ["node"], "left_anti")
+        fresh = best.select(*ident, "node", "b.parent", F.row_number().over(queue).alias("place")).join(sink_nodes, keys + ["node"], "left")
+        fresh = checkpoint(fresh.select(*ident, "node", "parent", "place", "hit"))
         if fresh.isEmpty():
             break
-        hits = fresh.where(F.col("hit")).groupBy(*ident).agg(F.min(F.struct("ord", "node", "trail")).alias("b")).select(
-            *ident, F.col("b.node").alias("sink"), F.lit(depth).alias("depth"), F.col("b.trail").alias("trail")
-        )
-        found = hits if found is None else found.unionByName(hits)
+        hits = fresh.where("hit").groupBy(*ident).agg(F.min_by("node", "place").alias("node"))
+        levels.append((fresh.select(*ident, "node", "parent"), hits))
         seen = seen.unionByName(fresh.select(*ident, "node"))
         if depth % COMPACT == 0:
             seen = checkpoint(seen)
-        frontier = fresh.where(F.col("hit").isNull()).drop("hit").join(hits.select(*ident), ident, "left_anti")
-    if found is None:
-        return start.select(*ident, F.col("source").alias("sink"), F.lit(0).alias("depth"), F.array("source").alias("trail")).limit(0)
-    return found
+        frontier = fresh.where(F.col("hit").isNull()).select(*ident, "node", "place").join(hits.select(*ident), ident, "left_anti")
+    return _trails(levels, start, ident)
+
+
+def _trails(levels: list, start: DataFrame, ident: list[str]) -> DataFrame:
+    """(keys…, source, sink, depth, trail) from the (node, parent) rows and hits of each depth, deepest first."""
+    steps = start.limit(0).select(*ident, F.lit(0).alias("depth"), F.col("source").alias("node"))
+    current = None
+    for depth in range(len(levels), 0, -1):
+        rows, hits = levels[depth - 1]
+        wanted = hits if current is None else current.unionByName(hits)  # one trail per source
+        here = rows.join(wanted, ident + ["node"], "left_semi")
+        if depth % COMPACT == 0:
+            here = checkpoint(here)
+        steps = steps.unionByName(here.select(*ident, F.lit(depth).alias("depth"), "node"))
+        current = here.select(*ident, F.col("parent").alias("node"))
+    at = F.array_sort(F.collect_list(F.struct("depth", "node")))  # as long as one trail
+    whole = steps.groupBy(*ident).agg(at.alias("t"))
+    return whole.select(
+        *ident, F.element_at("t", -1)["node"].alias("sink"), F.size("t").alias("depth"),
+        F.concat(F.array("source"), F.transform("t", lambda x: x["node"])).alias("trail"))
 
 
 def entry_keys(text: Column) -> Column:

@@ -9,19 +9,21 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark import schemas
-from riskspark.functions import text as tx
+from riskspark.functions import lexer, text as tx
 
 TYPES = dict(schemas.FINDING_FIELDS)
 NO_FINDINGS = f"cast(array() as array<{schemas.FINDING}>)"
 
 
 class Source(NamedTuple):
-    """The columns a rule may read: ``code`` has comments blanked, ``bare`` strings too."""
+    """The columns a rule may read: ``code`` has comments blanked, ``bare`` strings too; ``spans`` are the lexer's arrays
+    that the rule asks for (``needs``)."""
 
     path: Column
     content: Column
     code: Column
     bare: Column
+    spans: Column
 
 
 Rule = Callable[[Source], "Guarded | Column"]  # -> array<finding>
@@ -64,17 +66,18 @@ def none() -> Column:
 
 
 class Guarded(NamedTuple):
-    """Findings behind a cheap guard that reads path and content only."""
+    """Findings behind a cheap guard that reads path and content only; ``needs`` are the lexer's spans they read."""
 
     guard: Column
     findings: Column
+    needs: int = 0
 
     def column(self) -> Column:
         return F.when(F.coalesce(self.guard, F.lit(False)), self.findings).otherwise(none())
 
 
-def when(guard: Column, findings: Column) -> Guarded:
-    return Guarded(guard, findings)
+def when(guard: Column, findings: Column, needs: int = 0) -> Guarded:
+    return Guarded(guard, findings, needs)
 
 
 def only(rule: Rule, keep: Callable[[Column], Column]) -> Rule:
@@ -82,14 +85,20 @@ def only(rule: Rule, keep: Callable[[Column], Column]) -> Rule:
 
     def restricted(f: Source):
         inner = rule(f)
-        return Guarded(inner.guard, F.filter(inner.findings, keep)) if isinstance(inner, Guarded) else F.filter(inner, keep)
+        return Guarded(inner.guard, F.filter(inner.findings, keep), inner.needs) if isinstance(inner, Guarded) else F.filter(inner, keep)
 
     return restricted
 
 
-def prepare(files: DataFrame) -> DataFrame:
-    """Add the masked texts once for all rules."""
-    return files.withColumn("code", tx.mask(F.col("content"))).withColumn("bare", tx.mask(F.col("content"), strings=True))
+def prepare(files: DataFrame, want: Column | int = 0) -> DataFrame:
+    """Lex once for all rules: the masked texts and the wanted spans."""
+    lexed = files.withColumn("lexed", lexer.facts(F.col("content"), want))
+    return lexed.withColumn("code", F.col("lexed.code")).withColumn("bare", F.col("lexed.bare"))
+
+
+def source() -> Source:
+    """The columns of a prepared table."""
+    return Source(F.col("path"), F.col("content"), F.col("code"), F.col("bare"), F.col("lexed"))
 
 
 _COMPILED: dict = {}
@@ -99,7 +108,7 @@ def compiled(files: DataFrame, rule: Rule) -> Guarded | Column:
     """The rule's expression.  It only names columns, so one object serves every plan of a session."""
     key = (files.sparkSession.sparkContext.applicationId, rule)
     if key not in _COMPILED:
-        _COMPILED[key] = rule(Source(F.col("path"), F.col("content"), F.col("code"), F.col("bare")))
+        _COMPILED[key] = rule(source())
     return _COMPILED[key]
 
 
@@ -115,6 +124,7 @@ def run_rules(files: DataFrame, rules: list[Rule]) -> DataFrame:
     live = F.col("content").isNotNull()
     if all(isinstance(p, Guarded) for p in parts):
         live = live & functools.reduce(lambda a, b: a | b, [F.coalesce(p.guard, F.lit(False)) for p in parts])
-    base = prepare(files.where(live))
+    asked = [F.when(F.coalesce(p.guard, F.lit(False)), p.needs).otherwise(0) for p in parts if isinstance(p, Guarded) and p.needs]
+    base = prepare(files.where(live), functools.reduce(lambda a, b: a.bitwiseOR(b), asked) if asked else 0)
     out = base.select("repo_id", "path", F.posexplode(merged).alias("seq", "f"))
     return out.select("repo_id", "path", F.col("seq").cast("bigint").alias("seq"), "f.*")

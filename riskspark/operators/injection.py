@@ -3,8 +3,10 @@
 Taint is a fixpoint over the assignments of one file, held in one row
 (:func:`riskspark.functions.text.fixpoint`), so it needs no shuffle.
 
-Known losses against a syntax tree: an initializer that runs over a line break
-outside brackets is cut at the break, and brackets nest to a fixed depth.
+Calls, assignments, functions and ``+`` chains come from the lexer, which knows
+every bracket's partner, so nesting has no limit.  Known loss against a syntax
+tree: an initializer ends at a line break outside brackets unless an operator
+stands on either side of the break.
 """
 
 from __future__ import annotations
@@ -12,24 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from riskspark import fixed_values as fv
-from riskspark.functions import paths as pf, scalars as sc, text as tx
-from riskspark.functions.regex import balanced, java
+from riskspark.functions import lexer, paths as pf, scalars as sc, text as tx
+from riskspark.functions.regex import java
 from riskspark.functions.text import IDENT, find_all, fixpoint, let, words
 from riskspark.operators.findings import Source, finding, none, when
 
-PARENS = balanced("(", ")")
-BRACKETS = balanced("[", "]")
-BRACES = balanced("{", "}")
-# a line goes on after an operator, and before one at the start of the next line
-MORE = r"(?:(?<=[=+*%&|?:,<>-][ \t]{0,8})\n|\n(?=\s*+(?:\??\.|[+*%&|?:,=<>-](?![+-]))))"
-_EXPR = rf"(?:[^;\n(){{}}\[\]]++|{MORE}|{PARENS}|{BRACES}|{BRACKETS})++"
-_TARGET = rf"(?:{IDENT}|\{{[^{{}}]*\}}|\[[^\[\]]*\])"
-DECLARATION = rf"(?<![\w$.])(?:const|let|var)\s+{_TARGET}\s*(?::[^=;\n]*+)?=(?![=>])"
-ASSIGNMENT = rf"(?<=[\n;{{}}])[ \t]*+{IDENT}(?:\s*\.\s*{IDENT})*+\s*=(?![=>])"
-CALL_HEAD = rf"(?<![\w$.])(?<!function\s)(?<!new\s){IDENT}(?:\s*\??\.\s*{IDENT}|{BRACKETS})*+\s*\("
-_KEYWORD = r"\A(?:if|for|while|switch|catch|function|return|typeof|await|else|do|import|super)\b"
-FIRST_ARG = r"\A\s*(?:[^(),\[\]{}]++|" + balanced("(", ")") + "|" + balanced("[", "]") + "|" + balanced("{", "}") + ")*+"
-
 
 # --- request-controlled variables (text level) ---------------------------------------
 
@@ -145,7 +134,7 @@ def path_traversal(f: Source, scope: str = "file") -> Column:
         def unsafe(h):
             hit = _mentions(F.regexp_extract(h["text"], read_p, 2), tainted)
             if scope == "block":
-                return hit & ~tx.block_text(f.content, f.bare, h["start"]).rlike(java(fv.PATH_BOUNDARY))
+                return hit & ~tx.block_text(f.content, f.spans["blocks"], h["start"]).rlike(java(fv.PATH_BOUNDARY))
             return hit
 
         return F.transform(
@@ -159,7 +148,7 @@ def path_traversal(f: Source, scope: str = "file") -> Column:
     guard = pf.is_source(f.path) & (f.content.contains("readFile") | f.content.contains("createReadStream"))
     if scope == "file":
         guard = guard & ~f.content.rlike(java(fv.PATH_BOUNDARY))
-    return when(guard, let(request_vars(f.content), rows))
+    return when(guard, let(request_vars(f.content), rows), lexer.BLOCKS if scope == "block" else 0)
 
 
 def auth_bypass(f: Source) -> Column:
@@ -168,7 +157,7 @@ def auth_bypass(f: Source) -> Column:
 
     def open_door(h):
         return let(
-            tx.block_text(f.content, f.bare, h["start"]),
+            tx.block_text(f.content, f.spans["blocks"], h["start"]),
             lambda b: b.rlike(java(fv.USER_ID_NAMES)) & ~b.rlike(java(fv.AUTH_GUARD)),
         )
 
@@ -180,17 +169,11 @@ def auth_bypass(f: Source) -> Column:
         ),
     )
     guard = f.content.rlike(r"(?i)updateBillingPlan|updateProfile|updateAccount|deleteAccount|transferOwnership|UPDATE\s")
-    return when(pf.is_source(f.path) & guard, found)
+    return when(pf.is_source(f.path) & guard, found, lexer.BLOCKS)
 
 
 # --- SQL text built with + -----------------------------------------------------------
 
-_OPERAND = (
-    rf"(?:{tx.STRING_OR_TEMPLATE}|{PARENS}|{IDENT}(?:\s*\??\.\s*{IDENT}|{PARENS}|{BRACKETS})*+|\d[\w.]*)"
-)
-SQL_CHAIN = rf"(?<![\w$.]){_OPERAND}(?:\s*\+(?!\+)\s*{_OPERAND})++"
-
-
 def sql_injection(f: Source) -> Column:
     """``+`` chain that reads as SQL and has a dynamic side; every such prefix is a finding."""
     sql = java(fv.SQL_FRAGMENT)
@@ -203,25 +186,21 @@ def sql_injection(f: Source) -> Column:
         return ~(t.rlike("^['\"]") | plain_template)
 
     def prefixes(h):
-        parts = F.regexp_extract_all(h["text"], F.lit(rf"\s*\+(?!\+)\s*|{_OPERAND}"), F.lit(0))
-
-        def at(p, n):
-            left = F.array_join(F.slice(p, F.lit(1), n - 2), "")
-            right = F.get(p, n - 1)
-            single = n == 3
-            left_dynamic = ~single | dynamic(left)
+        def at(n):
+            part, text = F.get(h["parts"], n), h["text"]
+            left = F.left(text, F.get(h["parts"], n - 1)["end"])
+            right = F.substring(text, part["at"] + 1, part["end"] - part["at"])
+            left_dynamic = (n > 1) | dynamic(left)
             ok = (reads_as_sql(left) & dynamic(right)) | (reads_as_sql(right) & left_dynamic)
-            whole = F.array_join(F.slice(p, F.lit(1), n), "")
+            whole = F.left(text, part["end"])
             return F.struct((ok & reads_as_sql(whole)).alias("ok"), whole.alias("text"))
 
-        def rows(p):
-            ends = F.transform(F.sequence(F.lit(3), F.greatest(F.size(p), F.lit(3)), F.lit(2)), lambda n: at(p, n))
-            # outermost expression first, as the tree is walked
-            return F.reverse(F.filter(ends, lambda e: F.coalesce(e["ok"], F.lit(False))))
-
-        return F.transform(let(parts, rows), lambda e: F.struct(h["start"].alias("start"), h["line"].alias("line"), e["text"].alias("text")))
+        ends = F.transform(F.sequence(F.lit(1), F.size(h["parts"]) - 1), at)
+        # outermost expression first, as the tree is walked
+        rows = F.reverse(F.filter(ends, lambda e: F.coalesce(e["ok"], F.lit(False))))
+        return F.transform(rows, lambda e: F.struct(h["start"].alias("start"), h["line"].alias("line"), e["text"].alias("text")))
 
-    chains = find_all(f.code, SQL_CHAIN, lambda t: t.rlike(sql))
+    chains = F.filter(f.spans["chains"], lambda h: h["text"].rlike(sql))
     found = F.transform(
         F.flatten(F.transform(chains, prefixes)),
         lambda r: let(
@@ -237,7 +216,7 @@ def sql_injection(f: Source) -> Column:
             ),
         ),
     )
-    return when(pf.is_source(f.path) & f.content.contains("+") & f.content.rlike(r"(?i)\b(?:SELECT|INSERT|UPDATE|DELETE)\b"), found)
+    return when(pf.is_source(f.path) & f.content.contains("+") & f.content.rlike(r"(?i)\b(?:SELECT|INSERT|UPDATE|DELETE)\b"), found, lexer.CHAINS)
 
 
 # --- server-side request forgery -----------------------------------------------------------
@@ -302,49 +281,6 @@ def is_static_url(arg: Column) -> Column:
     return F.trim(arg).rlike(java(fv.STATIC_URL))
 
 
-def calls(f: Source) -> Column:
-    """array<struct<start, line, callee, args, first, text>> of every call, nested ones included."""
-
-    def one(h):
-        tail = F.substring(f.bare, h["start"] + F.length(h["text"]), F.length(f.bare))
-        size = F.length(F.regexp_extract(tail, rf"\A{PARENS}", 0))
-        args = F.substring(f.code, h["start"] + F.length(h["text"]) + 1, F.greatest(size - 2, F.lit(0)))
-        blank = F.substring(f.bare, h["start"] + F.length(h["text"]) + 1, F.greatest(size - 2, F.lit(0)))
-        return let(
-            F.struct(args.alias("a"), F.length(F.regexp_extract(blank, FIRST_ARG, 0)).alias("n")),
-            lambda x: F.struct(
-                h["start"].alias("start"), h["line"].alias("line"),
-                F.regexp_replace(F.regexp_extract(h["text"], r"\A([\s\S]*)\(\z", 1), r"\s+", "").alias("callee"),
-                x["a"].alias("args"), F.trim(F.left(x["a"], x["n"])).alias("first"),
-                F.concat(h["text"], x["a"], F.lit(")")).alias("text"),
-            ),
-        )
-
-    return F.transform(find_all(f.bare, CALL_HEAD, lambda t: ~t.rlike(_KEYWORD)), one)
-
-
-def assignments(f: Source) -> Column:
-    """array<struct<names, value, declared>> of declarations and plain assignments."""
-
-    def one(declared):
-        def build(h):
-            left = F.regexp_replace(F.regexp_replace(h["text"], r"\A\s*(?:const|let|var)\s+", ""), r":\s*[^,{}=]*(?==\z)", "")
-            after = h["start"] + F.length(h["text"])
-            size = F.length(F.regexp_extract(F.substring(f.bare, after + 1, F.length(f.bare)), rf"\A\s*{_EXPR}", 0))
-            return F.struct(
-                words(left).alias("names"), F.trim(F.substring(f.code, after + 1, size)).alias("value"),
-                F.lit(declared).alias("declared"), h["line"].alias("line"), h["start"].alias("start"),
-                (after + size).alias("end"),
-            )
-
-        return build
-
-    return F.concat(
-        F.transform(find_all(f.bare, DECLARATION), one(True)),
-        F.transform(find_all(f.bare, ASSIGNMENT), one(False)),
-    )
-
-
 def file_taint(f: Source) -> Column:
     """struct<tainted, validated, dynamic, validators, calls> of one file."""
 
@@ -360,7 +296,7 @@ def file_taint(f: Source) -> Column:
         )
 
         def expand(rows):
-            return F.flatten(F.transform(rows, lambda r: F.transform(r["names"], lambda n: F.struct(n.alias("name"), r["reads"].alias("reads")))))
+            return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(r["names"], lambda n: F.struct(n.alias("name"), r["reads"].alias("reads"))))))
 
         def with_marks(m):
             open_ = F.filter(m["m"], lambda r: ~r["checked"])
@@ -390,7 +326,7 @@ def file_taint(f: Source) -> Column:
 
         return let(F.struct(marked.alias("m")), with_marks)
 
-    state = F.struct(assignments(f).alias("assigns"), trusted_validators(f.code).alias("validators"), calls(f).alias("calls"))
+    state = F.struct(f.spans["assigns"].alias("assigns"), trusted_validators(f.code).alias("validators"), f.spans["calls"].alias("calls"))
     return let(state, solve)
 
 
@@ -439,9 +375,8 @@ def ssrf(f: Source) -> Column:
             )
 
         def weak(c):
-            near = F.regexp_extract_all(f.code, F.lit(rf"(?<=[;\n]|^)[^;\n]*(?:\.test|\.has|\.includes)\s*\(\s*{IDENT}[^;\n]*"), F.lit(0))
             about = F.filter(
-                near, lambda n: F.regexp_extract(n, rf"(?:\.test|\.has|\.includes)\s*\(\s*({IDENT})", 1) == c["first"]
+                t["near"], lambda n: F.regexp_extract(n, rf"(?:\.test|\.has|\.includes)\s*\(\s*({IDENT})", 1) == c["first"]
             )
             return c["first"].rlike(rf"\A{IDENT}\z") & F.exists(about, lambda n: ~is_trusted_call(n, t["s"]["validators"]))
 
@@ -464,12 +399,13 @@ def ssrf(f: Source) -> Column:
 
         return let(F.struct(stops.alias("st")), output)
 
-    state = F.struct(file_taint(f).alias("s"), import_names(f.code).alias("imports"))
+    near = F.regexp_extract_all(f.code, F.lit(rf"(?<=[;\n]|^)[^;\n]*(?:\.test|\.has|\.includes)\s*\(\s*{IDENT}[^;\n]*"), F.lit(0))
+    state = F.struct(file_taint(f).alias("s"), import_names(f.code).alias("imports"), near.alias("near"))
     guard = (
         pf.is_source(f.path) & pf.ssrf_target(f.path, f.content) & f.content.rlike("(?i)req|searchparams|formdata")
         & joined(f.content).rlike(java(fv.USER_INPUT))
     )
-    return when(guard, let(state, rows))
+    return when(guard, let(state, rows), lexer.CALLS)
 
 
 # --- release gate variants ------------------------------------------------------------------
@@ -477,6 +413,10 @@ def ssrf(f: Source) -> Column:
 GATE_ROW = "struct<line:int,issue:string,severity:string>"
 
 
+#: One of the gate's rules may fire.
+GATE_GUARD = r"(?i)\b(?:exec|spawn)|updateBillingPlan|updateProfile|updateAccount|deleteAccount|transferOwnership|UPDATE\s"
+
+
 def _gate_row(line, issue, severity="HARD_BLOCK"):
     return F.struct(line.alias("line"), issue.alias("issue"), F.lit(severity).alias("severity"))
 
@@ -509,9 +449,9 @@ def gate_command_injection(f: Source) -> Column:
     return F.when(pf.is_source(f.path) & f.content.rlike(r"(?i)\b(?:exec|spawn)"), found).otherwise(_no_gate_rows())
 
 
-def route_blocks(f: Source) -> Column:
+def route_blocks(content: Column) -> Column:
     """router.post/put/patch/delete calls and exported mutation handlers."""
-    return F.concat(find_all(f.content, java(fv.ROUTE_BLOCK)), find_all(f.content, java(fv.EXPORTED_ROUTE)))
+    return F.concat(find_all(content, java(fv.ROUTE_BLOCK)), find_all(content, java(fv.EXPORTED_ROUTE)))
 
 
 def gate_bola(f: Source) -> Column:
@@ -522,13 +462,13 @@ def gate_bola(f: Source) -> Column:
 
     by_route = F.transform(
         F.filter(
-            route_blocks(f),
+            route_blocks(f.content),
             lambda h: (h["text"].rlike(java(fv.BILLING_UPDATE)) | h["text"].rlike(java(fv.GATE_MUTATION_CALL))) & unguarded(h["text"]),
         ),
         lambda h: _gate_row(h["line"], F.lit(fv.MSG_BOLA_ROUTE)),
     )
     by_call = F.transform(
-        F.filter(find_all(f.content, java(fv.ACCOUNT_MUTATION)), lambda h: unguarded(tx.block_text(f.content, f.bare, h["start"]))),
+        F.filter(find_all(f.content, java(fv.ACCOUNT_MUTATION)), lambda h: unguarded(tx.block_text(f.content, f.spans["blocks"], h["start"]))),
         lambda h: _gate_row(h["line"], F.lit(fv.MSG_BOLA_CALL)),
     )
     guard = f.content.rlike(r"(?i)updateBillingPlan|updateProfile|updateAccount|deleteAccount|transferOwnership|UPDATE\s")
@@ -537,9 +477,6 @@ def gate_bola(f: Source) -> Column:
 
 # --- server-only code in client files ----------------------------------------------------------
 
-_FUNCTION = rf"(?<![\w$.])(?:async\s+)?function\s+{IDENT}\s*{PARENS}|(?<![\w$.])(?:const|let|var)\s+{IDENT}\s*(?::[^=;\n]*+)?=\s*(?:async\s*)?(?:{PARENS}|{IDENT})\s*(?::[^=;{{\n]*+)?=>|(?<![\w$.])(?:const|let|var)\s+{IDENT}\s*=\s*(?:async\s+)?function\b"
-
-
 def architectural_leak(f: Source) -> Column:
     """Client file whose function uses names imported from server-only modules; one per function."""
     stmts = F.filter(
@@ -555,18 +492,6 @@ def architectural_leak(f: Source) -> Column:
     )
 
     def rows(server):
-        def body_end(h):
-            rest = F.substring(f.bare, h["start"] + F.length(h["text"]) + 1, F.length(f.bare))
-            body = F.regexp_extract(rest, rf"\A(?:[^{{;\n]|{MORE})*{BRACES}|\A(?:[^;\n]|{MORE})*", 0)
-            return h["start"] + F.length(h["text"]) + F.length(body)
-
-        functions = F.transform(
-            find_all(f.bare, _FUNCTION),
-            lambda h: F.struct(
-                h["start"].alias("start"), h["line"].alias("line"), body_end(h).alias("end"),
-                F.regexp_extract(h["text"], rf"\A(?:async\s+)?(?:function|const|let|var)\s+({IDENT})", 1).alias("name"),
-            ),
-        )
         uses = F.filter(
             find_all(f.bare, rf"(?<![\w$.]){IDENT}(?=\s*(?:\??\.|\())"), lambda u: F.array_contains(server, u["text"])
         )
@@ -578,7 +503,7 @@ def architectural_leak(f: Source) -> Column:
             return F.array_distinct(F.filter(owner, lambda o: o.isNotNull()))
 
         return F.transform(
-            let(functions, containers),
+            let(F.transform(f.spans["functions"], lambda x: F.struct(x["start"], x["line"], x["end"], x["name"])), containers),
             lambda o: finding(
                 rule_id="architectural-leak", severity="high", line=o["line"], message=fv.MSG_LEAK, evidence=o["name"],
                 fix=F.struct(
@@ -593,7 +518,7 @@ def architectural_leak(f: Source) -> Column:
 
     # the directive must be code, not a comment
     directive = f.code.rlike(r"(?m)^\s*['\"]use client['\"]\s*;?\s*$")
-    return when(pf.is_source(f.path) & f.content.contains("use client"), F.when(directive, let(names, rows)).otherwise(none()))
+    return when(pf.is_source(f.path) & f.content.contains("use client"), F.when(directive, let(names, rows)).otherwise(none()), lexer.FUNCTIONS)
 
 
 INJECTION_RULES = [ssrf, sql_injection, command_injection, path_traversal, auth_bypass, architectural_leak]

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from riskspark.functions import text as tx
+from riskspark.functions import lexer, text as tx
 from riskspark.functions.regex import java
-from riskspark.functions.text import IDENT, STRING, find_all
-
-TOKEN = (
-    r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?|" + STRING
-    + r"|[A-Za-z_$][\w$]*+|\d[\w.]*+|\s++|[\s\S]"
-)
-
+from riskspark.functions.text import find_all
 
 def lines(table: DataFrame, text: str = "content", *keys: str) -> DataFrame:
     """1-based lines; a narrow generator, no shuffle."""
@@ -32,19 +26,29 @@ def matches(table: DataFrame, pattern: str, text: str = "content", *keys: str) -
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """Lexical tokens with ordinal position (spaces and comments dropped, numbering kept).
+    """Token table (repo_id, path, pos, start, line, tok, kind, partner): comments and blanks are no tokens.
 
-    The token pattern covers every character, so the pieces rebuild the text.
+    ``partner`` is the place of the other bracket, or a literal's last place.  Strings, templates and regular expressions
+    are one token each; code inside a template's ``${}`` follows the template as tokens of its own.
     """
-    kind = (
-        F.when(F.col("tok").rlike(r"\A(?://|/\*)"), "comment").when(F.col("tok").rlike(r"\A[`'\"]"), "string")
-        .when(F.col("tok").rlike(r"\A[A-Za-z_$]"), "word").when(F.col("tok").rlike(r"\A\d"), "number")
-        .when(F.col("tok").rlike(r"\A\s"), "space").otherwise("punct")
+    rest = find_all(F.col("lexed.bare"), r"[A-Za-z_$][\w$]*+|\d[\w.]*+|[^\s(){}\[\]]")
+    none = F.lit(None).cast("int")
+    plain = F.transform(
+        rest,
+        lambda m: F.struct(
+            m["start"].alias("start"), m["line"].alias("line"), m["text"].alias("tok"),
+            F.when(m["text"].rlike(r"\A[A-Za-z_$]"), "word").when(m["text"].rlike(r"\A\d"), "number").otherwise("punct").alias("kind"), none.alias("partner"),
+        ),
     )
-    return (
-        files.select("repo_id", "path", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
-        .withColumn("kind", kind).where(~F.col("kind").isin("space", "comment"))
+    known = F.transform(
+        F.col("lexed.tokens"),
+        lambda t: F.struct(
+            t["start"].alias("start"), t["line"].alias("line"), t["text"].alias("tok"),
+            F.when(F.length(t["kind"]) == 1, "punct").otherwise(t["kind"]).alias("kind"), t["partner"].alias("partner"),
+        ),
     )
+    lexed = files.select("repo_id", "path", lexer.facts(F.col("content"), lexer.TOKENS).alias("lexed"))
+    return lexed.select("repo_id", "path", F.posexplode(F.array_sort(F.concat(plain, known))).alias("pos", "t")).select("repo_id", "path", "pos", "t.*")
 
 
 def _file_order():
@@ -58,61 +62,49 @@ def brace_depth(toks: DataFrame) -> DataFrame:
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """Brace pairs as rows: (repo_id, path, depth, open_at, close_at), character offsets.
+    """Brace pairs as rows: (repo_id, path, depth, open_at, close_at, parent_open, parent_close), character offsets.
 
-    Two windows on one (repo_id, path) partitioning; only braces are shuffled,
-    never text.
+    The pair around an outermost one is the file: -1 and the text's length.
     """
-    bare = tx.mask(F.col("content"), strings=True)
-    marks = files.where(F.col("content").contains("{")).select("repo_id", "path", F.explode(find_all(bare, "[{}]")).alias("m"))
-    flat = marks.select("repo_id", "path", F.col("m.start").alias("pos"), F.col("m.text").alias("c"))
-    # depth of the pair a brace belongs to
-    level = F.sum(F.when(F.col("c") == "{", 1).otherwise(-1)).over(_file_order()) + F.when(F.col("c") == "}", 1).otherwise(0)
-    w = Window.partitionBy("repo_id", "path", "depth").orderBy("pos")
-    paired = flat.withColumn("depth", level).withColumn("next_c", F.lead("c").over(w)).withColumn("close_at", F.lead("pos").over(w))
-    return paired.where((F.col("c") == "{") & (F.col("next_c") == "}")).select(
-        "repo_id", "path", "depth", F.col("pos").alias("open_at"), "close_at"
-    )
+    lexed = files.where(F.col("content").contains("{")).select(
+        "repo_id", "path", F.explode(lexer.facts(F.col("content"), lexer.BLOCKS)["blocks"]).alias("b"))
+    return lexed.select(
+        "repo_id", "path", "b.depth", F.col("b.open").alias("open_at"), F.col("b.close").alias("close_at"), F.col("b.parent").alias("parent_open"),
+        "b.parent_close")
 
 
 def enclosing_block(hits: DataFrame, block_rows: DataFrame) -> DataFrame:
     """Innermost block around each (repo_id, path, offset); NULLs mean the whole file.
 
-    A running maximum of open braces would miss nesting, so the pair with the
-    largest open offset that still covers the hit is taken per hit.
+    Blocks nest, so the innermost one changes only at a brace: to the pair it opens, or to the pair around the one it
+    closes.  One window over a file's braces and hits carries it along; no hit meets more than the brace before it.
     """
     keys = ["repo_id", "path", "offset"]
-    inside = hits.select(*keys).distinct().join(block_rows, ["repo_id", "path"]).where(
-        (F.col("open_at") <= F.col("offset")) & (F.col("close_at") >= F.col("offset"))
-    )
-    best = inside.groupBy(*keys).agg(F.max("open_at").alias("open_at"), F.max_by("close_at", "open_at").alias("close_at"))
-    return hits.join(best, keys, "left")
+    pair = lambda a, b: F.when(a >= 0, F.struct(a.alias("open_at"), b.alias("close_at")))
+    edge = lambda at, now: F.struct(at.alias("offset"), F.lit(0).alias("hit"), F.struct(now.alias("now")).alias("edge"))
+    c = F.col
+    edges = block_rows.select("repo_id", "path", F.explode(F.array(
+        edge(c("open_at"), pair(c("open_at"), c("close_at"))), edge(c("close_at") + 1, pair(c("parent_open"), c("parent_close"))))).alias("e"))
+    flat = edges.select("repo_id", "path", "e.*")
+    asked = hits.select(*keys).distinct().select(*keys, F.lit(1).alias("hit"), F.lit(None).cast(flat.schema["edge"].dataType).alias("edge"))
+    # of two edges at one place the opening one counts: it has the larger block start
+    order = Window.partitionBy("repo_id", "path").orderBy("offset", "hit", F.col("edge.now.open_at").asc_nulls_first())
+    seen = flat.unionByName(asked).withColumn("edge", F.last("edge", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return hits.join(seen.where("hit = 1").select(*keys, "edge.now.open_at", "edge.now.close_at"), keys, "left")
 
 
 # --- scoped constants -------------------------------------------------------------------------
 
-CONST_LITERAL = rf"(?<![\w$.])const\s+({IDENT})\s*(?::[^=;\n(){{}}]*+)?=\s*({STRING})(?=\s*(?:[;,)}}\n]|\z))"
-
-
 def const_bindings(files: DataFrame) -> DataFrame:
-    """Constants with a literal value and their scope.
+    """Constants with static text and their scope.
 
-    (repo_id, path, name, value, decl_at, decl_end, scope_open, scope_close); a
-    file-level constant has scope [-1, file length].
+    (repo_id, path, name, value, decl_at, decl_end, scope_open, scope_close, line); a file-level constant has scope [-1, file
+    length].  Members of object and array literals are ``name.key``; unpacked names stand for themselves.
     """
-    code = tx.mask(F.col("content"))
-    hits = files.where(F.col("content").contains("const")).select(
-        "repo_id", "path", F.length("content").alias("file_end"), F.explode(find_all(code, CONST_LITERAL)).alias("m")
-    )
-    flat = hits.select(
-        "repo_id", "path", "file_end", F.col("m.start").alias("offset"), (F.col("m.start") + F.length("m.text")).alias("decl_end"),
-        F.regexp_extract("m.text", CONST_LITERAL, 1).alias("name"),
-        F.regexp_replace(F.regexp_extract("m.text", CONST_LITERAL, 2), r"\A['\"]|['\"]\z", "").alias("value"),
-    )
-    return enclosing_block(flat, blocks(files)).select(
-        "repo_id", "path", "name", "value", F.col("offset").alias("decl_at"), "decl_end",
-        F.coalesce("open_at", F.lit(-1)).alias("scope_open"), F.coalesce("close_at", "file_end").alias("scope_close"),
-    )
+    rows = files.where(F.col("content").contains("const")).select(
+        "repo_id", "path", F.explode(lexer.facts(F.col("content"), lexer.CONSTS)["consts"]).alias("c"))
+    return rows.where(F.col("c.value").isNotNull()).select(
+        "repo_id", "path", "c.name", "c.value", F.col("c.start").alias("decl_at"), F.col("c.end").alias("decl_end"), "c.scope_open", "c.scope_close", "c.line")
 
 
 def binding_lookup(reads: DataFrame, bindings: DataFrame, *keys: str) -> DataFrame:

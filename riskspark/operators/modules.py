@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark import fixed_values as fv
-from riskspark.functions import text as tx
+from riskspark.functions import lexer
 from riskspark.functions.regex import any_of, java
 from riskspark.functions.text import IDENT, find_all, words
 from riskspark.operators.findings import finding
@@ -112,7 +112,7 @@ def module_facts(files: DataFrame) -> DataFrame:
     code = F.col("code")
     has = F.col("content").contains
     some = lambda word, rows: F.when(has(word), rows)
-    masked = files.where(F.col("content").isNotNull()).withColumn("code", tx.mask(F.col("content")))
+    masked = files.where(F.col("content").isNotNull()).withColumn("code", lexer.facts(F.col("content"))["code"])
     return masked.select(
         "repo_id", "path", some("import", import_rows(code)).alias("imports"), some("import", import_word_rows(code)).alias("import_words"),
         some("export", re_export_rows(code)).alias("re_exports"), some("export", export_rows(code)).alias("exports"),
@@ -300,7 +300,7 @@ _CALLEE = rf"(?:(?<![\w$.]){IDENT}|(?<=[)\]])\s*\??\.\s*{IDENT})(?:\s*\??\.\s*{I
 
 def call_sites(files: DataFrame) -> DataFrame:
     """(repo_id, path, line, callee) of calls, comments and strings blanked."""
-    hits = find_all(tx.mask(F.col("content"), strings=True), _CALLEE, lambda t: ~t.rlike(r"\A(?:if|for|while|switch|catch|function|return)\b"))
+    hits = find_all(lexer.facts(F.col("content"))["bare"], _CALLEE, lambda t: ~t.rlike(r"\A(?:if|for|while|switch|catch|function|return)\b"))
     return files.where(F.col("content").contains("(")).select("repo_id", "path", F.explode(hits).alias("h")).select(
         "repo_id", "path", "h.line", F.regexp_replace(F.regexp_extract("h.text", r"\A([\s\S]*?)\s*\(\z", 1), r"\s+", "").alias("callee")
     )

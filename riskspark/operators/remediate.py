@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskspark.functions import scalars as sc, text as tx
+from riskspark.functions import lexer, scalars as sc, text as tx
 from riskspark.functions.regex import java
 from riskspark.functions.text import let
 from riskspark import fixed_values as fv
-from riskspark.operators import injection as inj
 from riskspark.operators.lexical import lines
 from riskspark.operators.post import dedupe_fixes
 
@@ -57,8 +56,7 @@ def credential_fix(findings: DataFrame) -> DataFrame:
 
 def parameterize_sql(snippet: Column) -> Column:
     """``'…' + a + …`` to ``({ text: "… $1 …", values: [a] })``; NULL if nothing to bind."""
-    part = rf"{tx.STRING_OR_TEMPLATE}|{inj.PARENS}|{tx.IDENT}(?:\s*\??\.\s*{tx.IDENT}|{inj.PARENS}|{inj.BRACKETS})*+|\d[\w.]*"
-    slots = F.regexp_extract_all(snippet, F.lit(part), F.lit(0))
+    slots = lexer.facts(snippet, lexer.OPERANDS)["operands"]
 
     def split_template(t):
         inner = F.regexp_replace(t, r"\A`|`\z", "")

@@ -1,8 +1,9 @@
 """Secret rules over string literals, identifiers and folded constants.
 
-Known losses against a syntax tree: regex literals that contain quotes, strings
-inside ``${}`` of a template, and shadowed constants of one name (the latest
-declaration before the read is used).
+String literals, client calls and static text come from the lexer: strings
+inside ``${}`` of a template are seen, quotes in a regular expression open no
+string, and a name means the innermost block that declares it.  Known loss
+against a syntax tree: parameters and other variables hide no constant.
 """
 
 from __future__ import annotations
@@ -10,16 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark import fixed_values as fv
-from riskspark.functions import paths as pf, scalars as sc, text as tx
-from riskspark.functions.regex import balanced, java
+from riskspark.functions import lexer, paths as pf, scalars as sc, text as tx
+from riskspark.functions.regex import java
 from riskspark.functions.text import IDENT, STRING, find_all, let
 from riskspark.operators.findings import Source, finding, text_fix, when
 
-PARENS = balanced("(", ")")
-CLIENT_CALL = rf"(?<![\w$])createClient\s*{PARENS}"
-_ARG = r"(?:[^(),\[\]{}]++|" + balanced("(", ")") + "|" + balanced("[", "]") + "|" + balanced("{", "}") + ")*+"
-FIRST_ARG = rf"^createClient\s*\(({_ARG})"
-
 DECLARED = rf"(?<![\w$.])(?:const|let|var)\s+({IDENT})\s*(?::[^=;\n(){{}}]*+)?=\s*({STRING})(?=\s*(?:[;,)}}\n]|\z))"
 ASSIGNED = rf"(?<=[\n;{{}}]|^)[ \t]*+(?:[A-Za-z_$][\w$]*\s*\.\s*)*+({IDENT})(?:\s+=\s*|\s*=\s+)({STRING})(?=\s*(?:[;,)}}\n]|\z))"
 
@@ -36,28 +32,9 @@ def frontend_message(f: Source) -> Column:
     return F.when(needs_client(f.path), fv.MSG_FRONTEND_CLIENT).otherwise(fv.MSG_FRONTEND_SOURCE)
 
 
-def string_literals(f: Source, keep=None) -> Column:
-    """Quoted strings (templates and regular expressions are lexed, then dropped) with positions."""
-
-    def wanted(t):
-        quoted = ~t.rlike("\\A[`/]")
-        return quoted if keep is None else quoted & keep(t)
-
-    return find_all(f.code, tx.LITERAL, wanted)
-
-
-def client_calls(f: Source) -> Column:
-    """createClient(...) calls: start, end, and where the first argument ends."""
-    calls = find_all(f.bare, CLIENT_CALL)
-    return F.transform(
-        calls,
-        lambda c: F.struct(
-            c["start"].alias("start"),
-            (c["start"] + F.length(c["text"])).alias("end"),
-            (c["start"] + F.length(F.regexp_extract(c["text"], FIRST_ARG, 0))).alias("first_end"),
-            c["line"].alias("line"),
-        ),
-    )
+def string_literals(f: Source, keep) -> Column:
+    """Quoted strings with positions."""
+    return F.filter(f.spans["strings"], lambda h: keep(h["text"]))
 
 
 def credential_hits(f: Source) -> Column:
@@ -96,7 +73,7 @@ def credential_hits(f: Source) -> Column:
         return F.transform(found, one)
 
     guard = sc.secret_guard(f.content) & in_credential_scope(f)
-    return when(guard, let(client_calls(f), build))
+    return when(guard, build(f.spans["clients"]), lexer.STRINGS | lexer.CLIENTS)
 
 
 def service_role_identifiers(f: Source) -> Column:
@@ -138,9 +115,7 @@ def _secret_assignments(f: Source) -> Column:
 
 def _local_url_names(f: Source) -> Column:
     """Identifiers that are the first argument of createClient."""
-    return F.transform(
-        find_all(f.code, CLIENT_CALL), lambda c: F.trim(F.regexp_extract(c["text"], rf"^createClient\s*\(\s*({IDENT})\s*[,)]", 1))
-    )
+    return F.transform(f.spans["clients"], lambda c: F.trim(F.get(c["args"], F.lit(0))["text"]))
 
 
 def named_secret_literals(f: Source, rule_id: str, message: Column, include_known: bool, scope: Column) -> Column:
@@ -165,7 +140,7 @@ def named_secret_literals(f: Source, rule_id: str, message: Column, include_know
         return F.transform(F.filter(_secret_assignments(f), kept), one)
 
     assigned = f.content.rlike(rf"(?i)(?:key|secret|token|password)[\w$]*\s*(?::[^=;\n]*)?=\s*['\"]")
-    return when(scope & assigned, let(_local_url_names(f), build))
+    return when(scope & assigned, let(_local_url_names(f), build), lexer.CLIENTS)
 
 
 def named_secrets_frontend(f: Source) -> Column:
@@ -179,179 +154,22 @@ def named_secrets_backend(f: Source) -> Column:
 
 # --- constant folding ----------------------------------------------------------------
 
-_TPL = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-_ATOM = rf"(?:{STRING}|{_TPL}|{IDENT})"
-CHAIN = rf"{_ATOM}(?:\s*\+\s*{_ATOM})++"
-ARRAY_JOIN = rf"\[\s*(?:{_ATOM}\s*,?\s*)*+\]\s*\.\s*join\s*\(\s*(?:{_ATOM})?\s*\)"
-DECODER = r"(?:(?<![\w$])atob\s*\([^()]*\)|(?<![\w$])Buffer\s*\.\s*from\s*\([^()]*\)\s*\.\s*toString\s*\([^()]*\))"
-TEMPLATE_SUBST = r"`[^`]*\$\{[^`]*`"
-FOLDABLE = rf"(?:{DECODER}|{ARRAY_JOIN}|{CHAIN}|{_TPL})"
-CONST_DECL = rf"(?<![\w$.])const\s+({IDENT})\s*(?::[^=;\n(){{}}]*+)?=\s*({FOLDABLE}|{STRING}|{IDENT})(?=\s*(?:[;,)}}\n]|\z))"
-CONST_OBJECT = rf"(?<![\w$.])const\s+({IDENT})\s*(?::[^=;\n(){{}}]*+)?=\s*(" + balanced("{", "}") + ")"
-CONST_UNPACK = r"(?<![\w$.])const\s+(\{[^{}]*\})\s*=\s*(" + balanced("{", "}") + r")|(?<![\w$.])const\s+(\[[^\[\]]*\])\s*=\s*(" + balanced("[", "]") + ")"
-_PAIR = rf"(?:({IDENT})|{STRING})\s*:\s*{STRING}"
-
-
-def fold(expr: Column, lookup) -> Column:
-    """Constant text of an expression (+ chain, join, template, base64), NULL if not constant."""
-    return let(expr, lambda e: _fold(e, lookup))
-
-
-def _fold(expr: Column, lookup) -> Column:
-
-    def atom(a):
-        return F.when(a.rlike("^['\"]"), sc.unquote(a)).when(a.startswith("`"), template(a)).otherwise(lookup(a))
-
-    def template(t):
-        inner = F.regexp_replace(t, r"\A`|`\z", "")
-        parts = F.regexp_extract_all(inner, F.lit(r"(\$\{\s*[^{}]*\}|\\[\s\S]|[^$\\]+|\$)"), F.lit(1))
-        values = F.transform(
-            parts,
-            lambda p: F.when(p.startswith("${"), simple(F.trim(F.regexp_extract(p, r"^\$\{([^{}]*)\}", 1))))
-            .when(p.startswith("\\"), F.substring(p, 2, 2)).otherwise(p),
-        )
-        return joined(values, F.lit(""))
-
-    def simple(e):
-        atoms = F.regexp_extract_all(e, F.lit(f"({STRING}|{IDENT})"), F.lit(1))
-        shape = e.rlike(rf"\A(?:{STRING}|{IDENT})(?:\s*\+\s*(?:{STRING}|{IDENT}))*\z")
-        values = F.transform(atoms, lambda a: F.when(a.rlike("^['\"]"), sc.unquote(a)).otherwise(lookup(a)))
-        return F.when(e == "", F.lit("")).when(shape, joined(values, F.lit("")))
-
-    def joined(values, sep):
-        return let(values, lambda vs: F.when(~F.exists(vs, lambda v: v.isNull()), F.call_function("array_join", vs, sep)))
-
-    def atoms_of(text):
-        return F.transform(F.regexp_extract_all(text, F.lit(f"({_ATOM})"), F.lit(1)), atom)
-
-    body = F.regexp_extract(expr, r"\A\[([\s\S]*)\]\s*\.\s*join", 1)
-    sep = F.regexp_extract(expr, rf"\.\s*join\s*\(\s*({_ATOM})?\s*\)\z", 1)
-    return (
-        F.when(expr.rlike(rf"\A{DECODER}\z"), sc.decode_b64(expr))
-        .when(expr.rlike(rf"\A{ARRAY_JOIN}\z"), joined(atoms_of(body), F.when(sep == "", F.lit(",")).otherwise(sc.unquote(sep))))
-        .otherwise(joined(atoms_of(expr), F.lit("")))
-    )
-
-
-def const_values(f: Source) -> Column:
-    """array<struct<name, value, at>>: constants with static text, in source order.
-
-    Object members appear as ``obj.key``; destructured names as themselves.
-    """
-    empty = F.expr("cast(array() as array<struct<name:string,value:string,at:int>>)")
-
-    def lookup_in(acc, at):
-        return lambda name: F.element_at(
-            F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(acc, lambda b: (b["name"] == name) & (b["at"] <= at)), lambda b: b["value"])), -1
-        )
-
-    def add(acc, d):
-        value = fold(d["expr"], lookup_in(acc, d["start"]))
-        return let(
-            value,
-            lambda v: F.when(v.isNull(), acc).otherwise(
-                F.concat(acc, F.array(F.struct(d["name"].alias("name"), v.alias("value"), d["end"].alias("at"))))
-            ),
-        )
-
-    decls = F.transform(
-        find_all(f.code, CONST_DECL),
-        lambda h: F.struct(
-            h["start"].alias("start"),
-            (h["start"] + F.length(h["text"])).alias("end"),
-            F.regexp_extract(h["text"], rf"^const\s+({IDENT})", 1).alias("name"),
-            F.regexp_extract(h["text"], r"^const\s+[A-Za-z_$][\w$]*\s*(?::[^=]*)?=\s*([\s\S]*)\z", 1).alias("expr"),
-        ),
-    )
-    simple = F.aggregate(decls, empty, add)
-
-    def pairs(obj, at, prefix):
-        keys = F.regexp_extract_all(obj, F.lit(rf"((?:{IDENT}|{STRING})\s*:\s*{STRING})"), F.lit(1))
-        return F.transform(
-            keys,
-            lambda p: F.struct(
-                F.concat(prefix, sc.unquote(F.regexp_extract(p, rf"^({IDENT}|{STRING})\s*:", 1))).alias("name"),
-                sc.unquote(F.regexp_extract(p, rf"({STRING})\z", 1)).alias("value"),
-                at.alias("at"),
-            ),
-        )
-
-    objects = F.flatten(
-        F.transform(
-            find_all(f.code, CONST_OBJECT),
-            lambda h: pairs(
-                F.regexp_extract(h["text"], r"=\s*(\{[\s\S]*)\z", 1), h["start"] + F.length(h["text"]),
-                F.concat(F.regexp_extract(h["text"], rf"^const\s+({IDENT})", 1), F.lit(".")),
-            ),
-        )
-    )
-
-    def unpack(h):
-        at = h["start"] + F.length(h["text"])
-        left = F.regexp_extract(h["text"], r"^const\s+[\[{]([^\[\]{}]*)[\]}]", 1)
-        right = F.regexp_extract(h["text"], r"=\s*([\[{][\s\S]*)\z", 1)
-        slots = F.transform(F.split(left, ","), lambda s: F.trim(F.regexp_replace(s, r"=[\s\S]*", "")))
-        items = F.regexp_extract_all(right, F.lit(f"({STRING})"), F.lit(1))
-        by_place = F.transform(
-            slots, lambda s, i: F.struct(s.alias("name"), sc.unquote(F.get(items, i)).alias("value"), at.alias("at"))
-        )
-        by_key = let(
-            pairs(right, at, F.lit("")),
-            lambda ps: F.transform(
-                slots,
-                lambda s: F.struct(
-                    F.trim(F.element_at(F.split(s, ":"), -1)).alias("name"),
-                    F.get(F.filter(ps, lambda p: p["name"] == F.trim(F.element_at(F.split(s, ":"), 1))), F.lit(0))["value"].alias("value"),
-                    at.alias("at"),
-                ),
-            ),
-        )
-        rows = F.when(h["text"].rlike(r"^const\s+\["), by_place).otherwise(by_key)
-        return F.filter(rows, lambda r: r["value"].isNotNull() & (r["name"] != ""))
-
-    unpacked = F.flatten(F.transform(find_all(f.code, CONST_UNPACK), unpack))
-    return F.concat(simple, objects, unpacked)
-
-
-def latest(bindings: Column, name: Column, at: Column) -> Column:
-    """Value of the last binding of ``name`` declared before ``at``."""
-    rows = F.filter(bindings, lambda b: (b["name"] == name) & (b["at"] <= at))
-    best = F.array_max(F.transform(rows, lambda b: F.struct(b["at"].alias("at"), b["value"].alias("value"))))
-    return best["value"]
-
-
 def folded_secrets(f: Source) -> Column:
     """Secrets hidden by concatenation, array join, templates or base64."""
-
-    def build(consts: Column) -> Column:
-        exprs = find_all(
-            f.code, rf"(?:{FOLDABLE}|{STRING})", lambda t: t.rlike(r"\A(?:atob|Buffer)") | t.rlike(r"\A\[") | t.startswith("`") | t.contains("+")
-        )
-
-        def at_call(x, calls):
-            return F.exists(calls, lambda c: (x["start"] > c["start"]) & (x["start"] < c["end"]) & (x["start"] >= c["first_end"]))
-
-        def rows(calls):
-            valued = F.transform(
-                exprs,
-                lambda x: F.struct(
-                    x.alias("x"), sc.secret_label(fold(x["text"], lambda n: latest(consts, n, x["start"]))).alias("label")
-                ),
-            )
-            kept = F.filter(valued, lambda r: r["label"].isNotNull() & ~(pf.is_backend_api(f.path) & at_call(r["x"], calls)))
-            return F.transform(
-                kept,
-                lambda r: finding(
-                    rule_id="frontend-secret", severity="critical", line=r["x"]["line"], message=frontend_message(f),
-                    evidence=r["label"],
-                ),
-            )
-
-        return let(client_calls(f), rows)
-
+    def at_call(x):
+        return F.exists(f.spans["clients"], lambda c: (x["start"] > c["start"]) & (x["start"] < c["end"]) & (x["start"] >= c["first_end"]))
+
+    found = F.filter(f.spans["folds"], lambda x: x["value"].rlike(sc.maybe_secret()))
+    labelled = F.transform(found, lambda x: F.struct(x.alias("x"), sc.secret_label(x["value"]).alias("label")))
+    kept = F.filter(labelled, lambda r: r["label"].isNotNull() & ~(pf.is_backend_api(f.path) & at_call(r["x"])))
+    rows = F.transform(
+        kept,
+        lambda r: finding(
+            rule_id="frontend-secret", severity="critical", line=r["x"]["line"], message=frontend_message(f), evidence=r["label"]),
+    )
     c = f.content
     guard = (c.contains("+") | c.contains("`") | c.contains("atob") | c.contains("Buffer") | c.rlike(r"\.\s*join\s*\(")) & in_credential_scope(f)
-    return when(guard, let(const_values(f), build))
+    return when(guard, rows, lexer.FOLDS | lexer.CLIENTS)
 
 
 # --- backend ---------------------------------------------------------------------------
@@ -379,7 +197,7 @@ def database_urls(f: Source) -> Column:
             evidence="database connection string",
         ),
     )
-    return when(pf.is_source(f.path) & f.content.contains("://"), found)
+    return when(pf.is_source(f.path) & f.content.contains("://"), found, lexer.STRINGS)
 
 
 def import_names(code: Column) -> Column:
@@ -404,69 +222,42 @@ def client_key_args(f: Source) -> Column:
     An imported key cannot be resolved here and is reported (fails safe).
     """
 
-    def build(env: Column) -> Column:
-        def one(c):
-            raw = F.substring(f.code, c["first_end"] + 1, c["end"] - c["first_end"] - 1)
-            args = F.transform(F.regexp_extract_all(raw, F.lit(rf",({_ARG_TEXT})"), F.lit(1)), lambda a: a)
-
-            def judge(a):
-                strings = F.transform(F.regexp_extract_all(a, F.lit(f"({tx.STRING_OR_TEMPLATE})"), F.lit(1)), sc.unquote)
-                outside = F.regexp_replace(a, tx.STRING_OR_TEMPLATE, " ")
-                refs = F.regexp_extract_all(outside, F.lit(rf"(?<![\w$.])({IDENT}(?:\s*\.\s*{IDENT})?)"), F.lit(1))
-                keyed = F.transform(
-                    F.regexp_extract_all(a, F.lit(rf"(?<![\w$.])({IDENT}\s*\[\s*{STRING}\s*\])"), F.lit(1)),
-                    lambda r: F.regexp_replace(r, r"\s*\[\s*['\"]([^'\"]*)['\"]\s*\]", ".$1"),
-                )
-                bound = F.transform(
-                    F.concat(refs, keyed), lambda r: latest(env["consts"], F.regexp_replace(r, r"\s+", ""), c["start"])
-                )
-                folded = fold(F.trim(a), lambda n: latest(env["consts"], n, c["start"]))
-                secret = let(
-                    F.concat(F.array(folded), strings, bound),
-                    lambda vs: F.get(F.filter(vs, lambda v: sc.secret_label(v).isNotNull()), F.lit(0)),
-                )
-                imported = F.exists(refs, lambda r: F.array_contains(env["imports"], r))
-                evidence = let(
-                    secret,
-                    lambda value: F.when(value.rlike(r"(?i)service[_-]?role"), "Supabase service role key passed to createClient")
-                    .when(value.isNotNull(), sc.secret_label(value))
-                    .when(imported, "Unresolved imported createClient key"),
-                )
-                return F.struct(
-                    evidence.alias("evidence"),
-                    (c["line"] + tx.newlines(F.substring(f.code, c["start"] + 1, c["first_end"] - c["start"]))
-                     + tx.newlines(F.regexp_extract(a, r"\A\s*", 0))).alias("line"),
-                )
-
-            return F.filter(F.transform(args, judge), lambda j: j["evidence"].isNotNull())
-
-        rows = F.flatten(F.transform(client_calls(f), one))
+    def build(imports: Column) -> Column:
+        def judge(a):
+            secret = F.get(F.filter(a["values"], lambda v: sc.secret_label(v).isNotNull()), F.lit(0))
+            imported = F.exists(a["reads"], lambda r: F.array_contains(imports, r))
+            evidence = let(
+                secret,
+                lambda value: F.when(value.rlike(r"(?i)service[_-]?role"), "Supabase service role key passed to createClient")
+                .when(value.isNotNull(), sc.secret_label(value))
+                .when(imported, "Unresolved imported createClient key"),
+            )
+            return F.struct(evidence.alias("evidence"), a["line"].alias("line"))
+
+        keys = F.flatten(F.transform(f.spans["clients"], lambda c: F.slice(c["args"], F.lit(2), F.size(c["args"]))))
         return F.transform(
-            rows,
+            F.filter(F.transform(keys, judge), lambda j: j["evidence"].isNotNull()),
             lambda r: finding(
                 rule_id="backend-secret", severity="critical", line=r["line"], message=fv.MSG_CLIENT_KEY, evidence=r["evidence"]
             ),
         )
 
-    env = F.struct(const_values(f).alias("consts"), import_names(f.code).alias("imports"))
-    return when(pf.is_source(f.path) & pf.is_backend_api(f.path) & f.content.contains("createClient"), let(env, build))
-
-
-_ARG_TEXT = (
-    rf"(?:{tx.STRING_OR_TEMPLATE}|[^(),\[\]{{}}'\"`]++|" + balanced("(", ")") + "|" + balanced("[", "]") + "|" + balanced("{", "}") + ")++"
-)
+    guard = pf.is_source(f.path) & pf.is_backend_api(f.path) & f.content.contains("createClient")
+    return when(guard, let(import_names(f.code), build), lexer.CLIENTS)
 
 
 def service_role_jsx_prop(f: Source) -> Column:
     """A client built with a service-role key is handed to a component prop."""
-    decl = rf"(?<![\w$.])(?:const|let|var)\s+({IDENT})\s*(?::[^=;\n]*+)?=\s*(?:await\s+)?(?:{IDENT}\s*\.\s*)?createClient\s*{PARENS}"
+    made = F.filter(
+        f.spans["assigns"],
+        lambda a: a["declared"] & (F.size(a["names"]) == 1) & a["value"].rlike(rf"\A(?:await\s+)?(?:{IDENT}\s*\.\s*)?createClient\s*\("))
     admins = F.transform(
         F.filter(
-            find_all(f.code, decl),
-            lambda h: F.exists(tx.words(h["text"]), lambda w: w.rlike(java(fv.SERVICE_ROLE_NAME)))
-            | h["text"].rlike(r"(?i)(?:^|[^A-Za-z0-9])service[_-]?role"),
+            made,
+            lambda a: F.exists(F.concat(a["names"], tx.words(a["value"])), lambda w: w.rlike(java(fv.SERVICE_ROLE_NAME)))
+            | a["value"].rlike(r"(?i)(?:^|[^A-Za-z0-9])service[_-]?role"),
         ),
-        lambda h: F.regexp_extract(h["text"], decl, 1),
+        lambda a: F.get(a["names"], F.lit(0)),
     )
     prop = rf"(?<=[\s])[A-Za-z_][\w-]*\s*=\s*\{{\s*({IDENT})\s*\}}"
     found = let(
@@ -479,7 +270,7 @@ def service_role_jsx_prop(f: Source) -> Column:
             ),
         ),
     )
-    return when(pf.is_source(f.path) & pf.is_frontend(f.path) & f.content.contains("createClient"), found)
+    return when(pf.is_source(f.path) & pf.is_frontend(f.path) & f.content.contains("createClient"), found, lexer.CALLS)
 
 
 # --- text mode -------------------------------------------------------------------------

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from riskspark import fixed_values as fv
-from riskspark.functions import paths as pf
+from riskspark.functions import lexer, paths as pf
 from riskspark.operators import custom, dataflow, deps, diffs, governance, injection as inj, modules, post, remediate, score, secrets, sqlrls
-from riskspark.operators.findings import run_rules
+from riskspark.operators.findings import prepare, run_rules, source
 from riskspark.session import checkpoint
 
 SOURCE_RULES = [
@@ -115,12 +115,10 @@ def secrets_standalone(files: DataFrame) -> DataFrame:
 
 def gate_code(files: DataFrame) -> DataFrame:
     """Command and account-data rows of the gate: (repo_id, path, line, issue, severity)."""
-    from riskspark.operators.findings import Source, prepare
-
-    f = Source(F.col("path"), F.col("content"), F.col("code"), F.col("bare"))
+    f = source()
     rows = F.concat(inj.gate_command_injection(f), inj.gate_bola(f))
-    scope = _sources_for_gate(files)
-    return prepare(scope).select("repo_id", "path", F.explode(rows).alias("g")).select("repo_id", "path", "g.*")
+    scope = _sources_for_gate(files).where(F.col("content").rlike(inj.GATE_GUARD))
+    return prepare(scope, lexer.BLOCKS).select("repo_id", "path", F.explode(rows).alias("g")).select("repo_id", "path", "g.*")
 
 
 def _sources_for_gate(files: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ def test_all_are_found_and_nothing_else(found):
         ("app/page.tsx", "frontend-secret", 3), ("app/quote.tsx", "frontend-secret", 3)}
 
 
-def test_division_is_no_regular_expression(spark):
-    from riskspark.functions import text as tx
+def test_division_is_no_regular_expression():
+    from riskspark.functions.lexer import Lexed
 
-    row = spark.createDataFrame([("a = b / c; d = e / f; s = '/x/'; r = /y'/i; q = (1) / 2 / 3",)], "t string")
-    assert row.select(F.regexp_extract_all("t", F.lit(tx.LEXEME), F.lit(0)).alias("x")).first().x == ["'/x/'", "/y'/i"]
+    x = Lexed("a = b / c; d = e / f; s = '/x/'; r = /y'/i; q = (1) / 2 / 3")
+    assert [x.text[a:b] for a, b, kind in x.tokens if kind in ("regex", "string")] == ["'/x/'", "/y'/i"]

@@ -57,8 +57,9 @@ def test_empty_null_and_odd_files(files, spark):
 
 
 def test_rules_need_no_shuffle(files):
+    """One lexing pass, in Arrow batches, serves all rules."""
     plan = run_rules(files({"a.ts": "x"}), jobs.SOURCE_RULES)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
 
 
 def test_registered_rules_join_the_scan(files):

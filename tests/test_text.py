@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from riskspark.functions import paths as pf, scalars as sc, text as tx
+from riskspark.functions import lexer, paths as pf, scalars as sc, text as tx
 from riskspark.functions.regex import java
 
 
@@ -20,7 +20,7 @@ def test_positions_match_brute_force(spark):
 def test_mask_keeps_length_and_lines(spark):
     src = "a // x {\nb = '}' + \"\\\"}\"; /* {\n{ */ `${x}\n{`\n// end"
     df = spark.createDataFrame([(src,)], "content string")
-    code, bare = df.select(tx.mask(F.col("content")), tx.mask(F.col("content"), strings=True)).first()
+    code, bare = df.select(lexer.facts(F.col("content")).alias("l")).select("l.code", "l.bare").first()
     assert len(code) == len(bare) == len(src)
     assert code.count("\n") == bare.count("\n") == src.count("\n")
     assert "{" not in bare and "'}'" in code and "x {" not in code
@@ -39,7 +39,7 @@ def test_end_anchor_is_the_end_of_input(spark):
 def test_enclosing_block(spark):
     src = "a { b { c } d { e } f } g"
     df = spark.createDataFrame([(src,)], "content string")
-    at = lambda ch: df.select(tx.block_text(F.col("content"), F.col("content"), F.lit(src.index(ch)))).first()[0]
+    at = lambda ch: df.select(tx.block_text(F.col("content"), lexer.facts(F.col("content"), lexer.BLOCKS)["blocks"], F.lit(src.index(ch)))).first()[0]
     assert at("c") == "{ c }" and at("f") == "{ b { c } d { e } f }" and at("g") == src
 
 
