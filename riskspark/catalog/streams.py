@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from riskspark import corpus
 from riskspark.catalog import governance as g
-from riskspark.catalog.common import files, query, table
+from riskspark.catalog.common import ORACLES, files, query, table
+from riskspark.catalog.scan import CREDENTIALS_SQL
 from riskspark.operators import governance as gov
 from riskspark.operators.findings import run_rules
 from riskspark.operators.secrets import credential_hits
 from riskspark.sources import sinks
 from riskspark.session import checkpoint_dir
-from riskspark.streaming import jobs as st
+from riskspark.streaming import batches as sb, jobs as st
 
 
 def work_dir(spark) -> str:
@@ -98,37 +99,104 @@ def stream_key_activation(spark, sf):
     return drain(spark, st.key_activation_stream(ev)).select("event_id", "error")
 
 
-@query("stream_incremental_scan", "SELECT repo_id, path, rule_id FROM (" + corpus.truth_sql(["frontend-secret"], extra_where="WHERE d.doc_id % 2 = 0 AND t.evidence IN ('AWS Access Key ID','PostgreSQL Connection URI')") + ")")
-def stream_incremental_scan(spark, sf):
-    """Changed paths arrive as a stream; only those files are scanned again."""
+def run_batches(spark, source, out: str, body) -> None:
+    """Feed a folder of files to a foreachBatch body, one file a micro-batch."""
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start().awaitTermination()
+
+
+def in_turn(spark, rows, by, out: str, parts: int = 3) -> str:
+    """Write rows as files whose order of arrival is that of ``by`` (0 to parts - 1); gives the folder."""
+    for k in range(parts):
+        rows.where(by == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return f"{out}/in"
+
+
+def _changed_scan(spark, sf):
     f = files(spark, sf)
     out = work_dir(spark)
-    f.where("changed").select("repo_id", "path").write.parquet(f"{out}/in")
-    stream = spark.readStream.schema("repo_id string, path string").parquet(f"{out}/in")
+    changed = f.where("changed").select("repo_id", "path")
+    body = sb.scan_body(out, lambda part: run_rules(part, [credential_hits]), f)
+    run_batches(spark, in_turn(spark, changed, F.pmod(F.xxhash64("path"), F.lit(2)), out, 2), out, body)
+    return out
 
-    def sink(found, batch_id):
-        found.select("repo_id", "path", "rule_id", "evidence").write.mode("overwrite").parquet(f"{out}/data/b={batch_id}")
 
-    body = st.incremental_scan(lambda part: run_rules(part, [credential_hits]), f, sink)
-    stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema("repo_id string, path string, rule_id string, evidence string, b int").parquet(f"{out}/data")
-    return found.where(F.col("evidence").isin("AWS Access Key ID", "PostgreSQL Connection URI")).select("repo_id", "path", "rule_id")
+_CHANGED_SQL = ", ".join(str(k) for k in sorted({k for k, _, x in corpus._rows() if x.path.endswith(".sql")}))
+
+
+@query("stream_incremental_scan", "SELECT repo_id, path, rule_id, line FROM (" + corpus.truth_sql(["frontend-secret"], extra_where="WHERE d.doc_id % 2 = 0 AND " + CREDENTIALS_SQL) + ")")
+def stream_incremental_scan(spark, sf):
+    """Changed paths arrive as a stream of two micro-batches; only those files are scanned again."""
+    return sb.read(spark, _changed_scan(spark, sf), "findings").select("repo_id", "path", "rule_id", "line")
+
+
+@query("stream_incremental_rls", f"""
+WITH r AS (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0 AND doc_id % {corpus.COUNT} IN ({_CHANGED_SQL}))
+SELECT source AS repo_id, 'supabase/migrations/' || doc_id || '_a.sql' AS path, 'public.widgets_' || doc_id AS table_name FROM documents
+WHERE doc_id % {corpus.COUNT} = {corpus.index_of('table without rls')} AND source IN (SELECT source FROM r)""")
+def stream_incremental_rls(spark, sf):
+    """A changed migration has all migrations of its repository checked again."""
+    return sb.read(spark, _changed_scan(spark, sf), "missing_rls").select("repo_id", "path", "table_name").distinct()
+
+
+def _ingested(spark, sf):
+    out = work_dir(spark)
+    reports = g._reports(spark, sf)
+    body = sb.ingest_body(out, g._licenses(spark, sf), g._orgs(spark, sf))
+    run_batches(spark, in_turn(spark, reports, F.pmod("report_id", F.lit(3)), out), out, body)
+    return out
 
 
 @query("stream_ingest", f"WITH {g.REPORT_SQL} SELECT 'lic' || r.s_suppkey AS license_key_id, count(*) AS rows FROM r JOIN lineitem ON l_orderkey = r.report_id WHERE r.error IS NULL AND r.s_acctbal > 0 GROUP BY ALL")
 def stream_ingest(spark, sf):
-    """Reports staged as files, ingested per micro-batch, appended by batch id."""
+    """Reports in three micro-batches; telemetry rows, rejects and usage are written under one ledger."""
+    return sb.read(spark, _ingested(spark, sf), "rows").groupBy("license_key_id").agg(F.count("*").alias("rows"))
+
+
+@query("stream_ingest_rejects", f"WITH {g.REPORT_SQL} SELECT report_id, CASE WHEN error IS NOT NULL THEN 400 ELSE 401 END::INTEGER AS http, report_id % 3 AS batch_id FROM r WHERE error IS NOT NULL OR s_suppkey IS NULL OR s_acctbal <= 0")
+def stream_ingest_rejects(spark, sf):
+    return sb.read(spark, _ingested(spark, sf), "rejects").select("report_id", "http", "batch_id")
+
+
+@query("stream_ingest_usage", f"WITH {g.REPORT_SQL} SELECT 'lic' || s_suppkey AS license_id, count(*) AS usage_count FROM r WHERE error IS NULL AND s_acctbal > 0 GROUP BY 1")
+def stream_ingest_usage(spark, sf):
+    """Usage adds up over micro-batches; a batch run twice does not count twice."""
+    return sb.usage_totals(spark, _ingested(spark, sf)).select("license_id", F.col("usage_count").cast("bigint").alias("usage_count"))
+
+
+@query("stream_entitlements", ORACLES["entitlement_upsert"])
+def stream_entitlements(spark, sf):
+    """Subscription events in three micro-batches by date, each applied to the snapshot before it."""
     out = work_dir(spark)
-    g._reports(spark, sf).write.parquet(f"{out}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
-    lic, orgs = g._licenses(spark, sf), g._orgs(spark, sf)
+    ev = gov.subscription_entitlements(g._subscriptions(spark, sf), "prod-solo", "prod-teams")
+    lic = g._licenses(spark, sf).select("token_hash", "label", "seats", "status", "tier", "user_id")
+    turn = F.when(F.col("ts") < "1994-01-01", 0).when(F.col("ts") < "1997-01-01", 1).otherwise(2)
+    run_batches(spark, in_turn(spark, ev, turn, out), out, sb.entitlement_body(out, g._users(spark, sf), lic))
+    return sb.snapshot(spark, out, "licenses")
+
 
-    def ingest(batch, batch_id):
-        rows, _, _ = gov.ingest_telemetry(batch, lic, orgs)
-        rows.write.mode("overwrite").parquet(f"{out}/data/b={batch_id}")
+_LATE = "WITH e AS (SELECT event_id, ts, event_id % 3 AS b FROM events), m AS (SELECT b, max(ts) AS m FROM e GROUP BY b), w AS (SELECT e.*, (SELECT max(m) FROM m WHERE m.b < e.b) - INTERVAL 5 DAY AS mark FROM e) "
 
-    st.ingest_stream(stream, ingest, f"{out}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{out}/data").groupBy("license_key_id").agg(F.count("*").alias("rows"))
+
+@query("stream_late_rows", _LATE + "SELECT event_id, b AS batch_id, coalesce(ts < mark, false) AS late FROM w")
+def stream_late_rows(spark, sf):
+    """Rows behind the watermark go to a side table instead of nowhere."""
+    out = work_dir(spark)
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    run_batches(spark, in_turn(spark, ev, F.pmod("event_id", F.lit(3)), out), out, sb.late_body(out, "5 days"))
+    rows = [sb.read(spark, out, name).select("event_id", "batch_id", F.lit(late).alias("late")) for name, late in (("rows", False), ("late", True))]
+    return rows[0].unionByName(rows[1])
+
+
+@query("stream_settled", """
+WITH l AS (SELECT user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p, max(ts) OVER () AS m FROM events),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS burst FROM l)
+SELECT user_id, event_type AS path, count(*) AS events FROM s GROUP BY user_id, event_type, burst HAVING max(ts) + INTERVAL 6 HOUR <= max(m) - INTERVAL 10 MINUTE""")
+def stream_settled(spark, sf):
+    """One row per file and burst of writes that the watermark has closed."""
+    ev = event_stream(spark, sf).withColumn("path", F.col("event_type"))
+    return drain(spark, st.write_settled_stream(ev, ["user_id", "path"], "6 hours")).select("user_id", "path", "events")
 
 
 @query("stream_emit_alerts", "SELECT event_id, event_type FROM events WHERE event_type IN ('error','click')")

@@ -7,14 +7,13 @@ holds, and the state itself is a few numbers.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskspark import fixed_values as fv
-from riskspark.operators import post
 
 
 def debounce_stream(events: DataFrame, keys: list[str], gap: str = "400 milliseconds", late: str = "10 minutes") -> DataFrame:
@@ -39,44 +38,43 @@ def webhook_dedupe_stream(events: DataFrame, key: str = "event_id", late: str =
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def incremental_scan(scan: Callable[[DataFrame], DataFrame], files: DataFrame, sink: Callable[[DataFrame, int], None]):
-    """foreachBatch body: rescan only the files named in the batch.
-
-    ``scan`` maps a file table to findings.  An empty batch does nothing, and
-    ``has_sql`` tells a scan whether migrations changed.
-    """
-
-    def body(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.select("repo_id", F.explode("paths").alias("path")) if "paths" in batch.columns else batch.select("repo_id", "path")
-        if changed.isEmpty():
-            return
-        sink(scan(post.scope_changed(files, changed)), batch_id)
-
-    return body
-
-
 # --- keyed folds -----------------------------------------------------------------------------------
 
-def _fold(events: DataFrame, keys: list[str], tie: str, out_fields: str, state_fields: str, step) -> DataFrame:
-    """applyInPandasWithState over a per-row ``step(state, row) -> (state, dict)``."""
+def _fold(events: DataFrame, keys: list[str], tie: str, out_fields: str, state_fields: str, step, expiry=None, late: str = "10 minutes") -> DataFrame:
+    """applyInPandasWithState over a per-row ``step(state, row) -> (state, dict)``; a state of None is not kept.
+
+    With ``expiry(state)``, the microsecond from which a state means as much as none, an event-time timer takes the state
+    away once the watermark (``late`` behind the latest event) has passed it.
+    """
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     names = [c.split()[0] for c in out_fields.split(",")]
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{tie} {types[tie]}", "ts timestamp", out_fields])
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["ts", tie])
         current = tuple(state.get) if state.exists else None
         out = []
         for row in rows.itertuples(index=False):
             current, values = step(current, row)
             out.append((*key, getattr(row, tie), row.ts, *[values[n] for n in names]))
-        state.update(current)
+        if current is not None:
+            state.update(current)
+            if expiry is not None:
+                state.setTimeoutTimestamp(max(-(-expiry(current) // 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[*keys, tie, "ts", *names])
 
-    return events.groupBy(*keys).applyInPandasWithState(run, schema, state_fields, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if expiry is None else GroupStateTimeout.EventTimeTimeout
+    rows = events if expiry is None else events.withWatermark("ts", late)
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, state_fields, "append", timeout)
 
 
-def cooldown_stream(alerts: DataFrame, keys: list[str], tie: str = "event_id", seconds: int = fv.COOLDOWN_SECONDS) -> DataFrame:
+def cooldown_stream(alerts: DataFrame, keys: list[str], tie: str = "event_id", seconds: int = fv.COOLDOWN_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """``emitted``: no alert of the key was emitted in the seconds before; the state goes when they are over."""
     gap = seconds * 1_000_000
 
     def step(state, row):
@@ -85,10 +83,11 @@ def cooldown_stream(alerts: DataFrame, keys: list[str], tie: str = "event_id", s
         emit = last is None or us - last >= gap
         return ((us,) if emit else state), {"emitted": emit}
 
-    return _fold(alerts, keys, tie, "emitted boolean", "last bigint", step)
+    return _fold(alerts, keys, tie, "emitted boolean", "last bigint", step, lambda state: state[0] + gap, late)
 
 
-def rate_limit_stream(requests: DataFrame, keys: list[str], tie: str = "event_id", limit: int = fv.RATE_LIMIT, seconds: int = fv.RATE_WINDOW_SECONDS) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, keys: list[str], tie: str = "event_id", limit: int = fv.RATE_LIMIT, seconds: int = fv.RATE_WINDOW_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """``status`` 429 beyond the limit of a window that opens with its first request; the state goes when it closes."""
     width = seconds * 1_000_000
 
     def step(state, row):
@@ -100,7 +99,7 @@ def rate_limit_stream(requests: DataFrame, keys: list[str], tie: str = "event_id
             return state, {"status": 429, "retry_after": max(1, -(-(reset - us) // 1_000_000))}
         return (count + 1, reset), {"status": 200, "retry_after": None}
 
-    return _fold(requests, keys, tie, "status int,retry_after int", "count bigint, reset bigint", step)
+    return _fold(requests, keys, tie, "status int,retry_after int", "count bigint, reset bigint", step, lambda state: state[1], late)
 
 
 def free_quota_stream(requests: DataFrame, keys: list[str], tie: str = "event_id", limit: int = fv.FREE_FIX_LIMIT) -> DataFrame:
@@ -153,11 +152,6 @@ def alert_state_stream(scans: DataFrame, keys: list[str], tie: str = "event_id")
         active = bool(state[0]) if state else False
         blocked = bool(row.blocked)
         kind = "HARD_BLOCK" if blocked else ("CLEAR" if active else None)
-        return (blocked,), {"type": kind, "announce": blocked and not active}
+        return ((True,) if blocked else None), {"type": kind, "announce": blocked and not active}  # a clear file needs no state
 
     return _fold(scans, keys, tie, "type string,announce boolean", "active boolean", step)
-
-
-def ingest_stream(reports: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint: str):
-    """Validate, look up and append per micro-batch; ``ingest`` writes by batch id, so a retry overwrites."""
-    return reports.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
