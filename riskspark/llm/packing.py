@@ -27,8 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskspark.llm import common
-from riskspark.llm.encoding import default_path, encoder
+from riskspark.llm import chunks, common
 
 BLOCK = 1024
 ITEM = "doc_id, piece, start, length, ids_crc32"
@@ -37,15 +36,16 @@ ITEM = "doc_id, piece, start, length, ids_crc32"
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     common.small_batches(docs.sparkSession)
-    tokenizer = tokenizer or default_path()
+    tokenizer = tokenizer or chunks.path_of("byte_bpe_50k.json")
     tail = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
         for b in batches:
             source, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(encoder(tokenizer).encode([t or "" for t in b.column(1).to_pylist()])):
-                ids = memoryview(ids + tail)
+            found = chunks.byte_level(tokenizer).encode([t or "" for t in b.column(1).to_pylist()])
+            for row in range(b.num_rows):
+                ids = memoryview(found.of(row).tobytes() + tail)
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:])):

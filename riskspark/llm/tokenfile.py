@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskspark.llm import common
-from riskspark.llm.encoding import default_path, encoder
+from riskspark.llm import chunks, common
 
 BLOCK = 1024
 SHARD_IDS = 1 << 18
@@ -134,7 +133,7 @@ class Shard:
 def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token file and return it as read back."""
     common.small_batches(docs.sparkSession)
-    tokenizer = tokenizer or default_path()
+    tokenizer = tokenizer or chunks.path_of("byte_bpe_50k.json")
     tail = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
@@ -150,9 +149,10 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=columns)
 
         for b in batches:
-            for name, found in zip(b.column(0).to_pylist(), encoder(tokenizer).encode(b.column(1).to_pylist())):
+            found = chunks.byte_level(tokenizer).encode(b.column(1).to_pylist())
+            for row, name in enumerate(b.column(0).to_pylist()):
                 names.append(name)
-                held.append(found + tail)
+                held.append(found.of(row).tobytes() + tail)
                 size += len(held[-1]) // 4
                 if size >= SHARD_IDS:
                     yield full()

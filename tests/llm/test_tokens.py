@@ -8,13 +8,16 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from riskspark.llm import packing, tokenfile
-from riskspark.llm.encoding import Encoder, default_path
+from riskspark.llm import chunks, packing, tokenfile
 
 SCHEMA = "doc_id long, text string, part int, shard int, start string, items int"
 ODD = ["a  b", " x", "x ", "a\n\nb", "a\tb \n c", "<|endoftext|> hi", "a　 b", "", "\n", "don't 12,000's  z", "x\x1cy z", "x\n y", "x \ny", "\x85 \xa0"]
 
 
+def default_path():
+    return chunks.path_of("byte_bpe_50k.json")
+
+
 @pytest.fixture(scope="module")
 def plain():
     return Tokenizer.from_file(default_path())
@@ -27,9 +30,10 @@ def ids_of(plain, text):
 @given(st.lists(st.text("ab' .,\n\t　é中1<|", max_size=40), max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_encoder_equals_library(texts):
-    e = test_encoder_equals_library.__dict__.setdefault("e", Encoder(default_path(), keep=50))
-    for t, b in zip(texts, e.encode(texts)):
-        assert np.frombuffer(b, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    e = test_encoder_equals_library.__dict__.setdefault("e", chunks.ByteLevel(default_path(), keep=50))
+    found = e.encode(texts)
+    for k, t in enumerate(texts):
+        assert found.of(k).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=30), max_size=6), st.integers(1, 400))
