@@ -8,6 +8,11 @@ stage's docs.  All but the last return the columns of documents.
 3. simhash_near_dedup: the smallest doc_id of each group of near copies stays.
 4. benchmark_decontamination: documents with a copy or paraphrase of a benchmark item go.
 5. best_fit_packing: what is left as pieces in sequences.
+
+Cases, in every stage: an empty table gives an empty one.  A null text passes the first stage by the score of an empty
+text, and the others as a text that holds nothing; rows with a null doc_id are judged row by row, by id and text together;
+repeated rows share one fate, and the third stage keeps one of them.  Extra columns pass through the first four stages
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("_chars", F.length("text"))
-    left = linechunks.remove(rows).where((F.col("chunks_removed") == 0) | (5 * F.length("text") >= F.col("_chars")))
+    chars = common.fresh(docs, "chars")
+    rows = docs.withColumn(chars, F.length("text"))
+    left = linechunks.remove(rows).where((F.col("chunks_removed") == 0) | (5 * F.length("text") >= F.col(chars)))
     return left.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
@@ -32,8 +38,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontam.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(common.stored(leaks.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    # rows are told apart by id and text, as an id may be null or repeated
+    row, leak = F.xxhash64("doc_id", "text"), common.fresh(docs, "leak")
+    leaks = decontam.contaminated(docs.select(row.alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    return docs.join(common.stored(leaks.select(F.col("doc_id").alias(leak)).distinct(), "leaks"), row == F.col(leak), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

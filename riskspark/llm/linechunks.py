@@ -14,7 +14,7 @@ If lines ever share one, the chunks' whole texts are compared instead.
 
 Cases: a null text stays null; an empty text has one empty line and no chunk; rows with the same doc_id and text count as
 one document and are treated alike; blank lines are lines; an empty table gives an empty table; other columns pass
-through unread, and may not be called ``_hash`` or ``_cut``.
+through unread whatever their names, but for ``chunks_removed`` and ``lines_removed``, whose place the new ones take.
 """
 
 from __future__ import annotations
@@ -53,12 +53,12 @@ def line_id(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limited: bool = False) -> DataFrame:
     """(doc_id, _hash, f, at, first, n, h, ids, own): every chunk of two lines or a long one with its lines; h is the hash of their ids.
 
-    A column ``_wanted`` of ``docs``, set<struct<f, at>>, limits the chunks to those.
+    If ``limited``, a column ``_wanted`` of ``docs``, set<struct<f, at>>, limits the chunks to those.
     """
-    wanted = F.col("_wanted") if "_wanted" in docs.columns else F.lit(None)
+    wanted = F.col("_wanted") if limited else F.lit(None)
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_hash"), F.split(text_col, "\n").alias("lines"), wanted.alias("_wanted"))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")))
@@ -66,7 +66,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rolled = F.transform("hashes", lambda h, i: F.coalesce(F.pmod(sum((F.get("hashes", i - k) * BASE**k for k in range(1, WINDOW)), h), F.lit(PRIME)), F.lit(-1)))
     rows = rows.select("doc_id", "_hash", "lines", "_wanted", F.transform("lines", line_id).alias("all"), rolled.alias("rolled"))
     every = F.concat(*[_chunks(F.col("lines"), F.col("rolled"), f) for f in range(LINES + 1)])
-    if "_wanted" in docs.columns:
+    if limited:
         every = F.filter(every, lambda c: F.array_contains("_wanted", F.struct(c["f"].alias("f"), c["at"].alias("at"))))
     rows = rows.select("doc_id", "_hash", "lines", "all", F.explode(every).alias("c"))
     part = lambda name: F.slice(name, F.col("c.first") + 1, F.col("c.n"))
@@ -87,7 +87,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.collect_set(F.struct("f", "at")).alias("_wanted")).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("_of"))
     rows = rows.join(places, (F.col("_of") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id"))).select(id_col, text_col, "_wanted")
-    return chunks(rows, id_col, text_col)
+    return chunks(rows, id_col, text_col, limited=True)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,14 +109,16 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with repeated chunks cut out of the text, and ``chunks_removed``, ``lines_removed``."""
     cut = repeats(docs, id_col, text_col).groupBy("doc_id", "_hash").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))).alias("_cut"), F.count("*").alias("chunks_removed"))
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "_cut", "chunks_removed")
-    rows = docs.withColumn("_hash", F.xxhash64(text_col))
-    rows = rows.join(cut, (rows["_hash"] == cut["_of"]) & rows[id_col].eqNullSafe(cut["_id"]), "left")
+    own, of, id_, gone, count = (common.fresh(docs, name) for name in ("_hash", "_of", "_id", "_cut", "_count"))
+    cut = cut.select(F.col("doc_id").alias(id_), F.col("_hash").alias(of), F.col("_cut").alias(gone), F.col("chunks_removed").alias(count))
+    rows = docs.withColumn(own, F.xxhash64(text_col))
+    rows = rows.join(cut, (F.col(own) == F.col(of)) & F.col(id_col).eqNullSafe(F.col(id_)), "left")
     lines = F.split(text_col, "\n")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_cut"), lambda i: F.get(lines, i)), "\n")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n")
+    through = [c for c in docs.columns if c.lower() not in ("chunks_removed", "lines_removed")]
     return rows.select(
-        *[F.when(F.col("_cut").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.coalesce("chunks_removed", F.lit(0)).alias("chunks_removed"), F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias("lines_removed"))
+        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in through],
+        F.coalesce(F.col(count), F.lit(0)).alias("chunks_removed"), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("lines_removed"))
 
 
 SQL = """

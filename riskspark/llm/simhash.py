@@ -136,13 +136,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """Rows of ``docs`` that stay: the one with the smallest doc_id of each group, once if its row is repeated."""
+    """Rows of ``docs`` that stay: the one with the smallest doc_id of each group, once if its row is repeated.
+
+    All columns of ``docs`` pass through, whatever their names.
+    """
+    head = common.fresh(docs, "head")
     found = groups(docs, width=width, radius=radius)
     heads = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     heads = common.stored(heads, "heads")
-    once = heads.where("rows = 1").select(F.col("doc_id").alias("head"))
-    more = heads.where("rows > 1").select(F.col("doc_id").alias("head"))
-    same = F.col("doc_id").eqNullSafe(F.col("head"))
+    once = heads.where("rows = 1").select(F.col("doc_id").alias(head))
+    more = heads.where("rows > 1").select(F.col("doc_id").alias(head))
+    same = F.col("doc_id").eqNullSafe(F.col(head))
     return docs.join(once, same, "left_semi").unionByName(docs.join(more, same, "left_semi").dropDuplicates(["doc_id"]))
 
 

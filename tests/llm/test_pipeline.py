@@ -70,3 +70,25 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_odd_rows(spark):
+    """Null ids and texts, repeated rows, empty tables and names that the operators use themselves."""
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    good = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 300 and 3000").limit(12).collect()]
+    names = ["head", "_cut", "_wanted", "_hash", "_chars", "leak", "chars"]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, t) for i, t in enumerate(good)] + [(None, item), (None, good[0]), (7, item), (20, None), (21, ""), (22, good[3]), (22, good[3]), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *names) for d, t in rows], schema)
+    none = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        kept = [(r.doc_id, r.text) for r in out.collect()] if name != "best_fit_packing" else out.collect()
+        assert kept and stage(spark, none, "/root/testdata/sf0.001").count() == 0
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+        if name == "benchmark_decontamination":
+            assert (7, item) not in kept and (None, item) not in kept and (None, None) in kept
+            assert set(rows) - set(kept) <= {(None, item), (7, item)} | {r for r in rows if r[1] and item in r[1]}
+        if name == "simhash_near_dedup":
+            assert kept.count((22, good[3])) == 0 and kept.count((3, good[3])) == 1
