@@ -327,6 +327,15 @@ def scan_project(spark, sf):
     return _scan(spark, sf)[0].select(*SHOWN)
 
 
+_BY_PLACE = "row_number() OVER (PARTITION BY repo_id ORDER BY path, line, rule_id, coalesce(evidence, ''))"
+
+
+@query("sorted_findings", f"SELECT *, {_BY_PLACE} AS rank FROM ({_SCAN_TRUTH})")
+def sorted_findings(spark, sf):
+    """The whole scan in order of path and line, ranked over each repository."""
+    return post.sort_findings(_scan(spark, sf)[0]).select(*SHOWN, "rank")
+
+
 @query("scan_changed", corpus.truth_sql([r for r in ("frontend-secret", "backend-secret", "ssrf", "ambiguous-ast", "sql-injection", "command-injection", "path-traversal", "auth-bypass", "architectural-leak", "taint-violation", "missing-rls")], ("suppressed", "redundant"), extra_where="WHERE d.doc_id % 2 = 0"))
 def scan_changed(spark, sf):
     f = files(spark, sf)
@@ -368,18 +377,33 @@ def sarif_rows(spark, sf):
     )
 
 
-@query("sarif_documents", f"SELECT repo_id, count(*) AS results, '2.1.0' AS version FROM ({_SMALL}) GROUP BY 1")
+@query("sarif_documents", f"""
+WITH r AS (SELECT *, {_BY_PLACE} AS rank FROM ({_SMALL}))
+SELECT repo_id, CAST((rank - 1) // 3 AS INTEGER) AS part, min(rank) AS first, count(*) AS results, '2.1.0' AS version,
+  string_agg(path || ':' || line || ' ' || rule_id, ' | ' ORDER BY rank) AS shown FROM r GROUP BY repo_id, (rank - 1) // 3""")
 def sarif_documents(spark, sf):
+    """Parts of three results, their results in order."""
     docs = sinks.sarif_documents(_small_findings(spark, sf), per_document=3)
-    n = F.size(F.from_json(F.get_json_object("document", "$.runs[0].results"), "array<struct<ruleId:string>>"))
-    return docs.groupBy("repo_id").agg(F.sum(n).cast("bigint").alias("results"), F.max(F.get_json_object("document", "$.version")).alias("version"))
-
-
-@query("ci_summary", f"WITH s AS ({_SMALL}), r AS (SELECT DISTINCT source AS repo_id FROM documents) SELECT r.repo_id, count(s.rule_id) AS findings, least(count(s.rule_id), 50) AS rows, CASE WHEN count(s.rule_id) > 0 THEN 'CONFIRMED FINDING' ELSE 'LIKELY SAFE' END AS score FROM r LEFT JOIN s USING (repo_id) GROUP BY 1")
+    place = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>"
+    results = F.from_json(F.get_json_object("document", "$.runs[0].results"), f"array<struct<ruleId:string,locations:array<{place}>>>")
+    at = lambda r: r["locations"][0]["physicalLocation"]
+    line = lambda r: F.concat(at(r)["artifactLocation"]["uri"], F.lit(":"), at(r)["region"]["startLine"].cast("string"), F.lit(" "), r["ruleId"])
+    return docs.select(
+        "repo_id", "part", "first", "results", F.get_json_object("document", "$.version").alias("version"),
+        F.array_join(F.transform(results, line), " | ").alias("shown"))
+
+
+@query("ci_summary", f"""
+WITH s AS (SELECT *, {_BY_PLACE} AS rank FROM ({_SMALL})), r AS (SELECT DISTINCT source AS repo_id FROM documents)
+SELECT r.repo_id, count(s.rule_id) AS findings, CASE WHEN count(s.rule_id) > 0 THEN 'CONFIRMED FINDING' ELSE 'LIKELY SAFE' END AS score,
+  coalesce(string_agg(rule_id || ' ' || path || ':' || line, ' | ' ORDER BY rank) FILTER (WHERE rank <= 50), '') AS shown
+FROM r LEFT JOIN s USING (repo_id) GROUP BY 1""")
 def ci_summary(spark, sf):
+    """The rows that are shown, in their order."""
     out = sinks.ci_summary(_small_findings(spark, sf), files(spark, sf))
-    rows = F.size(F.filter(F.split("markdown", "\n"), lambda l: l.startswith("| critical |")))
-    return out.select("repo_id", "findings", rows.cast("bigint").alias("rows"), "score")
+    cells = F.transform(F.filter(F.split("markdown", "\n"), lambda l: l.startswith("| critical |")), lambda l: F.split(l, r" \| "))
+    shown = F.transform(cells, lambda c: F.concat(F.translate(c[1], "`", ""), F.lit(" "), F.translate(c[2], "`", "")))
+    return out.select("repo_id", "findings", "score", F.array_join(shown, " | ").alias("shown"))
 
 
 # --- gate and graph -------------------------------------------------------------------------------------------------

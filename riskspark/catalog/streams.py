@@ -13,6 +13,7 @@ from riskspark.catalog.scan import CREDENTIALS_SQL
 from riskspark.operators import governance as gov
 from riskspark.operators.findings import run_rules
 from riskspark.operators.secrets import credential_hits
+from riskspark.plans import jobs
 from riskspark.sources import sinks
 from riskspark.session import checkpoint_dir
 from riskspark.streaming import batches as sb, jobs as st
@@ -231,10 +232,12 @@ def append_audit_requests(spark, sf):
     return spark.read.parquet(out).where(F.length("id") == 36).select("c_custkey", "status")
 
 
-@query("write_sarif", "SELECT repo_id, count(*) AS results FROM (" + corpus.truth_sql(["frontend-secret"], extra_where="WHERE t.evidence IN ('AWS Access Key ID','PostgreSQL Connection URI')") + ") GROUP BY 1")
+@query("write_sarif", "SELECT repo_id, part, count(*) AS results, min(rank) AS first FROM (SELECT repo_id, CAST((rank - 1) // 2 AS INTEGER) AS part, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line) AS rank FROM (" + corpus.truth_sql(["frontend-secret"], extra_where="WHERE " + CREDENTIALS_SQL) + "))) GROUP BY 1, 2")
 def write_sarif(spark, sf):
+    """Documents of two results and their manifest, read back."""
     out = work_dir(spark)
-    found = run_rules(files(spark, sf).where(F.col("ext").isin("ts", "js")), [credential_hits])
-    sinks.write_sarif(found.where(F.col("evidence").isin("AWS Access Key ID", "PostgreSQL Connection URI")), out)
-    n = F.size(F.from_json(F.get_json_object("value", "$.runs[0].results"), "array<struct<ruleId:string>>"))
-    return spark.read.option("basePath", out).text(out).groupBy("repo_id").agg(F.sum(n).cast("bigint").alias("results"))
+    sinks.write_sarif(run_rules(jobs._sources(files(spark, sf)), [credential_hits]), out, per_document=2)
+    n = F.size(F.from_json(F.get_json_object("value", "$.runs[0].results"), "array<struct<ruleId:string>>")).cast("bigint")
+    docs = spark.read.schema("value string, repo_id string, part int").option("basePath", f"{out}/documents").text(f"{out}/documents").select("repo_id", "part", n.alias("results"))
+    said = spark.read.schema("repo_id string, part int, first bigint, results bigint").json(f"{out}/manifest")
+    return said.join(docs, ["repo_id", "part", "results"])

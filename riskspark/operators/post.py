@@ -117,8 +117,17 @@ def drop_redundant_ambiguous(findings: DataFrame) -> DataFrame:
     return findings.where(~ambiguous).unionByName(left.select(findings.columns))
 
 
+ORDER = ["path", "line", "rule_id", "_evidence", "seq"]
+
+
 def sort_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("repo_id", "path", "line", "rule_id", "seq")
+    """Add ``rank``: the row's place in its repository by path, line, rule, evidence and seq, from 1; null lines come first.
+
+    Rows are dealt by range of (repository, order), so a repository with most of the rows is ranked in many tasks.
+    """
+    rows = findings.withColumn("_evidence", F.coalesce("evidence", F.lit("")))
+    ranked = prefix_by_range(rows, ["repo_id"], ORDER, F.lit(1), "rank")
+    return ranked.withColumn("rank", F.col("rank") + 1).select(*findings.columns, "rank")
 
 
 def _gate_rank() -> Column:

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskspark import fixed_values as fv
+from riskspark.operators import post
 from riskspark.operators.score import ci_tri_state
+from riskspark.session import checkpoint
 
 RESULTS_PER_DOCUMENT = 5000
 
@@ -30,7 +32,8 @@ def sarif_results(findings: DataFrame) -> DataFrame:
             ).alias("properties"),
         )
     )
-    return findings.select("repo_id", "path", line.alias("line"), "rule_id", result.alias("result"))
+    kept = ["rank"] if "rank" in findings.columns else []
+    return findings.select("repo_id", "path", line.alias("line"), "rule_id", *kept, result.alias("result"))
 
 
 def _driver_json(tool: str) -> str:
@@ -46,25 +49,28 @@ def _driver_json(tool: str) -> str:
 
 
 def sarif_documents(findings: DataFrame, tool: str = "riskspark", per_document: int = RESULTS_PER_DOCUMENT) -> DataFrame:
-    """SARIF 2.1.0 documents: (repo_id, part, document).
+    """SARIF 2.1.0 documents: (repo_id, part, first, results, document).
 
-    A repository with up to ``per_document`` results is one document.  A larger
-    one is cut into parts by result hash, so no task holds a whole repository;
-    every result is in exactly one part.
+    A repository's results are ranked by path and line and cut into parts of ``per_document``, in order: part k holds the
+    results from rank ``first`` = k * per_document + 1 on.  Every repository has this shape, whatever its size.
     """
-    results = sarif_results(findings)
-    counts = results.groupBy("repo_id").agg(F.ceil(F.count("*") / per_document).cast("int").alias("parts"))
-    placed = results.join(counts, "repo_id").withColumn("part", F.pmod(F.xxhash64("path", "line", "rule_id", "result"), F.col("parts")))
-    ordered = F.array_sort(F.collect_list(F.struct("path", "line", "rule_id", "result")))
-    body = placed.groupBy("repo_id", "part").agg(F.array_join(F.transform(ordered, lambda r: r["result"]), ",").alias("body"))
+    ranked = findings if "rank" in findings.columns else post.sort_findings(findings)
+    results = sarif_results(ranked).withColumn("part", F.floor((F.col("rank") - 1) / per_document).cast("int"))
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "result")))  # per_document results at most
+    body = results.groupBy("repo_id", "part").agg(
+        F.min("rank").alias("first"), F.count("*").alias("results"), F.array_join(F.transform(in_order, lambda r: r["result"]), ",").alias("body"))
     head = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":' + _driver_json(tool) + '},"results":['
-    return body.select("repo_id", "part", F.concat(F.lit(head), "body", F.lit("]}]}")).alias("document"))
+    return body.select("repo_id", "part", "first", "results", F.concat(F.lit(head), "body", F.lit("]}]}")).alias("document"))
 
 
-def write_sarif(findings: DataFrame, path: str, tool: str = "riskspark", mode: str = "overwrite") -> None:
-    """One folder per repository; each line of its text files is one SARIF document."""
-    docs = sarif_documents(findings, tool)
-    docs.select("repo_id", F.col("document").alias("value")).write.mode(mode).partitionBy("repo_id").text(path)
+def write_sarif(findings: DataFrame, path: str, tool: str = "riskspark", mode: str = "overwrite", per_document: int = RESULTS_PER_DOCUMENT) -> None:
+    """``<path>/documents/repo_id=…/part=…``: one SARIF document a file; ``<path>/manifest``: (repo_id, part, first, results) as JSON.
+
+    The manifest is written last: a folder with one is whole.
+    """
+    docs = checkpoint(sarif_documents(findings, tool, per_document))
+    docs.select("repo_id", "part", F.col("document").alias("value")).write.mode(mode).partitionBy("repo_id", "part").text(f"{path}/documents")
+    docs.select("repo_id", "part", "first", "results").write.mode(mode).json(f"{path}/manifest")
 
 
 def ci_summary(findings: DataFrame, repos: DataFrame, title: str = "Risk CI Summary", fixes: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -84,6 +85,19 @@ def test_hot_repo_report_is_split_whole(spark, files):
     docs = sinks.sarif_documents(kept, per_document=10)
     n = F.size(F.from_json(F.get_json_object("document", "$.runs[0].results"), "array<struct<ruleId:string>>"))
     assert docs.count() == 4 and docs.agg(F.sum(n)).first()[0] == 40
+    rows = docs.orderBy("part").collect()
+    assert [(r.part, r.first, r.results) for r in rows] == [(0, 1, 10), (1, 11, 10), (2, 21, 10), (3, 31, 10)]
+    uris = [u for r in rows for u in re.findall(r'"uri":"([^"]+)"', r.document)]
+    assert uris == sorted(uris)
+
+
+def test_rank_runs_over_the_whole_repository(spark):
+    rows = [(r, f"p{i % 7}", i % 3 or None, "x" if i % 2 else "y", str(i % 5), i) for i in range(200) for r in (["big"] if i % 10 else ["big", "small"])]
+    df = spark.createDataFrame(rows, "repo_id string, path string, line int, rule_id string, evidence string, seq long")
+    got = {(r.repo_id, r.seq): r.rank for r in post.sort_findings(df).collect()}
+    for repo in ("big", "small"):
+        mine = sorted((x for x in rows if x[0] == repo), key=lambda x: (x[1], x[2] or -1, x[3], x[4], x[5]))
+        assert [got[repo, x[5]] for x in mine] == list(range(1, len(mine) + 1))
 
 
 def test_context_budget_truncates_the_last(files):
