@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark import fixed_values as fv
 from riskspark.functions import scalars as sc
+from riskspark.session import checkpoint
 
 
 # --- dashboard -----------------------------------------------------------------------------
@@ -202,7 +203,7 @@ def ingest_telemetry(reports: DataFrame, licenses: DataFrame, orgs: DataFrame) -
     """(telemetry rows, rejected reports, usage per license) of a batch of reports."""
     checked = validate_telemetry(reports)
     bad = checked.where(F.col("error").isNotNull()).withColumn("http", F.lit(400))
-    keyed = license_for_token(checked.where(F.col("error").isNull()), licenses)
+    keyed = checkpoint(license_for_token(checked.where(F.col("error").isNull()), licenses))  # three outputs read it
     active = F.coalesce(F.col("license_status") == "ACTIVE", F.lit(False))
     refused = keyed.where(~active).withColumn("http", F.lit(401)).withColumn("error", F.lit("Telemetry requires an active license key."))
     ok = org_for_repo(normalize_repository(keyed.where(active)), orgs)

@@ -92,7 +92,9 @@ def scan_changed(files: DataFrame, changed: DataFrame, **kwargs) -> tuple[DataFr
 
 def backend_ssrf(files: DataFrame, ignore_rules: DataFrame | None = None, ignore_paths: DataFrame | None = None) -> DataFrame:
     found = run_rules(_sources(files), [inj.ssrf])
-    return found if ignore_rules is None and ignore_paths is None else _with_policy(found, ignore_rules, ignore_paths)
+    if ignore_rules is None and ignore_paths is None:
+        return found
+    return _with_policy(checkpoint(found), ignore_rules, ignore_paths)  # the policy's joins read it several times
 
 
 def secrets_frontend(files: DataFrame) -> DataFrame:
@@ -130,8 +132,8 @@ def release_gate(files: DataFrame, tag: str = "scan-ignore") -> tuple[DataFrame,
     rows, bad = deps.parse_manifests(files.where((F.col("ext") == "json") & pf.is_manifest(F.col("path")) & ~pf.watch_ignored(F.col("path"))))
     fast = gate_code(files).unionByName(deps.gate_dependencies(rows, bad))
     migration = sqlrls.gate_missing_rls(sqlrls.migration_report(sqlrls.migrations(files)))
-    gate = post.gate_union(fast, migration)
-    exploits = dataflow.exploit_paths(_sources_for_gate(files), tag)
+    gate = checkpoint(post.gate_union(fast, migration))  # the caller and the status read both
+    exploits = checkpoint(dataflow.exploit_paths(_sources_for_gate(files), tag))
     both = gate.select("repo_id", "severity").unionByName(exploits.select("repo_id", F.lit("HARD_BLOCK").alias("severity")))
     return gate, exploits, score.gate_status(both, files)
 
