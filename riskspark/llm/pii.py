@@ -199,10 +199,15 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
+def number(spans: Column, kind: int) -> Column:
+    """How many spans are of a kind; the function has one argument, as Spark gives a second one the element's place."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint")
+
+
 @common.query("op5_pii")
 def op5(spark, sf_dir):
     found = common.stored(candidates(common.table(spark, sf_dir, "documents")), "candidates")
     spans = decide(found, fit(found))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     every = F.array_sort(F.concat("base", "added"))
+    counts = [number(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(every).alias("spans"), F.size("added").alias("n_added"))

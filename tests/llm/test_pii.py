@@ -56,6 +56,13 @@ def test_base_spans(rows, spans):
     assert sum(bool(b) for _, b in want) > 25
 
 
+def test_query_counts_by_kind(spark, tmp_path):
+    rows = [(1, "a@b.c 1.2.3.4 5.6.7.8"), (2, "4111 1111 1111 1111"), (3, "+1 269 555 3296, x@y.zz"), (4, "nothing"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.op5(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2, 0, 0), 2: (0, 0, 1, 0), 3: (1, 0, 0, 1), 4: (0, 0, 0, 0), 5: (0, 0, 0, 0)}
+
+
 def test_added_spans(rows, spans):
     added = {r.doc_id: r.added for r in spans if r.added}
     assert added[5006] == "card:18:34,phone:0:17"
