@@ -3,9 +3,11 @@
 Words are lower-case, without punctuation at their ends, and hashed to ``FEATURES`` columns.  Inverse document frequencies
 count all documents.  Every text is split and hashed once; its columns are stored for the steps below.  Texts are cut into blocks of ``BLOCK`` words; a passage is two neighbouring blocks.
 
-1. Randomised SVD: the passages of all items and as many from a bounded sample of documents (``sample`` documents, four
-   passages each) form a TF-IDF matrix A that stays spread over the tasks.  Each pass computes Y = A W with a thin random
-   W and sums Y'Y and Y'A; with Y = QR these give Q'A, and its small SVD the latent directions, scaled to unit variance.
+1. Randomised SVD: the passages of all items and of all documents form a TF-IDF matrix A that stays spread over the
+   tasks; a document weighs ``EACH`` passages at most and all documents ``SHARE`` passages for one of an item, so that neither a
+   long text nor a large corpus hides the others.  A pass computes Y = A W with a thin W and sums Y'Y and Y'A; with Y = QR
+   these give Q'A, and its small SVD the latent directions, scaled to unit variance if some are cut off.  The first passes
+   read the items and turn a random W to their directions, the last reads all of A.
 2. Candidates: every passage of every document against every item passage by cosine in the latent space.  Items of
    ``SHORT`` words or fewer, which are half a passage or less, also meet every single block.  Items come in blocks of
    ``ITEMS``; a block is sent to all tasks, so its size is bounded.
@@ -36,8 +38,10 @@ BLOCK = 16
 SHORT = 24
 ITEMS = 5000
 RANK, OVER = 64, 16
+EACH, SHARE, LEAST = 4, 2, 400
 WORDS = 1 << 16
 CHARS = 2_000_000
+GROUP = 4096
 KNOWN = 600_000
 SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
 END = ".,;:!?\"'()[]{}<>«»„“”…-"
@@ -133,83 +137,179 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     return df, int(n[f < 0].sum())
 
 
-def block_sums(words: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of texts, (passages, their first blocks, text number, first word); a word counts once in a block, so repeats weigh little."""
+def block_rows(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns of each block, text number, first word): BLOCK columns a row; what repeats or is missing is FEATURES."""
     lengths = np.array([len(w) for w in words], np.int64)
     per = -(-lengths // BLOCK)
     text = np.repeat(np.arange(len(words)), per)
     first = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * BLOCK
     if not len(text):
-        none = np.zeros((0, weights.shape[1]), weights.dtype)
-        return none, none, text, first
-    # a row of BLOCK columns per block; what repeats or is missing points at a row of zeros
+        return np.zeros((0, BLOCK), np.int64), text, first
     starts = first + np.repeat(np.cumsum(lengths) - lengths, per)
     at = starts[:, None] + np.arange(BLOCK)
     flat = np.concatenate(words)
     row = np.where(at < np.append(starts[1:], lengths.sum())[:, None], flat[np.minimum(at, len(flat) - 1)], FEATURES)
     row.sort(axis=1)
     row[:, 1:][row[:, 1:] == row[:, :-1]] = FEATURES
-    padded = np.concatenate((weights, np.zeros((1, weights.shape[1]), weights.dtype)))
-    sums = padded[row[:, 0]]
+    return row, text, first
+
+
+def summed(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each row's columns; ``weights`` ends with a row of zeros for FEATURES."""
+    sums = weights[row[:, 0]]
     for k in range(1, BLOCK):
-        sums += padded[row[:, k]]
+        sums += weights[row[:, k]]
+    return sums
+
+
+def padded(weights: np.ndarray) -> np.ndarray:
+    return np.concatenate((weights, np.zeros((1, *weights.shape[1:]), weights.dtype)))
+
+
+def block_sums(words: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of texts, (passages, their first blocks, text number, first word); a word counts once in a block, so repeats weigh little."""
+    row, text, first = block_rows(words)
+    if not len(text):
+        none = np.zeros((0, weights.shape[1]), weights.dtype)
+        return none, none, text, first
+    sums = summed(row, padded(weights))
     joined = np.nonzero(text[1:] == text[:-1])[0]
     out = sums.copy()
     out[joined] += sums[joined + 1]
     return out, sums, text, first
 
 
-def passages(words: np.ndarray, most: int | None = None) -> list[np.ndarray]:
-    starts = list(range(0, max(len(words) - BLOCK, 1), BLOCK)) if len(words) else []
-    if most and len(starts) > most:
-        starts = [starts[i * len(starts) // most] for i in range(most)]
-    return [words[s:s + 2 * BLOCK] for s in starts]
+def passages(words: np.ndarray) -> list[np.ndarray]:
+    return [words[at:at + 2 * BLOCK] for at in range(0, max(len(words) - BLOCK, 1), BLOCK)] if len(words) else []
 
 
-def _pass(rows: DataFrame, idf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all passages of Y'Y and A'Y for Y = A w, with unit rows in A."""
-    size = w.shape[1]
+def _summed(rows: DataFrame, size: int, work) -> tuple[np.ndarray, np.ndarray, float]:
+    """(Y'Y, A'Y, weight of the passages) from ``work``, which gives these three for an iterator of batches, added up over the tasks."""
     names = [f"y{i}" for i in range(size)]
 
+    def task(batches):
+        gram, cross, n = work(batches)
+        some = np.nonzero(cross.any(axis=1))[0]
+        count = np.zeros((1, size))
+        count[0, 0] = n
+        f = np.concatenate((some, -1 - np.arange(size + 1)))
+        values = np.concatenate((cross[some], gram, count))
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(size))], names=["f", *names])
+
+    schema = "f int, " + ", ".join(f"{n} double" for n in names)
+    found = rows.mapInArrow(task, schema).groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # FEATURES + size + 1 rows at most
+    f, values = found.column("f").to_numpy(), np.stack([found.column(n).to_numpy() for n in names], 1)
+    cross, rest = np.zeros((FEATURES, size)), np.zeros((size + 1, size))
+    cross[f[f >= 0]] = values[f >= 0]
+    rest[-1 - f[f < 0]] = values[f < 0]
+    return rest[:size], cross, float(rest[size, 0])
+
+
+def _pass(rows: DataFrame, idf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums over all passages of Y'Y and A'Y for Y = A w, with unit rows in A, and their number; rows: text, the first column."""
+    size = w.shape[1]
+
     def work(batches):
-        gram, cross, known = np.zeros((size, size)), np.zeros((FEATURES, size)), Hashes()
+        gram, cross, n, known = np.zeros((size, size)), np.zeros((FEATURES, size)), 0, Hashes()
         for b in batches:
-            for text, most in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for p in passages(columns_of(text, known), most):
-                    at, n = np.unique(p, return_counts=True)
-                    a = np.minimum(n, 2) * idf[at]
+            for text in b.column(0).to_pylist():
+                for p in passages(columns_of(text, known)):
+                    at, times = np.unique(p, return_counts=True)
+                    a = np.minimum(times, 2) * idf[at]
                     a = a / (np.linalg.norm(a) or 1)
                     y = a @ w[at]
                     gram += np.outer(y, y)
                     cross[at] += a[:, None] * y
-        some = np.nonzero(cross.any(axis=1))[0]
-        f = np.concatenate((some, -1 - np.arange(size)))
-        values = np.concatenate((cross[some], gram))
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(size))], names=["f", *names])
+                    n += 1
+        return gram, cross, n
 
-    schema = "f int, " + ", ".join(f"{n} double" for n in names)
-    found = rows.mapInArrow(work, schema).groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # FEATURES + size rows at most
-    f, values = found.column("f").to_numpy(), np.stack([found.column(n).to_numpy() for n in names], 1)
-    cross, gram = np.zeros((FEATURES, size)), np.zeros((size, size))
-    cross[f[f >= 0]] = values[f >= 0]
-    gram[-1 - f[f < 0]] = values[f < 0]
-    return gram, cross
+    return _summed(rows, size, work)
+
+
+def block_pass(words: list[np.ndarray], idf: np.ndarray, weights: np.ndarray, gram: np.ndarray, cross: np.ndarray) -> float:
+    """Add a group's sums to ``gram`` and to ``cross``, which is transposed and lacks the factor idf; gives the passages' weight.
+
+    A passage is the sum of two neighbouring blocks, so a block's products with W serve both passages it stands in, and
+    so does its part of A'Y.  ``idf`` and ``weights`` (idf times W) end with a zero.
+    """
+    row, text, _ = block_rows(words)
+    alone = np.ones(len(text) + 1, bool)
+    alone[1:-1] = text[1:] != text[:-1]
+    # every block but a text's last opens a passage, and so does the only block of a text
+    opens = np.nonzero(~alone[1:] | alone[:-1] & alone[1:])[0]
+    number = np.bincount(text[opens], minlength=1)
+    share = np.minimum(1, EACH / np.maximum(1, number))[text[opens]]
+    for at in range(0, len(opens), GROUP):
+        i = opens[at:at + GROUP]
+        low = i[0]
+        here = row[low:i[-1] + 2]
+        two = ~alone[i + 1]
+        i = i - low
+        j = i[two] + 1
+        z = summed(here, weights)
+        y = z[i]
+        y[two] += z[j]
+        square = idf * idf
+        own = square[here].sum(axis=1)
+        norm = own[i]
+        both = np.sort(np.concatenate((here[i[two]], here[j]), axis=1), axis=1)
+        norm[two] += own[j] + 2 * np.where(both[:, 1:] == both[:, :-1], square[both[:, 1:]], 0).sum(axis=1)
+        norm = np.sqrt(norm)[:, None].astype(y.dtype)
+        norm[norm == 0] = 1
+        y /= norm
+        part = share[at:at + GROUP, None]
+        wide = y * np.sqrt(part)
+        gram += wide.T @ wide
+        y = y / norm * part
+        v = np.zeros(z.shape)
+        v[i] = y
+        v[j] += y[two]
+        flat = here.ravel()
+        word = np.flatnonzero(flat < FEATURES)
+        flat, block = flat[word], word // BLOCK
+        for k, values in enumerate(np.ascontiguousarray(v.T)):
+            cross[k] += np.bincount(flat, values[block], FEATURES)
+    return float(share.sum())
+
+
+def _documents(words: DataFrame, idf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """As ``_pass``, over all passages of the rows of ``hashed``; a word counts once in each of a passage's two blocks."""
+    size = w.shape[1]
+    weights, ends = padded((idf[:, None] * w).astype(np.float32)), padded(idf)
+
+    def work(batches):
+        gram, cross, n = np.zeros((size, size)), np.zeros((size, FEATURES)), 0.0
+        for b in batches:
+            for _, texts in _groups(b.column(0)):
+                n += block_pass(texts, ends, weights, gram, cross)
+        return gram, cross.T * idf[:, None], n
+
+    # a task gives up to FEATURES rows, so there are as many as cores, whatever the number of documents
+    tasks = words.sparkSession.sparkContext.defaultParallelism
+    return _summed(words.select("words").coalesce(tasks), size, work)
 
 
-def latent(rows: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 1) -> np.ndarray:
-    """(FEATURES, rank) weights: TF-IDF times whitened right singular vectors of the passages of (text, most)."""
+def latent(rows: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 1, words: DataFrame | None = None) -> np.ndarray:
+    """(FEATURES, rank) weights: TF-IDF times whitened right singular vectors of the passages of texts and of all hashed documents."""
+    rows = rows.select("text")
     w = np.random.default_rng(0).standard_normal((FEATURES, rank + OVER))
     for k in range(power + 1):
-        gram, cross = _pass(rows, idf, w)
+        gram, cross, n = _pass(rows, idf, w)
+        if k == power and words is not None:
+            other = _documents(words, idf, w)
+            weight = min(1.0, max(LEAST, SHARE * n) / max(1, other[2]))
+            gram, cross = gram + weight * other[0], cross + weight * other[1]
         values, turn = np.linalg.eigh(gram)
         some = values > 1e-10 * max(values.max(), 1e-300)
         small = cross @ (turn[:, some] / np.sqrt(values[some]))  # A'Q for the Q that spans Y
         if k < power:
-            w = np.zeros_like(w)
+            w = w / np.sqrt(FEATURES)  # what the texts do not span stays random
             w[:, :small.shape[1]] = np.linalg.qr(small)[0]
     u, s, _ = np.linalg.svd(small, full_matrices=False)
     keep = s > 1e-6 * max(s.max(initial=0), 1e-300)
-    return (idf[:, None] * (u[:, keep] / s[keep])[:, :rank]).astype(np.float32)
+    # whitening evens out what is cut at ``rank``; a space that holds all of A keeps the cosines of A, or its few rows would all be apart
+    size = s if keep.sum() > rank else np.ones_like(s)
+    return (idf[:, None] * (u[:, keep] / size[keep])[:, :rank]).astype(np.float32)
 
 
 def subsequence(short: list, long: list) -> int:
@@ -370,7 +470,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, copied: float = 0.8, paraphrased: float = 0.6, sample: int = 5000, rank: int = RANK,
+    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, copied: float = 0.8, paraphrased: float = 0.6, rank: int = RANK,
 ) -> DataFrame:
     """(doc_id, item_id, cosine, overlap, answer, word): documents that hold a copy or a paraphrase of an item."""
     common.small_batches(docs.sparkSession)
@@ -378,10 +478,7 @@ def contaminated(
     words = hashed(rows)
     df, n = frequencies(words)
     idf = np.log((n + 1) / (df + 1))
-    n_items = benchmark.count()
-    some = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(100, min(sample, n_items // 2)))
-    drawn = rows.join(F.broadcast(some), "doc_id", "left_semi").select("text", F.lit(4).alias("most"))  # at most ``sample`` ids
-    weights = latent(benchmark.select("text", F.lit(None).cast("int").alias("most")).unionByName(drawn), idf, rank)
+    weights = latent(benchmark, idf, rank, words=words)
     found = None
     for block in blocks(benchmark):
         part = search(words, Items(block, weights), cosine, copied, paraphrased)

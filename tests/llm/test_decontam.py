@@ -116,3 +116,24 @@ def test_empty(spark):
     assert decontam.contaminated(docs, items).count() == 0
     assert decontam.contaminated(some, items).count() == 0
     assert decontam.contaminated(docs, some.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_directions_come_from_all_documents(spark):
+    """The sums that give the basis hold every passage of every document: plain sums over 6,000 texts, one of them long."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 90, n)) for n in [*rng.integers(0, 60, 6000), 3000]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
+    idf, w = rng.random(decontam.FEATURES), rng.standard_normal((decontam.FEATURES, 5))
+    gram, cross, n = decontam._documents(decontam.hashed(docs), idf, w)
+    want, count = np.zeros((5, 5)), 0
+    for t in texts:
+        found = decontam.passages(decontam.columns_of(t))
+        share = min(1, decontam.EACH / max(1, len(found)))  # a long text weighs no more than a few passages
+        for p in found:
+            a = np.zeros(decontam.FEATURES)
+            for half in (np.unique(p[:decontam.BLOCK]), np.unique(p[decontam.BLOCK:])):
+                a[half] += idf[half]
+            y = a @ w / np.linalg.norm(a)
+            want += share * np.outer(y, y)
+            count += share
+    assert np.isclose(n, count) and np.allclose(gram, want, rtol=1e-4) and np.allclose(w.T @ cross, want, rtol=1e-4)
