@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from riskspark import corpus
 from riskspark.catalog import governance as g
@@ -100,18 +100,18 @@ def stream_key_activation(spark, sf):
     return drain(spark, st.key_activation_stream(ev)).select("event_id", "error")
 
 
-def run_batches(spark, source, out: str, body) -> None:
-    """Feed a folder of files to a foreachBatch body, one file a micro-batch."""
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start().awaitTermination()
+def run_batches(spark, rows, by, out: str, body, parts: int = 3) -> None:
+    """Feed rows to a foreachBatch body in micro-batches whose order of arrival is that of ``by`` (0 to parts - 1).
 
-
-def in_turn(spark, rows, by, out: str, parts: int = 3) -> str:
-    """Write rows as files whose order of arrival is that of ``by`` (0 to parts - 1); gives the folder."""
+    The rows are made and dealt once.  What has arrived since the last run is one micro-batch, however many files it has.
+    """
+    dealt = f"{out}/dealt"
+    rows.withColumn("_turn", by.cast("int")).write.partitionBy("_turn").parquet(dealt)
+    stored = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_turn", T.IntegerType())])).parquet(dealt)
     for k in range(parts):
-        rows.where(by == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    return f"{out}/in"
+        stored.where(F.col("_turn") == k).drop("_turn").write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+        stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start().awaitTermination()
 
 
 def _changed_scan(spark, sf):
@@ -119,7 +119,7 @@ def _changed_scan(spark, sf):
     out = work_dir(spark)
     changed = f.where("changed").select("repo_id", "path")
     body = sb.scan_body(out, lambda part: run_rules(part, [credential_hits]), f)
-    run_batches(spark, in_turn(spark, changed, F.pmod(F.xxhash64("path"), F.lit(2)), out, 2), out, body)
+    run_batches(spark, changed, F.pmod(F.xxhash64("path"), F.lit(2)), out, body, 2)
     return out
 
 
@@ -145,7 +145,7 @@ def _ingested(spark, sf):
     out = work_dir(spark)
     reports = g._reports(spark, sf)
     body = sb.ingest_body(out, g._licenses(spark, sf), g._orgs(spark, sf))
-    run_batches(spark, in_turn(spark, reports, F.pmod("report_id", F.lit(3)), out), out, body)
+    run_batches(spark, reports, F.pmod("report_id", F.lit(3)), out, body)
     return out
 
 
@@ -173,7 +173,7 @@ def stream_entitlements(spark, sf):
     ev = gov.subscription_entitlements(g._subscriptions(spark, sf), "prod-solo", "prod-teams")
     lic = g._licenses(spark, sf).select("token_hash", "label", "seats", "status", "tier", "user_id")
     turn = F.when(F.col("ts") < "1994-01-01", 0).when(F.col("ts") < "1997-01-01", 1).otherwise(2)
-    run_batches(spark, in_turn(spark, ev, turn, out), out, sb.entitlement_body(out, g._users(spark, sf), lic))
+    run_batches(spark, ev, turn, out, sb.entitlement_body(out, g._users(spark, sf), lic))
     return sb.snapshot(spark, out, "licenses")
 
 
@@ -185,7 +185,7 @@ def stream_late_rows(spark, sf):
     """Rows behind the watermark go to a side table instead of nowhere."""
     out = work_dir(spark)
     ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    run_batches(spark, in_turn(spark, ev, F.pmod("event_id", F.lit(3)), out), out, sb.late_body(out, "5 days"))
+    run_batches(spark, ev, F.pmod("event_id", F.lit(3)), out, sb.late_body(out, "5 days"))
     rows = [sb.read(spark, out, name).select("event_id", "batch_id", F.lit(late).alias("late")) for name, late in (("rows", False), ("late", True))]
     return rows[0].unionByName(rows[1])
 

@@ -127,3 +127,25 @@ def test_a_changed_migration_rescans_its_repository(spark, files, tmp_path):
     body(changed("src/none.ts"), 2)
     assert [(r.path, r.batch_id) for r in sb.read(spark, out, "findings").collect()] == [("src/k.ts", 0)]
     assert [(r.path, r.table_name, r.batch_id) for r in sb.read(spark, out, "missing_rls").collect()] == [(a, "public.u", 1)]
+
+
+def test_a_turn_of_many_files_is_one_batch(spark, tmp_path):
+    """Rows of a turn are written and read by more than one task, and turns arrive in order."""
+    from riskspark.catalog import streams
+
+    found = {}
+
+    def body(batch, batch_id):
+        rows = batch.select("id", F.input_file_name().alias("file")).collect()
+        found[batch_id] = (sorted(r.id for r in rows), len({r.file for r in rows}))
+
+    rows = spark.range(0, 3000, 1, 6).withColumn("turn", F.col("id") % 3).where("turn <> 1")
+    streams.run_batches(spark, rows.select("id"), F.col("id") % 3, str(tmp_path), body)
+    assert found[0][0] == list(range(0, 3000, 3)) and found[1][0] == [] and found[2][0] == list(range(2, 3000, 3))
+    assert found[0][1] > 1 and found[2][1] > 1
+
+
+def test_folds_take_only_what_they_read(spark, tmp_path):
+    events = staged(spark, str(tmp_path / "in"), [[(1, "a", AT(1), "x" * 100)]], SCHEMA + ", payload string")
+    plan = st.rate_limit_stream(events, ["key"])._jdf.queryExecution().analyzed().toString()
+    assert any("Project [key" in line and "payload" not in line for line in plan.split("\n")), plan
