@@ -167,3 +167,31 @@ def test_facts_of_null_and_unasked_spans(spark):
     df = spark.createDataFrame([("f(x)", 1), (None, 2), ("", 3)], "content string, k int")
     rows = {r.k: r.l for r in df.select("k", lexer.facts(F.col("content"), lexer.CALLS).alias("l")).collect()}
     assert rows[1]["calls"][0]["callee"] == "f" and rows[1]["consts"] is None and rows[2] is None and rows[3]["calls"] == []
+
+
+def test_a_batch_holds_the_spans_of_few_texts(monkeypatch):
+    """Span objects of a batch of 200 texts do not add up; results are those of each text alone."""
+    import weakref
+
+    import pyarrow as pa
+
+    class Row(dict):
+        pass
+
+    refs, most, one = [], [0], lexer.one
+
+    def counted(text, want):
+        found = one(text, want)
+        if found is None:
+            return None
+        found = Row(found)
+        refs.append(weakref.ref(found))
+        most[0] = max(most[0], sum(r() is not None for r in refs))
+        return found
+
+    monkeypatch.setattr(lexer, "one", counted)
+    texts = [f"const a{i} = 'x' + \"{'y' * 5000}\"; f({i});" for i in range(200)] + [None, ""]
+    want = [lexer.STRINGS | lexer.CALLS] * len(texts)
+    got = lexer._facts.func(pa.array(texts), pa.array(want))
+    assert got.to_pylist() == pa.array([one(t, w) for t, w in zip(texts, want)], lexer.TYPE).to_pylist()
+    assert most[0] < 100
