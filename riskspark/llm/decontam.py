@@ -25,6 +25,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +57,23 @@ class Hashes(dict):
             self[word] = found
         return found
 
-    def all(self, words: list[str]) -> list[int]:
-        """Columns of distinct words without white space, -1 for an empty one; new words are lower-cased in one go."""
-        found = list(map(self.get, words))
-        new = [i for i, f in enumerate(found) if f is None]
-        lower = "\n".join([words[i] for i in new]).lower().split("\n")
-        for i, low in zip(new, lower):
-            word = words[i]
-            found[i] = zlib.crc32((low.strip(END) or word).encode()) % FEATURES if word else -1
-            if word and len(self) < KNOWN:
-                self[word] = found[i]
+    def all(self, words: pa.Array) -> np.ndarray:
+        """Columns of distinct words without white space, -1 for an empty one.
+
+        Arrow lower-cases and trims the ASCII words, which are then hashed without being remembered; the others are
+        lower-cased as ``__missing__`` does, whose rules differ from Arrow's.
+        """
+        found = np.empty(len(words), np.int64)
+        plain = pc.string_is_ascii(words)
+        ascii, mask = words.filter(plain), plain.to_numpy(zero_copy_only=False)
+        bare = pc.utf8_trim(pc.ascii_lower(ascii), characters=END)
+        bare = pc.if_else(pc.equal(pc.binary_length(bare), 0), ascii, bare).cast(pa.large_binary())
+        sums = np.fromiter(map(zlib.crc32, bare.to_numpy(zero_copy_only=False).tolist()), np.int64, len(bare)) % FEATURES
+        sums[pc.equal(pc.binary_length(ascii), 0).to_numpy(zero_copy_only=False)] = -1
+        found[mask] = sums
+        if not mask.all():
+            rest = words.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist()
+            found[~mask] = np.fromiter(map(self.__getitem__, rest), np.int64, len(rest))
         return found
 
 
@@ -80,9 +88,8 @@ def columns(texts: pa.Array, known: Hashes) -> list[np.ndarray]:
     split = pc.utf8_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     ends = split.offsets.to_numpy().astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     place = coded.indices.to_numpy()
-    found = np.array(known.all(names), np.int64)[place] if len(place) else np.empty(0, np.int64)
+    found = known.all(coded.dictionary)[place] if len(place) else np.empty(0, np.int64)
     word = found >= 0  # an empty string stands beside white space at a text's ends
     before = np.concatenate(([0], np.cumsum(word)))[ends - ends[0]]
     flat = found[word]
@@ -156,14 +163,16 @@ def block_rows(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def summed(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Sums of the weights of each row's columns; ``weights`` ends with a row of zeros for FEATURES."""
-    sums = weights[row[:, 0]]
+    sums = weights.take(row[:, 0], axis=0)
+    one = np.empty_like(sums)
     for k in range(1, BLOCK):
-        sums += weights[row[:, k]]
+        sums += weights.take(row[:, k], axis=0, out=one, mode="clip")  # the mode spares a second buffer
     return sums
 
 
 def padded(weights: np.ndarray) -> np.ndarray:
-    return np.concatenate((weights, np.zeros((1, *weights.shape[1:]), weights.dtype)))
+    """``weights`` and a zero, a column's numbers side by side in memory, whatever the order they come in."""
+    return np.concatenate((np.ascontiguousarray(weights), np.zeros((1, *weights.shape[1:]), weights.dtype)))
 
 
 def block_sums(words: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,9 +201,10 @@ def _summed(rows: DataFrame, size: int, work) -> tuple[np.ndarray, np.ndarray, f
         some = np.nonzero(cross.any(axis=1))[0]
         count = np.zeros((1, size))
         count[0, 0] = n
-        f = np.concatenate((some, -1 - np.arange(size + 1)))
-        values = np.concatenate((cross[some], gram, count))
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(size))], names=["f", *names])
+        # in parts, as a table of all columns would stand several times over in the worker
+        parts = [some[at:at + GROUP] for at in range(0, len(some), GROUP)]
+        for f, values in chain(((p, cross[p]) for p in parts), [(-1 - np.arange(size + 1), np.concatenate((gram, count)))]):
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(size))], names=["f", *names])
 
     schema = "f int, " + ", ".join(f"{n} double" for n in names)
     found = rows.mapInArrow(task, schema).groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # FEATURES + size + 1 rows at most
@@ -267,8 +277,9 @@ def block_pass(words: list[np.ndarray], idf: np.ndarray, weights: np.ndarray, gr
         flat = here.ravel()
         word = np.flatnonzero(flat < FEATURES)
         flat, block = flat[word], word // BLOCK
+        each = np.empty(len(flat))
         for k, values in enumerate(np.ascontiguousarray(v.T)):
-            cross[k] += np.bincount(flat, values[block], FEATURES)
+            cross[k] += np.bincount(flat, values.take(block, out=each, mode="clip"), FEATURES)
     return float(share.sum())
 
 
@@ -282,7 +293,8 @@ def _documents(words: DataFrame, idf: np.ndarray, w: np.ndarray) -> tuple[np.nda
         for b in batches:
             for _, texts in _groups(b.column(0)):
                 n += block_pass(texts, ends, weights, gram, cross)
-        return gram, cross.T * idf[:, None], n
+        cross *= idf
+        return gram, cross.T, n
 
     # a task gives up to FEATURES rows, so there are as many as cores, whatever the number of documents
     tasks = words.sparkSession.sparkContext.defaultParallelism
@@ -309,7 +321,7 @@ def latent(rows: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 1, w
     keep = s > 1e-6 * max(s.max(initial=0), 1e-300)
     # whitening evens out what is cut at ``rank``; a space that holds all of A keeps the cosines of A, or its few rows would all be apart
     size = s if keep.sum() > rank else np.ones_like(s)
-    return (idf[:, None] * (u[:, keep] / size[keep])[:, :rank]).astype(np.float32)
+    return (idf[:, None] * (u[:, keep] / size[keep])[:, :rank]).astype(np.float32, order="C")
 
 
 def subsequence(short: list, long: list) -> int:
@@ -341,6 +353,8 @@ class Items:
         item, column = np.divmod(self.key, FEATURES)
         np.bitwise_or.at(self.bag, (item, column >> 3), (1 << (column & 7)).astype(np.uint8))
         self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.most = np.zeros(len(rows), np.int64)
+        np.maximum.at(self.most, item, self.times)
         self.weights = weights
         vectors, _, item, first = block_sums(self.words, weights)
         # the last block stands in the passage before it, unless it is the only one
@@ -362,21 +376,28 @@ class Items:
         return share, (subsequence(answer, near) / len(answer) if answer else 0.0)
 
 
-    def shared(self, item: np.ndarray, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Share of each item's words that occur in flat[begin:end], which no common subsequence exceeds."""
+    def shared(self, item: np.ndarray, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
+        """Share of each item's words that occur in flat[begin:end], which no common subsequence exceeds; zero where it is below ``least``."""
         out = np.zeros(len(item))
+        place, bit = flat >> 3, (1 << (flat & 7)).astype(np.uint8)
+        bag, wide = self.bag.ravel(), self.bag.shape[1]
         cuts = np.flatnonzero(np.diff(np.cumsum(end - begin) // CHARS)) + 1  # about CHARS words at a time
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(item)]):
-            part = slice(lo, hi)
-            size = end[part] - begin[part]
-            pair = np.repeat(np.arange(len(size)), size)
-            word = flat[np.repeat(begin[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            own = item[part][pair]
-            hit = (self.bag[own, word >> 3] >> (word & 7).astype(np.uint8)) & 1 == 1
-            pair, column = np.divmod(np.unique(pair[hit] * FEATURES + word[hit]), FEATURES)
-            times = self.times[np.searchsorted(self.key, item[part][pair] * FEATURES + column)]
-            out[part] = np.bincount(pair, times, len(size)) / np.maximum(self.sizes[item[part]], 1)
-        return out
+            who, size = item[lo:hi], end[lo:hi] - begin[lo:hi]
+            before = np.cumsum(size) - size
+            at = np.repeat(begin[lo:hi] - before, size)
+            at += np.arange(len(at))
+            byte = place[at]
+            byte += np.repeat(who * wide, size)
+            hit = np.flatnonzero(bag[byte] & bit[at])
+            pair = np.searchsorted(before + size, hit, side="right")
+            # a word counts as often as the item has it, so hits times the most frequent word's count are no less than the share
+            some = np.bincount(pair, minlength=len(who)) * self.most[who] >= least * self.sizes[who]
+            kept = some[pair]
+            pair, column = np.divmod(np.unique(pair[kept] * FEATURES + flat[at[hit[kept]]]), FEATURES)
+            times = self.times[np.searchsorted(self.key, who[pair] * FEATURES + column)]
+            out[lo:hi] = np.bincount(pair, times, len(who)) / np.maximum(self.sizes[who], 1)
+        return np.where(out >= least, out, 0.0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -424,7 +445,7 @@ def candidates(words: list[np.ndarray], items: Items, cosine: float, least: floa
             size = items.sizes[who]
             lo = begin[t] + np.maximum(0, spot - size - BLOCK)
             hi = np.minimum(begin[t + 1], begin[t] + spot + 3 * BLOCK + size)
-            good = items.shared(who, flat, lo, hi) >= least - 1e-9
+            good = items.shared(who, flat, lo, hi, least - 1e-9) > 0
             for row in zip(t[good].tolist(), who[good].tolist(), c[good].tolist(), spot[good].tolist()):
                 found.setdefault(row[:2], []).append((-row[2], row[3]))
     for (k, item), spots in found.items():

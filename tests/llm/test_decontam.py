@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from riskspark.llm import decontam
@@ -137,3 +139,34 @@ def test_directions_come_from_all_documents(spark):
             want += share * np.outer(y, y)
             count += share
     assert np.isclose(n, count) and np.allclose(gram, want, rtol=1e-4) and np.allclose(w.T @ cross, want, rtol=1e-4)
+
+
+def test_plain_words_are_hashed_without_being_remembered():
+    """What a worker remembers stays in its memory; only words that Arrow cannot lower-case are kept."""
+    texts = ["Hello, WORLD! ... hello --- (x)", "", None, " \n", "«Ünï» İstanbul ΌΣ. Y…", "a\x00b C!"]
+    known = decontam.Hashes()
+    got = decontam.columns(pa.array(texts, pa.string()), known)
+    assert [g.tolist() for g in got] == [decontam.columns_of(t).tolist() for t in texts]
+    assert set(known) == {"«Ünï»", "İstanbul", "ΌΣ.", "Y…"}
+
+
+def test_a_task_gives_its_sums_in_parts():
+    """A part of the table of all columns stands in a worker a second time, not all of it."""
+    class Stop(Exception):
+        pass
+
+    class Rows:
+        def mapInArrow(self, task, schema):
+            self.parts = list(task(iter(())))
+            raise Stop
+
+    rows, size = Rows(), 3
+    cross = np.arange(decontam.FEATURES * size, dtype=float).reshape(-1, size)
+    cross[5] = 0
+    with pytest.raises(Stop):
+        decontam._summed(rows, size, lambda batches: (np.eye(size), cross, 7.0))
+    assert max(b.num_rows for b in rows.parts) <= decontam.GROUP
+    whole = pa.Table.from_batches(rows.parts)
+    f, values = whole.column("f").to_numpy(), np.stack([whole.column(f"y{i}").to_numpy() for i in range(size)], 1)
+    assert sorted(f) == [*range(-size - 1, 0), *(k for k in range(decontam.FEATURES) if k != 5)]
+    assert (values[f >= 0] == cross[f[f >= 0]]).all() and values[f == -size - 1].tolist() == [[7.0, 0.0, 0.0]]
