@@ -261,6 +261,15 @@ def webhook_dedupe(events: DataFrame, key: str = "event_id", ts: str = "ts") ->
     return events.join(first, key).withColumn("duplicate", F.col("arrival") != F.col("_first")).drop("_first")
 
 
+def _lookup(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``, of events that hold their order as ``_at``.
+
+    An event without a key matches nothing; it is dealt by its place in the order, as all of them would meet in one task.
+    """
+    deal = F.when(F.col(key).isNull(), F.xxhash64("_at")).otherwise(F.xxhash64(key))
+    return rows.withColumn("_deal", deal).join(found.withColumn("_deal", F.xxhash64(key)), [key, "_deal"], "left").drop("_deal")
+
+
 def entitlement_upsert(events: DataFrame, users: DataFrame, licenses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(users, licenses, rejects): snapshots after applying valid entitlement rows, latest per key.
 
@@ -274,7 +283,7 @@ def entitlement_upsert(events: DataFrame, users: DataFrame, licenses: DataFrame)
     good = events.where(F.col("error").isNull()).withColumn("_at", order)
     by_id = users.select(F.col("id").alias("user_ref"), F.col("id").alias("_by_id"))
     by_mail = users.where(F.col("email").isNotNull()).select("email", F.col("id").alias("_by_mail"))
-    matched = good.join(by_id, "user_ref", "left").join(by_mail, "email", "left")
+    matched = _lookup(_lookup(good, by_id, "user_ref"), by_mail, "email")
     # the first row of an unknown id with an e-mail, and the first of an unknown e-mail, claim the e-mail
     fresh = matched.where(F.col("_by_id").isNull() & F.col("email").isNotNull())
     first = fresh.where("user_ref is not null").groupBy("user_ref").agg(F.min_by("email", "_at").alias("email"), F.min_by("_by_mail", "_at").alias("taken"), F.min("_at").alias("_made"))
@@ -282,7 +291,7 @@ def entitlement_upsert(events: DataFrame, users: DataFrame, licenses: DataFrame)
     claims = first.where("taken is null").select("email", "user_ref", "_made").unionByName(mail_only)
     owner = claims.groupBy("email").agg(F.min_by("user_ref", "_made").alias("_owner"))
     made = first.where("taken is null").join(owner, "email").where(F.col("user_ref") == F.col("_owner")).select("user_ref", "_made")
-    named = matched.join(made, "user_ref", "left").join(owner, "email", "left")
+    named = _lookup(_lookup(matched, made, "user_ref"), owner, "email")
     named = named.withColumn("user_id", F.coalesce(
         "_by_id", F.when(F.col("user_ref").isNotNull(), F.when(F.col("_at") >= F.col("_made"), F.col("user_ref"))).otherwise(F.coalesce("_by_mail", "_owner"))))
     reason = F.when(F.col("email").isNull(), F.when(F.col("user_ref").isNull(), "no user").otherwise("unknown user without e-mail")).otherwise("e-mail belongs to another user")
