@@ -243,8 +243,8 @@ def templates(spark: SparkSession) -> DataFrame:
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo_id, path, ext, content, changed, doc_id) from every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    # the table is one row group, which one task would read and scan alone
-    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    # the table may be one row group, which one task would read and scan alone; parts are no larger than splits
+    docs = docs.repartition(max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "doc_id")
     # the template table is a constant of this module, a few dozen rows
     j = docs.withColumn("k", F.pmod("doc_id", F.lit(COUNT)).cast("int")).join(F.broadcast(templates(spark)), "k")
     ident = F.col("doc_id").cast("string")
