@@ -22,6 +22,7 @@ import pyarrow as pa  # noqa: E402
 import pyarrow.compute as pc  # noqa: E402
 
 CHARS = 4_000_000
+AT_ONCE = 1_000_000
 KEEP = 600_000
 
 
@@ -137,11 +138,11 @@ class Chunked:
         self.tails, self.heads = Known(self.tail_ids, keep), Known(self.head_ids, keep)
 
     def encode(self, texts: list[str]) -> Ids:
-        """Ids of all texts; at most ``CHARS`` characters are split at a time."""
+        """Ids of all texts; at most ``AT_ONCE`` characters are split at a time, as chunks take many times their text."""
         parts, at = [], 0
         while at < len(texts):
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= CHARS):
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= AT_ONCE):
                 chars += len(texts[end])
                 end += 1
             parts.append(self._some(texts[at:end]))
@@ -199,6 +200,11 @@ class Chunked:
             first[at], size[at] = self.heads.first[head] + self.tails.used, self.heads.size[head]
         return at, first, size, source
 
+    def forget(self) -> None:
+        """Drop the chunks met so far, as a task does at its end: the worker then serves tasks that do not need them."""
+        self.tails.clear()
+        self.heads.clear()
+
     def _trim(self) -> None:
         self.tails.trim()
         self.heads.trim()
@@ -214,7 +220,7 @@ class ByteLevel(Chunked):
     """Byte-level BPE by the tokenizers library.  ``lead`` puts a space before every text; ``literal`` makes the strings
     of special tokens ordinary text."""
 
-    JOINED = 512
+    JOINED, TEXTS = 512, 16
 
     def __init__(self, path: str, lead: bool = False, literal: bool = False, keep: int = KEEP):
         from tokenizers import Tokenizer
@@ -238,10 +244,14 @@ class ByteLevel(Chunked):
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def tail_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Many chunks go to the library as one text: a chunk's first id is the one that begins with white space."""
-        spaced = [c if c[0] == "\n" else " " + c for c in chunks]
-        texts = ["".join(spaced[k:k + self.JOINED]) for k in range(0, len(spaced), self.JOINED)]
-        ids, _ = flat([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        """Many chunks go to the library as one text, ``TEXTS`` of them at a time, as what it returns takes far more than the ids
+        do: a chunk's first id is the one that begins with white space."""
+        found = []
+        for at in range(0, len(chunks), self.JOINED * self.TEXTS):
+            spaced = [c if c[0] == "\n" else " " + c for c in chunks[at:at + self.JOINED * self.TEXTS]]
+            texts = ["".join(spaced[k:k + self.JOINED]) for k in range(0, len(spaced), self.JOINED)]
+            found.append(flat([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])[0])
+        ids = np.concatenate([np.empty(0, "<u4"), *found])
         first = np.nonzero(self.opens[ids])[0]
         return ids, np.diff(np.append(first, len(ids)))
 

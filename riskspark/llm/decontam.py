@@ -107,6 +107,7 @@ def slices(values: pa.Array) -> Iterator[tuple[int, int]]:
 
 def hashed(docs: DataFrame) -> DataFrame:
     """(doc_id, words): each text's columns as little-endian 16-bit integers, written once for all that reads them."""
+    @common.tidy
     def work(batches):
         known = Hashes()
         for b in batches:
@@ -196,6 +197,7 @@ def _summed(rows: DataFrame, size: int, work) -> tuple[np.ndarray, np.ndarray, f
     """(Y'Y, A'Y, weight of the passages) from ``work``, which gives these three for an iterator of batches, added up over the tasks."""
     names = [f"y{i}" for i in range(size)]
 
+    @common.tidy
     def task(batches):
         gram, cross, n = work(batches)
         some = np.nonzero(cross.any(axis=1))[0]
@@ -458,6 +460,7 @@ def candidates(words: list[np.ndarray], items: Items, cosine: float, least: floa
 
 def search(words: DataFrame, items: Items, cosine: float, copied: float, paraphrased: float) -> DataFrame:
     """(doc_id, item_id, cosine, overlap, answer, word) of the rows of ``hashed`` that hold an item of the block."""
+    @common.tidy
     def work(batches):
         for b in batches:
             names, out = b.column(0).to_pylist(), []

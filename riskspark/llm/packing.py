@@ -40,10 +40,12 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
     tail = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @common.tidy
     def work(batches):
+        encoder = chunks.byte_level(tokenizer)
         for b in batches:
             source, piece, start, length, crc = [], [], [], [], []
-            found = chunks.byte_level(tokenizer).encode([t or "" for t in b.column(1).to_pylist()])
+            found = encoder.encode([t or "" for t in b.column(1).to_pylist()])
             for row in range(b.num_rows):
                 ids = memoryview(found.of(row).tobytes() + tail)
                 n = len(ids) // 4
@@ -57,6 +59,8 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))],
                 names=ITEM.split(", "))
+            del found
+        encoder.forget()
 
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the signed 64-bit fingerprint of every row."""
     common.small_batches(docs.sparkSession)
 
+    @common.tidy
     def work(batches):
         for b in batches:
             out = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], "<u8").view("<i8")

@@ -117,6 +117,7 @@ def keep(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     common.small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
+    @common.tidy
     def work(batches):
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column(at).to_pylist()) >= limit))

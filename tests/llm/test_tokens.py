@@ -124,3 +124,22 @@ def test_empty(spark):
     one = none.unionByName(frame(spark, [(1, None)]))
     assert packing.pack(packing.pieces(one)).select("length", "offset").collect() == [(1, 0)]
     assert tokenfile.read_documents(tokenfile.write(one)).select("start", "n_tokens").collect() == [(0, 1)]
+
+
+def test_encoder_works_in_small_steps_and_forgets():
+    encoder = chunks.ByteLevel(chunks.path_of("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{k}x{i}" for i in range(9000)) for k in range(3)]
+    library, most = encoder.tokenizer, []
+    assert encoder.opens.any()  # asks the library once
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            most.append(sum(map(len, some)))
+            return library.encode_batch_fast(some, **options)
+
+    encoder.tokenizer = Counted()
+    found = encoder.encode(texts)
+    assert max(most) < sum(map(len, texts)) / 2
+    assert [found.of(k).tolist() for k in range(3)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.forget()
+    assert not encoder.tails.place and not encoder.heads.place
