@@ -113,7 +113,7 @@ def rls_tautology(f: Source) -> Column:
     p = java(fv.POLICY_PREDICATE)
     hits = F.transform(
         find_all(f.content, p),
-        lambda h: F.struct(h["line"].alias("line"), sc.static_predicate(F.regexp_extract(h["text"], p, 1)).alias("why")),
+        lambda h: F.struct(h["line"].alias("line"), let(F.regexp_extract(h["text"], p, 1), sc.static_predicate).alias("why")),
     )
     found = F.transform(
         F.filter(hits, lambda h: h["why"].isNotNull()),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import lexer, paths as pf, scalars as sc, text as tx
 from riskspark.functions.regex import java
+from riskspark.functions.text import let
 
 
 def test_positions_match_brute_force(spark):
@@ -75,3 +76,15 @@ def test_statements_respect_quotes_and_comments(files):
     sql = "-- a;b\nselect ';' ; /* ; */ select $x$ ; $x$;\n select \";\"; tail"
     got = [r.sql.strip() for r in sql_statements(files({"a.sql": sql})).orderBy("stmt").collect()]
     assert got == ["-- a;b\nselect ';' ;", "/* ; */ select $x$ ; $x$;", 'select ";";', "tail"]
+
+
+def test_plain_predicates_are_judged_as_any_other(spark):
+    """Numbers and plain strings take a short way, which must agree with the general one."""
+    sides = ["1", "1.0", "01", "12", "1234567890123", "'a'", "'ab'", "''", "'it''s'", "'a b'", '"a"', "TRUE", "x", "1."]
+    forms = ["{}{}{}", "{} {} {}", " {}\n{}  {}\t"]
+    texts = [f.format(a, o, b) for f in forms for a in sides for o in ("=", "<>", "!=", ">=", "<=", ">", "<", "=>", "=!") for b in sides]
+    texts += [None, "", "1>", "1=1=1", "'a=b' = 'c'", "'a' = 'b=c'", "'a'\n='a'"]
+    df = spark.createDataFrame([(t,) for t in texts], "p string").select("p", sc.static_predicate(F.col("p")).alias("found"), let(sc.trim(F.col("p")), sc._any_predicate).alias("general"))
+    assert df.where("not (found <=> general)").count() == 0
+    some = {r.p: r.found for r in df.collect()}
+    assert some["1=1"] == some["'a' = 'a'"] == "tautological RLS predicate" and some["1=1.0"] == some["'a'<'ab'"] == "statically true RLS predicate" and some["1>12"] is None
