@@ -89,13 +89,17 @@ def org_for_repo(rows: DataFrame, orgs: DataFrame) -> DataFrame:
     """Add organization_id by owner: lower-cased or raw, against GitHub orgs, GitLab groups and slug.
 
     Distinct owners are looked up once and joined back, so a busy owner costs
-    one probe.
+    one probe.  Rows join by slice as well: those of a busy owner, or without
+    one, do not meet in one task; the owners found, which are no more than the
+    aliases, stand in every slice.
     """
+    slices = 4 * rows.sparkSession.sparkContext.defaultParallelism
     names = org_aliases(orgs)
     owners = rows.where(F.col("repo_owner").isNotNull()).select("repo_owner").distinct()
     tries = owners.withColumn("alias", F.explode(F.array_distinct(F.array(F.lower("repo_owner"), F.col("repo_owner")))))
     found = tries.join(names, "alias").groupBy("repo_owner").agg(F.min("organization_id").alias("organization_id"))
-    return rows.join(found, "repo_owner", "left")
+    found = found.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    return rows.withColumn("_slice", F.monotonically_increasing_id() % slices).join(found, ["repo_owner", "_slice"], "left").drop("_slice")
 
 
 def license_for_token(rows: DataFrame, licenses: DataFrame, token: str = "license_key") -> DataFrame:

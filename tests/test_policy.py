@@ -1,6 +1,7 @@
 """Policy of all repositories, one-sided policy, verdicts without content, users made by their own batch, order of what is shown."""
 
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -101,3 +102,21 @@ def test_long_chains_end_by_themselves(spark):
     edges = spark.createDataFrame([("r", f"m{i + 1}", "k", "k", f"m{i}", "import") for i in range(n)], "repo_id string, importer string, imported string, local string, source_path string, kind string")
     seeds = spark.createDataFrame([("r", "m0", "k")], "repo_id string, path string, name string")
     assert modules.module_taint_fixpoint(edges, seeds).where(F.col("name") == "k").count() == n + 1
+
+
+def test_rows_of_a_busy_owner_do_not_meet_in_one_task(spark):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 4 > 0, "Acme").alias("repo_owner")).repartition(4)
+    orgs = spark.createDataFrame([("7", "acme", ["acme-hub"], None), ("9", "other", None, ["Acme"])], "id string, slug string, github_orgs array<string>, gitlab_groups array<string>")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = governance.org_for_repo(rows, orgs)
+        assert found.columns == ["repo_owner", "id", "organization_id"]
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sorted((r.id, r.organization_id) for r in got) == [(i, "7" if i % 4 else None) for i in range(2000)]
+    per_task = Counter(r.task for r in got)
+    assert max(per_task.values()) < 1000
