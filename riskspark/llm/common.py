@@ -38,16 +38,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: allocators of Python, Arrow and numpy keep what the largest step took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` of a task that gives freed memory back when it ends: a worker lives on, and its allocators keep what the largest task took."""
+    """``work`` of a task that gives freed memory back when it ends: a worker lives on."""
     @functools.wraps(work)
     def run(batches):
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
-                trim(0)
+            give_back()
 
     return run
 

@@ -210,11 +210,14 @@ def _summed(rows: DataFrame, size: int, work) -> tuple[np.ndarray, np.ndarray, f
 
     schema = "f int, " + ", ".join(f"{n} double" for n in names)
     found = rows.mapInArrow(task, schema).groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # FEATURES + size + 1 rows at most
-    f, values = found.column("f").to_numpy(), np.stack([found.column(n).to_numpy() for n in names], 1)
-    cross, rest = np.zeros((FEATURES, size)), np.zeros((size + 1, size))
-    cross[f[f >= 0]] = values[f >= 0]
-    rest[-1 - f[f < 0]] = values[f < 0]
-    return rest[:size], cross, float(rest[size, 0])
+    # batch by batch into one table, as the driver holds few of this size; the sums without a column stand at its end
+    table = np.zeros((FEATURES + size + 1, size))
+    for b in found.to_batches():
+        f = b.column("f").to_numpy()
+        at = np.where(f < 0, FEATURES - 1 - f, f)
+        for i, n in enumerate(names):
+            table[at, i] = b.column(n).to_numpy()
+    return table[FEATURES:-1], table[:FEATURES], float(table[-1, 0])
 
 
 def _pass(rows: DataFrame, idf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -288,7 +291,8 @@ def block_pass(words: list[np.ndarray], idf: np.ndarray, weights: np.ndarray, gr
 def _documents(words: DataFrame, idf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """As ``_pass``, over all passages of the rows of ``hashed``; a word counts once in each of a passage's two blocks."""
     size = w.shape[1]
-    weights, ends = padded((idf[:, None] * w).astype(np.float32)), padded(idf)
+    weights, ends = np.zeros((FEATURES + 1, size), np.float32), padded(idf)
+    np.multiply(idf[:, None], w, out=weights[:-1], casting="same_kind")
 
     def work(batches):
         gram, cross, n = np.zeros((size, size)), np.zeros((size, FEATURES)), 0.0
@@ -312,18 +316,32 @@ def latent(rows: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 1, w
         if k == power and words is not None:
             other = _documents(words, idf, w)
             weight = min(1.0, max(LEAST, SHARE * n) / max(1, other[2]))
-            gram, cross = gram + weight * other[0], cross + weight * other[1]
+            gram += weight * other[0]
+            cross += np.multiply(other[1], weight, out=other[1])
+            del other
         values, turn = np.linalg.eigh(gram)
         some = values > 1e-10 * max(values.max(), 1e-300)
         small = cross @ (turn[:, some] / np.sqrt(values[some]))  # A'Q for the Q that spans Y
+        # each is as large as the table of all columns: the driver lets go of it before the next step makes more
+        del gram, cross
         if k < power:
-            w = w / np.sqrt(FEATURES)  # what the texts do not span stays random
+            w /= np.sqrt(FEATURES)  # what the texts do not span stays random
             w[:, :small.shape[1]] = np.linalg.qr(small)[0]
+            del small
+        common.give_back()
+    del w
     u, s, _ = np.linalg.svd(small, full_matrices=False)
     keep = s > 1e-6 * max(s.max(initial=0), 1e-300)
     # whitening evens out what is cut at ``rank``; a space that holds all of A keeps the cosines of A, or its few rows would all be apart
     size = s if keep.sum() > rank else np.ones_like(s)
-    return (idf[:, None] * (u[:, keep] / size[keep])[:, :rank]).astype(np.float32, order="C")
+    del small
+    u = u[:, np.flatnonzero(keep)[:rank]]
+    u /= size[keep][:rank]
+    u *= idf[:, None]
+    found = u.astype(np.float32, order="C")
+    del u
+    common.give_back()
+    return found
 
 
 def subsequence(short: list, long: list) -> int:
@@ -509,6 +527,7 @@ def contaminated(
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = search(words, Items([], weights), cosine, copied, paraphrased)
+    common.give_back()
     best = F.max(F.struct("overlap", "cosine", "answer", "word")).alias("x")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.cosine", "x.overlap", "x.answer", "x.word")
 

@@ -80,10 +80,15 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label:
         "label", "doc_id", F.posexplode(F.transform(
             F.sequence(F.lit(1), F.length("text"), F.lit(WINDOW)), lambda i: F.substring(F.col("text"), i, F.lit(WINDOW)))).alias("at", "piece"))
     order = [F.xxhash64("doc_id", "at"), F.col("doc_id"), F.col("at")]
-    text = {k: [r.piece.encode() for r in pieces.where(F.col("label") == k).orderBy(*order).limit(windows).collect()] for k in (0, 1)}
-    if not text[0] or not text[1]:
-        return Model(b"", b"", 0, 0, counts[1] / total)
-    model = Model(dictionary(text[1]), dictionary(text[0]), 0, 0)
+    trained = {}
+    for k in (0, 1):  # one class after the other, so that the driver holds the windows of one; the tasks pick them, by a shuffle
+        chosen = pieces.where(F.col("label") == k).orderBy(*order).limit(windows).select("piece").toArrow()
+        if not chosen.num_rows:
+            return Model(b"", b"", 0, 0, counts[1] / total)
+        trained[k] = dictionary(chosen.column(0).cast(pa.large_binary()).to_pylist())
+        del chosen
+        common.give_back()
+    model = Model(trained[1], trained[0], 0, 0)
 
     def work(batches):
         for b in batches:

@@ -1,6 +1,7 @@
 """Decontamination: recall against brute force, paraphrases, odd input."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -170,3 +171,19 @@ def test_a_task_gives_its_sums_in_parts():
     f, values = whole.column("f").to_numpy(), np.stack([whole.column(f"y{i}").to_numpy() for i in range(size)], 1)
     assert sorted(f) == [*range(-size - 1, 0), *(k for k in range(decontam.FEATURES) if k != 5)]
     assert (values[f >= 0] == cross[f[f >= 0]]).all() and values[f == -size - 1].tolist() == [[7.0, 0.0, 0.0]]
+
+
+def test_the_driver_holds_few_tables_of_all_columns(spark):
+    """A table of all columns is 21 MB; while the basis is found, the driver's Python holds no more than a few."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 20_000, 200)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf, words = rng.random(decontam.FEATURES) + 1, decontam.hashed(docs)
+    tracemalloc.start()
+    try:
+        found = decontam.latent(docs.limit(100), idf, words=words)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    table = decontam.FEATURES * (decontam.RANK + decontam.OVER) * 8
+    assert found.shape == (decontam.FEATURES, decontam.RANK) and peak < 4.2 * table and kept < table, (kept / table, peak / table)
